@@ -244,10 +244,10 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                      groups={"relationship_types_distribution": title_case("type")})
     totals = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("e")))  # one row each
     density = F.when(F.col("n") > 0, F.round(F.col("e") / F.col("n"), 2)).otherwise(0.0)
-    cards = totals.select(F.inline(F.array(
-        F.struct(F.lit("graph").alias("category"), F.lit("metrics").alias("section"), F.lit("Total Graph Nodes").alias("label"),
-                 F.col("n").cast("double").alias("value"), F.lit("nodes").alias("unit")),
-        F.struct(F.lit("graph"), F.lit("metrics"), F.lit("Graph Density"), density, F.lit("density")))))
+    row = lambda label, value, unit: F.struct(
+        F.lit("graph").alias("category"), F.lit("metrics").alias("section"), F.lit(label).alias("label"), value.cast("double").alias("value"),
+        F.lit(unit).alias("unit"))
+    cards = totals.select(F.inline(F.array(row("Total Graph Nodes", F.col("n"), "nodes"), row("Graph Density", density, "density"))))
     return by_type.unionByName(cards)
 
 
