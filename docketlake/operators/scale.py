@@ -83,22 +83,25 @@ def next_row(df: DataFrame, keys: list[str], order: list[str], cols: list[str],
     )
 
 
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
-    """Add the sum of ``value`` over the rows of the key up to and including this one."""
-    blocks = ordered_blocks(df.withColumn("_v", value), keys, order)
+def running_sums(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column]) -> DataFrame:
+    """Add, per name, the sum of its value over the rows of the key up to and including this one."""
+    for out, value in values.items():
+        df = df.withColumn(out, value)
+    blocks = ordered_blocks(df, keys, order)
     inside = W.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     before = (W.partitionBy(*keys) if keys else W).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        _block_state(blocks, keys, [F.sum("_v").alias("_total")])
-        .withColumn("_offset", F.coalesce(F.sum("_total").over(before), F.lit(0)))
-        .drop("_total")
-    )
-    return (
-        blocks.withColumn(out, F.sum("_v").over(inside))
-        .join(offsets, [*keys, "_block"], "left")
-        .withColumn(out, F.coalesce(F.col(out), F.lit(0)) + F.col("_offset"))
-        .drop("_v", "_block", "_offset")
-    )
+    totals = _block_state(blocks, keys, [F.sum(v).alias(f"_t_{v}") for v in values])
+    offsets = totals.select(*keys, "_block", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}") for v in values])
+    summed = blocks.select(*[c for c in blocks.columns if c not in values], *[F.sum(v).over(inside).alias(v) for v in values])
+    out = summed.join(offsets, [*keys, "_block"], "left")
+    for v in values:
+        out = out.withColumn(v, F.coalesce(F.col(v), F.lit(0)) + F.col(f"_o_{v}")).drop(f"_o_{v}")
+    return out.drop("_block")
+
+
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """Add the sum of ``value`` over the rows of the key up to and including this one."""
+    return running_sums(df, keys, order, {out: value})
 
 
 def previous_value(df: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
@@ -118,3 +121,30 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: Colu
         .withColumn(out, F.coalesce(out, "_carried"))
         .drop("_v", "_block", "_carried")
     )
+
+
+def _pieces(text: str, n: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
+    return F.array_distinct(F.transform(starts, lambda p: F.substring(F.col(text), p, n)))
+
+
+def containing(needles: DataFrame, hays: DataFrame, keys: list[str], piece: int = 6) -> DataFrame:
+    """Pairs (keys, nid, hid) where the hay text contains the needle text.
+
+    ``needles``: keys, nid, text.  ``hays``: keys, hid, text.  A needle meets hays on its
+    rarest piece of ``piece`` characters (all of it when shorter), so a common beginning
+    does not bring everything together.  Every candidate is verified.
+    """
+    size = F.least(F.length("text"), F.lit(piece))
+    small = needles.filter("text <> ''").withColumn("_n", size)
+    wanted = small.select(*keys, "nid", "_n", F.explode(_pieces("text", F.col("_n"))).alias("_p"))
+    sizes = small.select(*keys, "_n").distinct()
+    grams = hays.join(sizes, keys).filter(F.length("text") >= F.col("_n")).select(*keys, "hid", "_n", F.explode(_pieces("text", F.col("_n"))).alias("_p"))
+    on = [*keys, "_n", "_p"]
+    grams = grams.join(wanted.select(*on).distinct(), on, "left_semi")
+    freq = grams.groupBy(*on).agg(F.count("*").alias("_f"))
+    rare = wanted.join(freq, on).groupBy(*keys, "nid", "_n").agg(F.min_by("_p", F.struct("_f", "_p")).alias("_p"))
+    pairs = rare.join(grams, on).select(*keys, "nid", "hid")
+    n = needles.select(*keys, "nid", F.col("text").alias("_needle"))
+    h = hays.select(*keys, "hid", F.col("text").alias("_hay"))
+    return pairs.join(n, [*keys, "nid"]).join(h, [*keys, "hid"]).filter(F.contains("_hay", "_needle")).select(*keys, "nid", "hid")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import col, first_regex, sentences, words
+from ..session import cut_lineage
 from .metrics import bundle
-from .scale import next_row
+from .scale import containing, next_row
 
 
 def normalize_date(raw: str | Column) -> Column:
@@ -92,20 +91,14 @@ def merged_notes(events: DataFrame, by: str = "case_id", id: str = "event_id") -
         by, id, "event_date", "description", F.to_date("event_date").alias("day"), _title_key(F.col("title")).alias("title_key"))
     texts = keyed.groupBy(*g, "description").agg(F.min(F.struct("event_date", id)).alias("ord"))
     several = texts.groupBy(*g).agg(F.count("*").alias("n"), F.min("ord").alias("head")).filter("n > 1").drop("n")
-    texts = texts.join(several, g).withColumn("tid", F.col(f"ord.{id}"))
+    texts = cut_lineage(texts.join(several, g).withColumn("tid", F.col(f"ord.{id}")))  # read five times below
     later = texts.filter(F.col("ord") > F.col("head"))
-    size = F.least(F.length("description"), F.lit(6))
-    pieces = lambda n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("description") - n + 1), lambda p: F.substring(F.col("description"), p, n)))
-    sizes = later.select(*g, size.alias("n")).distinct()
-    hay = texts.join(sizes, g).filter(F.length("description") >= F.col("n")).select(*g, "n", F.col("tid").alias("hid"), F.explode(pieces(F.col("n"))).alias("piece"))
-    freq = hay.groupBy(*g, "n", "piece").agg(F.count("*").alias("f"))
-    needle = later.withColumn("n", size).select(*g, "n", "tid", F.explode(pieces(F.col("n"))).alias("piece")).join(freq, [*g, "n", "piece"])
-    rare = needle.groupBy(*g, "n", "tid").agg(F.min_by("piece", F.struct("f", "piece")).alias("piece"))
-    pairs = rare.join(hay, [*g, "n", "piece"]).filter("tid <> hid").select(*g, "tid", "hid")
-    side = lambda p: texts.select(*g, F.col("tid").alias(f"{p}id"), F.col("ord").alias(f"{p}_ord"), F.col("description").alias(f"{p}_text"))
+    pairs = containing(later.select(*g, F.col("tid").alias("nid"), F.col("description").alias("text")),
+                       texts.select(*g, F.col("tid").alias("hid"), F.col("description").alias("text")), g)
+    side = lambda p: texts.select(*g, F.col("tid").alias(f"{p}id"), F.col("ord").alias(f"{p}_ord"))
     contained = (
-        pairs.join(side("h"), [*g, "hid"]).join(side("t"), [*g, "tid"])
-        .filter((F.col("h_ord") < F.col("t_ord")) & F.contains("h_text", "t_text")).select(*g, "tid").distinct()
+        pairs.filter("nid <> hid").join(side("h"), [*g, "hid"]).join(side("n"), [*g, "nid"])
+        .filter(F.col("h_ord") < F.col("n_ord")).select(*g, F.col("nid").alias("tid")).distinct()
     )
     return later.join(contained, [*g, "tid"], "left_anti").select(
         by, "day", "title_key", F.col(f"head.{id}").alias(id), F.col("tid").alias("note_id"), F.col("description").alias("note"))
