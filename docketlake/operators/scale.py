@@ -124,8 +124,9 @@ def previous_value(df: DataFrame, keys: list[str], order: list[str], value: Colu
 
 
 def _pieces(text: str, n: Column) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text) - n + 1)
-    return F.array_distinct(F.transform(starts, lambda p: F.substring(F.col(text), p, n)))
+    """All different pieces of n characters; a look-ahead walks the text once."""
+    pattern = F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))"))
+    return F.array_distinct(F.regexp_extract_all(F.col(text), pattern, F.lit(1)))
 
 
 def containing(needles: DataFrame, hays: DataFrame, keys: list[str], piece: int = 6) -> DataFrame:
