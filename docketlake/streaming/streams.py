@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import rules
 from ..operators.chunking import ChunkLimits, chunk_documents, select_strategy
 from ..operators.cleaning import clean_documents
+from ..operators.scale import spread
 from ..sources.files import decode_files
 from ..sources.stores import save_replacing
 from ..sources.tables import SCHEMAS
@@ -54,7 +55,7 @@ def stream_ingest(documents: DataFrame, chunk_path: str, checkpoint: str, limits
 
     def write(batch: DataFrame, _: int) -> None:
         if batch.limit(1).count():
-            save_replacing(batch.sparkSession, ingest_batch(batch, limits), chunk_path, ["doc_id"])
+            save_replacing(batch.sparkSession, ingest_batch(spread(batch, "doc_id"), limits), chunk_path, ["doc_id"])
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
