@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import col, contains_any, matches, or_default, sentences, strip
+from ..functions.text import bind, col, contains_any, matches, sentences, strip
 
 
 def combine_confidence(**parts: Column) -> Column:
@@ -76,10 +76,14 @@ def witnesses(text: Column) -> Column:
 
 def issue_labels(issue: str | Column) -> Column:
     """All categories with a keyword in the text, in table order; one fallback label."""
-    t = F.lower(col(issue))
-    hits = F.filter(F.array(*[F.when(contains_any(t, kws), name) for name, kws in rules.ISSUE_KEYWORDS]), lambda x: x.isNotNull())
-    fallback = F.when(contains_any(t, ["procedure", "jurisdiction"]), "Procedural").otherwise("Civil")
-    return F.when(F.size(hits) > 0, hits).otherwise(F.array(fallback))
+
+    def labels(t: Column) -> Column:
+        hits = F.array(*[F.when(contains_any(t, kws), name) for name, kws in rules.ISSUE_KEYWORDS])
+        fallback = F.when(contains_any(t, ["procedure", "jurisdiction"]), "Procedural").otherwise("Civil")
+        found = F.filter(hits, lambda x: x.isNotNull())
+        return bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(fallback)))
+
+    return bind(F.lower(col(issue)), labels)
 
 
 def issue_confidence(labels: Column) -> Column:
@@ -89,9 +93,9 @@ def issue_confidence(labels: Column) -> Column:
 def issues(text: Column) -> Column:
     def one(m: Column) -> Column:
         full = F.concat(F.lit("Whether "), strip(m))
-        labels = issue_labels(full)
-        return _item(issue_confidence(labels), kind=F.lit("issue"), type=F.lit("issue"), text=full, category=F.get(labels, F.lit(0)),
-                     labels=F.array_join(labels, ","))
+        return bind(issue_labels(full), lambda labels: _item(
+            issue_confidence(labels), kind=F.lit("issue"), type=F.lit("issue"), text=full, category=F.get(labels, F.lit(0)),
+            labels=F.array_join(labels, ",")))
 
     return F.transform(matches(text, rules.ISSUE_PATTERN), one)
 
@@ -108,21 +112,23 @@ def arguments(text: Column, table=rules.ARGUMENT_RULES) -> Column:
     def typed(name: str, conf: float):
         return lambda m: _item(F.lit(conf), kind=F.lit("claim"), type=F.lit(name), text=strip(m))
 
-    found = [F.transform(matches(text, p), typed(name, conf)) for name, conf, p in table]
+    # A rule is only searched in texts that hold one of its words; a literal search is much cheaper.
+    gated = lambda name, p: F.when(contains_any(F.lower(text), rules.ARGUMENT_WORDS[name]), matches(text, p)).otherwise(F.array().cast("array<string>"))
+    found = [F.transform(gated(name, p), typed(name, conf)) for name, conf, p in table]
     return F.filter(F.concat(*found), lambda x: x["text"] != "")
 
 
 def evidence_strength(description: str | Column) -> Column:
-    t = F.lower(col(description))
-    return F.when(contains_any(t, rules.STRONG_EVIDENCE), 0.90).when(contains_any(t, rules.WEAK_EVIDENCE), 0.25).otherwise(0.50)
+    return bind(F.lower(col(description)), lambda t: F.when(contains_any(t, rules.STRONG_EVIDENCE), 0.90).when(
+        contains_any(t, rules.WEAK_EVIDENCE), 0.25).otherwise(0.50))
 
 
 def evidence(text: Column) -> Column:
     def one(m: Column) -> Column:
         t = strip(m)
         kind = F.when(F.lower(t).contains("testified"), "witness_testimony").when(F.lower(t).contains("forensic"), "forensic").otherwise("exhibit")
-        s = evidence_strength(t)
-        return _item(combine_confidence(extractor=F.lit(rules.EVIDENCE_CONFIDENCE), strength=s), strength=s, kind=F.lit("evidence"), type=kind, text=t)
+        return bind(evidence_strength(t), lambda s: _item(
+            combine_confidence(extractor=F.lit(rules.EVIDENCE_CONFIDENCE), strength=s), strength=s, kind=F.lit("evidence"), type=kind, text=t))
 
     return F.concat(*[F.transform(matches(text, p), one) for p in rules.EVIDENCE_PATTERNS])
 
@@ -146,22 +152,22 @@ def normalize_statute(act: str | Column, section: str | Column) -> Column:
 
 def statutes(text: Column) -> Column:
     def one(m: Column) -> Column:
-        n = normalize_statute(m["g3"], F.concat(m["g1"], F.lit(" "), m["g2"]))
-        return _item(combine_confidence(extractor=F.lit(rules.STATUTE_CONFIDENCE), normalization=F.lit(0.95)), kind=F.lit("statute"), type=F.lit("statute"),
-                     text=n["act"], role=n["section"], category=n["offence"], reference=n["reference"], aliases=n["aliases"])
+        return bind(normalize_statute(m["g3"], F.concat(m["g1"], F.lit(" "), m["g2"])), lambda n: _item(
+            combine_confidence(extractor=F.lit(rules.STATUTE_CONFIDENCE), normalization=F.lit(0.95)), kind=F.lit("statute"), type=F.lit("statute"),
+            text=n["act"], role=n["section"], category=n["offence"], reference=n["reference"], aliases=n["aliases"]))
 
     return F.transform(_groups(text, rules.STATUTE_PATTERN, 1, 2, 3), one)
 
 
 def facts(text: Column, page: Column | None = None) -> Column:
-    hit = F.filter(sentences(text), lambda s: contains_any(F.lower(s), rules.FACT_TRIGGERS))
+    hit = F.filter(sentences(text), lambda s: bind(F.lower(s), lambda t: contains_any(t, rules.FACT_TRIGGERS)))
 
     def one(s: Column) -> Column:
-        procedural = contains_any(F.lower(s), rules.PROCEDURAL_FACTS)
-        return _item(F.lit(rules.FACT_CONFIDENCE), kind=F.lit("fact"), type=F.lit("fact"), text=s,
-                     category=F.when(procedural, "Procedural Facts").otherwise("Factual Findings"),
-                     importance=F.when(procedural, 0.5).otherwise(0.8),
-                     reference=F.concat(F.lit("Page "), page) if page is not None else F.lit(None))
+        return bind(bind(F.lower(s), lambda t: contains_any(t, rules.PROCEDURAL_FACTS)), lambda procedural: _item(
+            F.lit(rules.FACT_CONFIDENCE), kind=F.lit("fact"), type=F.lit("fact"), text=s,
+            category=F.when(procedural, "Procedural Facts").otherwise("Factual Findings"),
+            importance=F.when(procedural, 0.5).otherwise(0.8),
+            reference=F.concat(F.lit("Page "), page) if page is not None else F.lit(None)))
 
     return F.transform(hit, one)
 

@@ -186,7 +186,7 @@ def with_usage(messages: DataFrame) -> DataFrame:
         "model", F.coalesce("usage.model_used", F.lit("mock")))
 
 
-def llm_metrics(messages: DataFrame, by: list[str] | None = None) -> DataFrame:
+def model_metrics(messages: DataFrame, by: list[str] | None = None) -> DataFrame:
     df = with_usage(messages)
     return bundle(df, "models", cards={
         "Total Requests": (F.count("*"), "reqs"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clamp, col, first_regex, matches, strip
+from ..functions.text import bind, clamp, col, first_regex, matches, strip
 from ..session import cut_lineage
 from .graph import both_ways
 from .metrics import bundle
@@ -162,8 +162,9 @@ def contradicting_facts(facts: DataFrame, by: str = "case_id", id: str = "fact_i
     opposing words are counted per mask with running sums, and a fact with mask m opposes
     every later fact whose mask meets m.
     """
-    t = F.lower(text)
-    df = facts.select(by, id, _flags(t, 0).alias("left"), _flags(t, 1).alias("right")).filter("`left` > 0 or `right` > 0")
+    both = bind(F.lower(text), lambda t: F.struct(_flags(t, 0).alias("left"), _flags(t, 1).alias("right")))
+    df = facts.select(by, id, both.alias("_f")).select(by, id, "_f.left", "_f.right")
+    df = cut_lineage(df).filter("`left` > 0 or `right` > 0")  # the texts are read once
     masks = range(1, 2 ** len(rules.OPPOSING_FACTS))
     hit = {f"n{m}": F.when(F.col("right").bitwiseAND(F.lit(m)) > 0, 1).otherwise(0) for m in masks}
     upto = running_sums(df, [by], [id], hit)

@@ -137,15 +137,17 @@ def containing(needles: DataFrame, hays: DataFrame, keys: list[str], piece: int
     does not bring everything together.  Every candidate is verified.
     """
     size = F.least(F.length("text"), F.lit(piece))
+    # Pieces travel as hashes of (keys, length, piece); equal hashes of different pieces fail the final test.
+    hashed = lambda df, id: df.select(*keys, id, F.explode(_pieces("text", F.col("_n"))).alias("_p"), "_n").select(
+        *keys, id, F.xxhash64(*keys, "_n", "_p").alias("_h"))
     small = needles.filter("text <> ''").withColumn("_n", size)
-    wanted = small.select(*keys, "nid", "_n", F.explode(_pieces("text", F.col("_n"))).alias("_p"))
+    wanted = hashed(small, "nid")
     sizes = small.select(*keys, "_n").distinct()
-    grams = hays.join(sizes, keys).filter(F.length("text") >= F.col("_n")).select(*keys, "hid", "_n", F.explode(_pieces("text", F.col("_n"))).alias("_p"))
-    on = [*keys, "_n", "_p"]
-    grams = grams.join(wanted.select(*on).distinct(), on, "left_semi")
-    freq = grams.groupBy(*on).agg(F.count("*").alias("_f"))
-    rare = wanted.join(freq, on).groupBy(*keys, "nid", "_n").agg(F.min_by("_p", F.struct("_f", "_p")).alias("_p"))
-    pairs = rare.join(grams, on).select(*keys, "nid", "hid")
+    grams = hashed(hays.join(sizes, keys).filter(F.length("text") >= F.col("_n")), "hid")
+    grams = grams.join(wanted.select("_h").distinct(), "_h", "left_semi")
+    freq = grams.groupBy("_h").agg(F.count("*").alias("_f"))
+    rare = wanted.join(freq, "_h").groupBy(*keys, "nid").agg(F.min_by("_h", F.struct("_f", "_h")).alias("_h"))
+    pairs = rare.join(grams.select("_h", "hid"), "_h").select(*keys, "nid", "hid")
     n = needles.select(*keys, "nid", F.col("text").alias("_needle"))
     h = hays.select(*keys, "hid", F.col("text").alias("_hay"))
     return pairs.join(n, [*keys, "nid"]).join(h, [*keys, "hid"]).filter(F.contains("_hay", "_needle")).select(*keys, "nid", "hid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import dialog as op
 from ..operators import knowledge, timeline
+from ..session import cut_lineage
 from ..sources.tables import load_table
 from . import standins as st
 from .knowledge import _W
@@ -161,7 +162,7 @@ def i12(spark, folder):
 @query("i12_summary_lines_by_type")
 def i12_types(spark, folder):
     """Number and size of the lines of every summary type."""
-    cases, items = st.rows(spark, folder, _CASE_ROWS), _known(spark, folder)
+    cases, items = st.rows(spark, folder, _CASE_ROWS), cut_lineage(_known(spark, folder))  # six readers
     events = timeline.extract_events(legal_chunks(spark, folder)).withColumn("event_id", F.concat_ws("/", "doc_id", "position"))
     out = None
     for t in ("executive", "chronological", "legal", "parties", "evidence", "arguments"):

@@ -9,6 +9,7 @@ from ..operators import entities as ent
 from ..operators import graph as gr
 from ..operators import knowledge as op
 from ..operators import metrics
+from ..session import cut_lineage
 from ..sources.tables import load_table
 from . import standins as st
 from .registry import query
@@ -299,7 +300,7 @@ _KIND_NAMES = {"fact": "Facts", "entity": "Entities", "claim": "Claims/Defenses"
 @query("j13_intelligence_metrics", f"""WITH {_W}, i AS ({_ITEMS_SQL}) SELECT 'intelligence' AS category, 'extracted_items' AS section, {_map_case('kind', _KIND_NAMES, 'NULL')} AS label, count(*)::DOUBLE AS value, 'count' AS unit FROM i WHERE kind <> 'issue' GROUP BY kind
 UNION ALL SELECT 'intelligence', 'evidence_strength_distribution', CASE WHEN role::DOUBLE >= 0.8 THEN 'Strong Evidence (>80%)' WHEN role::DOUBLE >= 0.5 THEN 'Medium Strength (50-80%)' ELSE 'Weak/Unverified' END, count(*), 'count' FROM i WHERE kind = 'evidence' GROUP BY 3""")
 def j13(spark, folder):
-    items = op.extract(legal_chunks(spark, folder)).filter("kind <> 'issue'")
+    items = cut_lineage(op.extract(legal_chunks(spark, folder)).select("kind", "strength").filter("kind <> 'issue'"))
     names = F.create_map(*[F.lit(x) for kv in _KIND_NAMES.items() for x in kv])
     return metrics.intelligence_metrics(items.withColumn("kind", names[F.col("kind")]), items.filter("kind = 'evidence'"))
 

@@ -127,7 +127,7 @@ _USAGE = f"""SELECT *, ok, CAST(u->>'$.prompt_tokens' AS BIGINT) AS pt, CAST(u->
 @query("j8_model_metrics", f"WITH m AS ({_USAGE})\n" + _bundle("m", "models", {
     "Total Requests": ("count(*)", "reqs"), "Avg Latency": ("round(avg(latency_ms), 1)", "ms")}, {"requests_by_model": "model"}))
 def j8(spark, folder):
-    return op.llm_metrics(st.rows(spark, folder, st.MESSAGES))
+    return op.model_metrics(st.rows(spark, folder, st.MESSAGES))
 
 
 @query("j9_token_metrics", f"WITH m AS (SELECT * FROM ({_USAGE}) WHERE ok)\n" + _bundle("m", "tokens", {

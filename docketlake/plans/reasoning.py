@@ -8,6 +8,7 @@ from ..functions import rules
 from ..operators import knowledge
 from ..operators import reasoning as op
 from ..operators import timeline
+from ..session import cut_lineage
 from ..sources.tables import load_table
 from . import standins as st
 from .knowledge import _W, _map_case
@@ -64,6 +65,7 @@ def h3_names(spark, folder):
 
 def _hop_items(spark, folder):
     items = knowledge.extract(legal_chunks(spark, folder), ["parties", "evidence"]).withColumn("sort_key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    items = cut_lineage(items.select("case_id", "item_id", "kind", "sort_key", "text"))
     pick = lambda k: items.filter(F.col("kind") == k).select("case_id", "item_id", "sort_key", "text")
     return pick("entity"), pick("evidence")
 
