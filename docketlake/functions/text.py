@@ -21,8 +21,8 @@ def bind(value: Column, fn) -> Column:
 
 
 def strip(c: str | Column) -> Column:
-    """Remove whitespace of any kind on both ends (``trim`` removes blanks only)."""
-    return F.regexp_replace(col(c), r"^\s+|\s+$", "")
+    """Remove whitespace of any kind on both ends (plain ``trim`` removes blanks only)."""
+    return F.trim(col(c), F.lit(" \t\n\x0b\f\r"))
 
 
 def squeeze(c: str | Column) -> Column:

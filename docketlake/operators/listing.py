@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, ellipsis, squeeze
-from .scale import first_by, last_by, top_per_key
+from ..functions.text import col
+from .scale import last_by
 
 # Sort orders of the listings.
 DOCUMENT_SORTS = {

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import contains_any, first_match, or_default, title_case
+from ..functions.text import first_match, or_default, title_case
 
 Cards = dict[str, tuple[Column, str]]
 Groups = dict[str, Column | tuple[Column, Column, str]]

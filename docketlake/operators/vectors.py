@@ -88,7 +88,9 @@ def _best(qids, qm, vids, vm, k, threshold) -> tuple[list, list, list]:
     scores = qm @ vm.T
     out_q, out_v, out_s = [], [], []
     for i in range(len(qids)):
-        top = np.argsort(-scores[i], kind="stable")[:k]
+        s = scores[i]
+        near = np.nonzero(s >= np.partition(s, -k)[-k])[0] if len(s) > k else np.arange(len(s))
+        top = near[np.argsort(-s[near], kind="stable")][:k]
         if threshold is not None:
             top = top[scores[i][top] >= threshold]
         out_q.extend([qids[i]] * len(top))

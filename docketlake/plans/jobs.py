@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..operators import jobs as op
-from ..sources.tables import load_table
 from . import standins as st
 from .registry import query
 from .sqltext import LIKE_ANY

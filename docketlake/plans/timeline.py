@@ -8,7 +8,7 @@ from ..functions import rules
 from ..operators import timeline as op
 from . import standins as st
 from .registry import query
-from .sqltext import CASE_REGEX, SENT, q
+from .sqltext import CASE_REGEX, SENT
 
 D = st.duck
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import col, strip
-from ..operators.scale import last_by
 
 
 def read_text_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators.scale import last_by
+from ..session import cut_lineage
 
 
 def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -17,17 +17,19 @@ def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame
 
 
 def save_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """``replace_by_key`` on disk: only the buckets that hold a new key are rewritten."""
+    """``replace_by_key`` on disk: only the buckets that hold a new key are rewritten.
+
+    Choose ``buckets`` so that a batch touches few of them.  The rebalance hint groups the
+    rows by bucket for writing and splits a bucket that is too large for one task.
+    """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
     fresh = new.withColumn("bucket", bucket)
     if _exists(spark, path):
         touched = fresh.select("bucket").distinct()
         kept = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
         fresh = fresh.unionByName(kept)
-        from ..session import cut_lineage
-
         fresh = cut_lineage(fresh)  # the folder is read and overwritten in one go
-    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    fresh.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
