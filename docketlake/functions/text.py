@@ -112,3 +112,13 @@ def unit(a: str | Column) -> Column:
     """The vector divided by its length; a zero vector becomes null."""
     n = norm(a)
     return F.when(n > 0, F.transform(col(a), lambda x: x.cast("double") / n))
+
+
+def rounded(c: str | Column, digits: int = 0) -> Column:
+    """Round half away from zero, after dropping the noise of the summation order.
+
+    A distributed sum may differ in its last bits from run to run; without the first step a
+    mean that ends in a five could fall on either side.
+    """
+    c = col(c)
+    return F.round(F.round(c, 10), digits) if digits < 10 else F.round(c, digits)

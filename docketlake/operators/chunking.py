@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import strip, token_estimate
+from ..functions.text import rounded, strip, token_estimate
 
 
 @dataclass(frozen=True)
@@ -311,10 +311,10 @@ def validate_chunks(chunks: DataFrame, documents: DataFrame, id: str = "doc_id",
 def chunk_stats(chunks: DataFrame, by: list[str]) -> DataFrame:
     return chunks.groupBy(*by).agg(
         F.count("*").alias("total_chunks"),
-        F.round(F.avg("chars"), 4).alias("average_chunk_size"),
+        rounded(F.avg("chars"), 4).alias("average_chunk_size"),
         F.max("chars").alias("largest_chunk"),
         F.min("chars").alias("smallest_chunk"),
-        F.round(F.avg("words"), 4).alias("average_words"),
+        rounded(F.avg("words"), 4).alias("average_words"),
         F.sum("tokens").alias("estimated_tokens"),
     )
 

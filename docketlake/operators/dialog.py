@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import col, contains_any, ellipsis, matches, strip
+from ..functions.text import col, contains_any, ellipsis, matches, rounded, strip
 from .metrics import with_usage
 from .scale import first_by, previous_value, top_per_key
 
@@ -238,9 +238,9 @@ def chat_stats(messages: DataFrame, by: list[str]) -> DataFrame:
     """Assistant messages per key: count, latency, tokens, cost."""
     df = with_usage(messages)
     return df.groupBy(*by).agg(
-        F.count("*").alias("total_chats"), F.round(F.avg("latency_ms"), 2).alias("average_latency_ms"),
+        F.count("*").alias("total_chats"), rounded(F.avg("latency_ms"), 2).alias("average_latency_ms"),
         F.coalesce(F.sum("token_count"), F.lit(0)).alias("total_tokens_used"),
-        F.round(F.coalesce(F.sum("usage.estimated_cost"), F.lit(0.0)), 5).alias("total_estimated_cost"))
+        rounded(F.coalesce(F.sum("usage.estimated_cost"), F.lit(0.0)), 5).alias("total_estimated_cost"))
 
 
 def model_usage(messages: DataFrame, by: list[str]) -> DataFrame:

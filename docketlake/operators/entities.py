@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import dot, unit
+from ..functions.text import dot, rounded, unit
 from ..session import cut_lineage
 from .knowledge import name_jaccard, name_tokens, normalize_entity_name
 
@@ -112,7 +112,7 @@ def resolve_entities(entities: DataFrame, vector: str | None = None, threshold:
     best = (
         ids.join(options, "first_id").filter(F.col("head_id") < F.col("entity_id")).groupBy("entity_id")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("head_id").alias("h"))).alias("m"))
-        .select("entity_id", F.col("m.h").alias("canonical_id"), F.round(-F.col("m.s"), 3).alias("similarity"))
+        .select("entity_id", F.col("m.h").alias("canonical_id"), rounded(-F.col("m.s"), 3).alias("similarity"))
     )
     return entities.join(best, "entity_id", "left").withColumn(
         "status", F.when(F.col("canonical_id").isNull(), "canonical").otherwise("merged"))

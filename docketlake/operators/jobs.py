@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import contains_any
+from ..functions.text import contains_any, rounded
 from .scale import last_by, running_sum
 
 # Which log message moves which stage, and to what.
@@ -62,7 +62,7 @@ def job_stage_timeline(jobs: DataFrame, logs: DataFrame) -> DataFrame:
 def job_warnings(texts: DataFrame) -> DataFrame:
     """Low confidence and the stored warnings, which are a JSON list or a JSON object."""
     low = F.when(F.col("confidence") < 0.70, F.concat(
-        F.lit("Low OCR confidence score detected: "), F.round(F.col("confidence") * 100, 1).cast("string"), F.lit("%")))
+        F.lit("Low OCR confidence score detected: "), rounded(F.col("confidence") * 100, 1).cast("string"), F.lit("%")))
     as_list = F.from_json("warnings_json", "array<string>")
     as_map = F.from_json("warnings_json", "map<string,string>")
     pairs = F.transform(F.map_entries(as_map), lambda e: F.concat(e["key"], F.lit(": "), e["value"]))

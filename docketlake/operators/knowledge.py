@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import bind, col, contains_any, matches, sentences, strip
+from ..functions.text import bind, col, contains_any, matches, rounded, sentences, strip
 
 
 def combine_confidence(**parts: Column) -> Column:
@@ -26,7 +26,7 @@ def combine_confidence(**parts: Column) -> Column:
         if name in parts:
             num = num + F.coalesce(parts[name] * weight, F.lit(0.0))
             den = den + F.when(parts[name].isNotNull(), weight).otherwise(0.0)
-    return F.when(den > 0, F.least(F.greatest(F.round(num / den, 3), F.lit(0.0)), F.lit(1.0))).otherwise(parts.get("extractor", F.lit(None)))
+    return F.when(den > 0, F.least(F.greatest(rounded(num / den, 3), F.lit(0.0)), F.lit(1.0))).otherwise(parts.get("extractor", F.lit(None)))
 
 
 _TEXT_FIELDS = ("kind", "type", "text", "role", "category", "labels", "reference", "aliases")
@@ -86,7 +86,7 @@ def issue_labels(issue: str | Column) -> Column:
 
 
 def issue_confidence(labels: Column) -> Column:
-    return F.round(F.least(F.lit(0.75) + F.size(labels) * F.lit(0.05), F.lit(0.98)), 3)
+    return rounded(F.least(F.lit(0.75) + F.size(labels) * F.lit(0.05), F.lit(0.98)), 3)
 
 
 def issues(text: Column) -> Column:

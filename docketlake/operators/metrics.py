@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import first_match, or_default, title_case
+from ..functions.text import first_match, or_default, rounded, title_case
 
 Cards = dict[str, tuple[Column, str]]
 Groups = dict[str, Column | tuple[Column, Column, str]]
@@ -53,7 +53,7 @@ def bundle(df: DataFrame, category: str, cards: Cards | None = None, groups: Gro
 
 def share(part: Column, whole: Column, empty: float = 100.0, digits: int = 1) -> Column:
     """Percentage, or ``empty`` when there is nothing to divide by."""
-    return F.when(whole > 0, F.round(part / whole * 100.0, digits)).otherwise(F.lit(empty))
+    return F.when(whole > 0, rounded(part / whole * 100.0, digits)).otherwise(F.lit(empty))
 
 
 def n_if(cond: Column) -> Column:
@@ -94,7 +94,7 @@ def document_metrics(docs: DataFrame, by: list[str] | None = None, largest: int
         docs, "documents",
         cards={
             "Total Documents": (F.count("*"), "files"),
-            "Storage Used": (F.round(F.sum(size) / mb, 2), "MB"),
+            "Storage Used": (rounded(F.sum(size) / mb, 2), "MB"),
             "Success Rate": (share(n_if(F.col("status") == "processed"), F.count("*")), "%"),
         },
         groups={
@@ -110,7 +110,7 @@ def document_metrics(docs: DataFrame, by: list[str] | None = None, largest: int
         return rows
     top = docs.orderBy(F.desc("file_size"), "doc_id").limit(largest).select(
         F.lit("documents").alias("category"), F.lit("largest_documents").alias("section"), F.col("filename").alias("label"),
-        F.round(size / mb, 2).alias("value"), F.lit("MB").alias("unit"))
+        rounded(size / mb, 2).alias("value"), F.lit("MB").alias("unit"))
     return rows.unionByName(top)
 
 
@@ -125,7 +125,7 @@ def processing_metrics(jobs: DataFrame, records: DataFrame) -> DataFrame:
         "Success Rate": (share(done, F.count("*")), "%")})
     durations = (
         records.filter(F.col("category") == "document_processing").groupBy().agg(
-            *[F.round(F.avg(F.when(F.col("metric_name") == m, F.col("metric_value"))), 2).alias(m) for m in stages])
+            *[rounded(F.avg(F.when(F.col("metric_name") == m, F.col("metric_value"))), 2).alias(m) for m in stages])
         .select(F.inline(F.array(*[
             F.struct(F.lit("processing").alias("category"), F.lit("stage_durations").alias("section"), F.lit(label).alias("label"),
                      F.col(m).alias("value"), F.lit("s").alias("unit")) for m, label in stages.items()]))))
@@ -136,7 +136,7 @@ def embedding_metrics(vectors: DataFrame, runs: DataFrame) -> DataFrame:
     a = bundle(vectors, "embeddings", cards={
         "Vectors": (F.count("*"), "vectors"), "Dimension": (F.max(F.size("embedding")), "dims")})
     b = bundle(runs.filter("status = 'completed'"), "embeddings", cards={
-        "Avg Latency": (F.round(F.avg(seconds("started_at", "completed_at")), 2), "s")})
+        "Avg Latency": (rounded(F.avg(seconds("started_at", "completed_at")), 2), "s")})
     return a.unionByName(b)
 
 
@@ -155,9 +155,9 @@ def retrieval_metrics(log: DataFrame, by: list[str] | None = None) -> DataFrame:
         log, "retrieval",
         cards={
             "Search Queries": (F.count("*"), "searches"),
-            "Avg Latency": (F.round(F.avg("latency_ms"), 1), "ms"),
-            "Avg Chunks": (F.round(F.avg("chunks_returned"), 1), "chunks"),
-            "Avg Relevance": (F.round(F.avg("top_score") * 100.0, 1), "%"),
+            "Avg Latency": (rounded(F.avg("latency_ms"), 1), "ms"),
+            "Avg Chunks": (rounded(F.avg("chunks_returned"), 1), "chunks"),
+            "Avg Relevance": (rounded(F.avg("top_score") * 100.0, 1), "%"),
         },
         groups={"query_categories": first_match(F.lower("query_text"), rules.QUERY_CATEGORIES, rules.QUERY_CATEGORY_DEFAULT)},
         by=by,
@@ -168,7 +168,7 @@ def conversation_metrics(messages: DataFrame, first: int = 5) -> DataFrame:
     per_session = messages.groupBy("session_id").agg(F.count("*").alias("n"))
     cards = bundle(per_session, "conversations", cards={
         "Sessions": (F.count("*"), "sessions"), "Messages": (F.sum("n"), "msgs"),
-        "Avg Messages": (F.round(F.sum("n") / F.count("*"), 1), "msgs")})
+        "Avg Messages": (rounded(F.sum("n") / F.count("*"), 1), "msgs")})
     shown = per_session.orderBy("session_id").limit(first).select(
         F.lit("conversations").alias("category"), F.lit("messages_per_session").alias("section"),
         F.concat(F.lit("Session "), F.col("session_id")).alias("label"), F.col("n").cast("double").alias("value"), F.lit("msgs").alias("unit"))
@@ -190,7 +190,7 @@ def model_metrics(messages: DataFrame, by: list[str] | None = None) -> DataFrame
     df = with_usage(messages)
     return bundle(df, "models", cards={
         "Total Requests": (F.count("*"), "reqs"),
-        "Avg Latency": (F.round(F.avg(F.coalesce("latency_ms", F.lit(0.0))), 1), "ms")},
+        "Avg Latency": (rounded(F.avg(F.coalesce("latency_ms", F.lit(0.0))), 1), "ms")},
         groups={"requests_by_model": F.col("model")}, by=by)
 
 
@@ -207,9 +207,9 @@ def cost_metrics(messages: DataFrame, by: list[str] | None = None) -> DataFrame:
     cost = F.sum(F.coalesce("usage.estimated_cost", F.lit(0.0)))
     model = F.when(F.col("usage").isNotNull(), F.col("model")).otherwise("(no usage)")
     return bundle(df, "cost", cards={
-        "Total Spend": (F.round(cost, 4), "USD"), "Avg Cost / Req": (F.round(cost / F.count("*"), 4), "USD"),
-        "Projected Monthly": (F.round(cost * 30.0, 2), "USD")},
-        groups={"cost_by_model": (model, F.round(cost, 4), "USD")}, by=by)
+        "Total Spend": (rounded(cost, 4), "USD"), "Avg Cost / Req": (rounded(cost / F.count("*"), 4), "USD"),
+        "Projected Monthly": (rounded(cost * 30.0, 2), "USD")},
+        groups={"cost_by_model": (model, rounded(cost, 4), "USD")}, by=by)
 
 
 def citation_metrics(messages: DataFrame) -> DataFrame:
@@ -217,7 +217,7 @@ def citation_metrics(messages: DataFrame) -> DataFrame:
         "cites", F.coalesce(F.from_json("citations_json", "array<struct<document_title string>>"), F.array()))
     total = F.sum(F.size("cites"))
     cards = bundle(df, "citations", cards={
-        "Citations Logged": (total, "cites"), "Avg Citations / Chat": (F.round(total / F.count("*"), 1), "cites")})
+        "Citations Logged": (total, "cites"), "Avg Citations / Chat": (rounded(total / F.count("*"), 1), "cites")})
     by_doc = bundle(df.select(F.explode("cites").alias("c")), "citations", groups={
         "citations_by_document": F.coalesce("c.document_title", F.lit("Unknown Source"))})
     return cards.unionByName(by_doc)
@@ -243,7 +243,7 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     by_type = bundle(edges, "graph", cards={"Total Relation Edges": (F.count("*"), "edges")},
                      groups={"relationship_types_distribution": title_case("type")})
     totals = nodes.agg(F.count("*").alias("n")).crossJoin(edges.agg(F.count("*").alias("e")))  # one row each
-    density = F.when(F.col("n") > 0, F.round(F.col("e") / F.col("n"), 2)).otherwise(0.0)
+    density = F.when(F.col("n") > 0, rounded(F.col("e") / F.col("n"), 2)).otherwise(0.0)
     row = lambda label, value, unit: F.struct(
         F.lit("graph").alias("category"), F.lit("metrics").alias("section"), F.lit(label).alias("label"), value.cast("double").alias("value"),
         F.lit(unit).alias("unit"))
@@ -255,7 +255,7 @@ def quality_metrics(items: DataFrame, by: list[str] | None = None) -> DataFrame:
     c = F.col("confidence")
     level = F.when(c >= 0.9, "High (> 90%)").when(c >= 0.7, "Medium (70-90%)").otherwise("Low (< 70%)")
     return bundle(items, "quality", cards={
-        "Extraction Quality": (F.round(F.coalesce(F.avg(c), F.lit(0.95)) * 100.0, 1), "%")},
+        "Extraction Quality": (rounded(F.coalesce(F.avg(c), F.lit(0.95)) * 100.0, 1), "%")},
         groups={"confidence_distribution": level}, by=by)
 
 
@@ -301,7 +301,7 @@ def job_stats(jobs: DataFrame, as_of, by: list[str] | None = None, digits: int =
         n_if(s.isin("running", "starting")).alias("running"), n_if(s == "completed").alias("completed"),
         n_if(s == "failed").alias("failed"), n_if(s == "cancelled").alias("cancelled"),
         n_if((s == "completed") & (F.col("completed_at") >= today)).alias("completed_today"),
-        F.round(F.avg(F.when(s == "completed", seconds("started_at", "completed_at"))), digits).alias("average_duration_seconds"))
+        rounded(F.avg(F.when(s == "completed", seconds("started_at", "completed_at"))), digits).alias("average_duration_seconds"))
 
 
 def job_dashboard(jobs: DataFrame, records: DataFrame, by: list[str]) -> DataFrame:
@@ -320,8 +320,8 @@ def job_dashboard(jobs: DataFrame, records: DataFrame, by: list[str]) -> DataFra
     return j.join(r, by, "left").select(
         *by, "total_jobs", "queued", "running", "completed", "failed", "cancelled",
         share(F.col("completed"), ended, 100.0, 2).alias("success_rate"),
-        F.coalesce(F.round(F.coalesce("_m_run", "_run"), 2), F.lit(0.0)).alias("average_processing_time"),
-        F.coalesce(F.round(F.coalesce("_m_wait", "_wait"), 2), F.lit(0.0)).alias("average_queue_time"))
+        F.coalesce(rounded(F.coalesce("_m_run", "_run"), 2), F.lit(0.0)).alias("average_processing_time"),
+        F.coalesce(rounded(F.coalesce("_m_wait", "_wait"), 2), F.lit(0.0)).alias("average_queue_time"))
 
 
 def queue_health(jobs: DataFrame, records: DataFrame) -> DataFrame:
@@ -329,8 +329,8 @@ def queue_health(jobs: DataFrame, records: DataFrame) -> DataFrame:
     j = jobs.agg(n_if(s.isin("pending", "queued")).alias("waiting_jobs"), n_if(s.isin("starting", "running")).alias("running_jobs"),
                  F.sum("retry_count").alias("retry_count"), n_if(s == "failed").alias("failed_jobs"))
     r = records.agg(
-        F.round(F.avg(F.when(m == "queue_wait_time", F.col("metric_value"))), 2).alias("average_wait_time"),
-        F.round(F.avg(F.when(m == "worker_execution_time", F.col("metric_value"))), 2).alias("average_processing_duration"))
+        rounded(F.avg(F.when(m == "queue_wait_time", F.col("metric_value"))), 2).alias("average_wait_time"),
+        rounded(F.avg(F.when(m == "worker_execution_time", F.col("metric_value"))), 2).alias("average_processing_duration"))
     return j.crossJoin(r)  # one row each
 
 
@@ -344,7 +344,7 @@ def daily_trend(jobs: DataFrame, records: DataFrame, first_day: str, last_day: s
     created = per_day(jobs, "created_at", F.count("*").alias("total_jobs"))
     ended = per_day(jobs, "completed_at", n_if(s == "completed").alias("success_count"), n_if(s == "failed").alias("failure_count"))
     spent = per_day(records.filter("metric_name = 'total_processing_duration'"), "recorded_at",
-                    F.round(F.avg("metric_value"), 2).alias("avg_processing_time"))
+                    rounded(F.avg("metric_value"), 2).alias("avg_processing_time"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return days.join(created, "day", "left").join(ended, "day", "left").join(spent, "day", "left").select(
         F.date_format("day", "yyyy-MM-dd").alias("date"), zero("total_jobs"), zero("success_count"), zero("failure_count"),
@@ -354,7 +354,7 @@ def daily_trend(jobs: DataFrame, records: DataFrame, first_day: str, last_day: s
 def performance_report(jobs: DataFrame, records: DataFrame, texts: DataFrame, chunks: DataFrame) -> DataFrame:
     """One row: stage means, rates, text sizes, pages and chunks per chunked document."""
     s, m = F.col("status"), F.col("metric_name")
-    mean = lambda name: F.coalesce(F.round(F.avg(F.when(m == name, F.col("metric_value"))), 2), F.lit(0.0))
+    mean = lambda name: F.coalesce(rounded(F.avg(F.when(m == name, F.col("metric_value"))), 2), F.lit(0.0))
     r = records.agg(mean("total_processing_duration").alias("average_processing_time"),
                     mean("extraction_duration").alias("average_extraction_time"),
                     mean("cleaning_duration").alias("average_cleaning_time"),
@@ -364,6 +364,6 @@ def performance_report(jobs: DataFrame, records: DataFrame, texts: DataFrame, ch
                  share(n_if(s == "failed"), F.count("*"), 0.0, 2).alias("failure_rate"))
     t = texts.agg(F.max(F.length("text")).alias("largest_processed_document_size"),
                   F.min(F.length("text")).alias("smallest_processed_document_size"),
-                  F.round(F.avg("page_count"), 2).alias("average_pages_processed"))
-    c = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.round(F.avg("n"), 2).alias("average_chunks_generated"))
+                  rounded(F.avg("page_count"), 2).alias("average_pages_processed"))
+    c = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).agg(rounded(F.avg("n"), 2).alias("average_chunks_generated"))
     return r.crossJoin(j).crossJoin(t).crossJoin(c)  # one row each

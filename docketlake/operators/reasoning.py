@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import bind, clamp, col, first_regex, matches, strip
+from ..functions.text import bind, clamp, col, first_regex, matches, rounded, strip
 from ..session import cut_lineage
 from .graph import both_ways
 from .metrics import bundle
@@ -107,7 +107,7 @@ def rank_chunk_evidence(chunks: DataFrame, central: DataFrame) -> DataFrame:
         F.format_string("High semantic relevance (%.2f)", "score"),
         F.when(boost > 0, F.format_string(" and mentions central entity with degree centrality boost (+%.2f)", boost)).otherwise(""),
         F.when(early > 0, ". Ranked early in vector search retrieval.").otherwise(""))
-    return df.select("query_id", "item_id", F.lit("chunk").alias("type"), F.round(score, 3).alias("score"), why.alias("explanation"))
+    return df.select("query_id", "item_id", F.lit("chunk").alias("type"), rounded(score, 3).alias("score"), why.alias("explanation"))
 
 
 def rank_event_evidence(events: DataFrame, queries: DataFrame) -> DataFrame:
@@ -118,7 +118,7 @@ def rank_event_evidence(events: DataFrame, queries: DataFrame) -> DataFrame:
     score = F.least(F.lit(1.0), F.col("confidence") * 0.7 + boost)
     why = F.concat(F.format_string("Timeline Event with extraction confidence (%.2f)", "confidence"),
                    F.when(boost > 0, F.format_string(" and direct query keyword matching boost (+%.2f)", boost)).otherwise(""))
-    return df.select("query_id", "item_id", F.lit("event").alias("type"), F.round(score, 3).alias("score"), why.alias("explanation"))
+    return df.select("query_id", "item_id", F.lit("event").alias("type"), rounded(score, 3).alias("score"), why.alias("explanation"))
 
 
 def rank_evidence(chunks: DataFrame, central: DataFrame, events: DataFrame, queries: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def rank_citations(citations: DataFrame) -> DataFrame:
     best = first_by(df, ["query_id", "_prefix"], ["_neg", "id"]).drop("_prefix", "_neg")
     s = F.col("score")
     return best.withColumn("strength", F.when(s >= 0.8, "Primary").when(s >= 0.6, "Supporting").otherwise("Contextual")).withColumn(
-        "relevance_score", F.round("score", 3))
+        "relevance_score", rounded("score", 3))
 
 
 # ---- contradictions -----------------------------------------------------------------------------------------
@@ -208,7 +208,7 @@ def calibrate_confidence(queries: DataFrame, chunks: DataFrame, citations: DataF
     graph = F.least(F.lit(1.0), F.lit(0.40) + n("_entities") * F.lit(0.10))
     timeline = F.least(F.lit(1.0), F.lit(0.50) + n("_events") * F.lit(0.10))
     overall = clamp(quality * 0.30 + support * 0.25 + agreement * 0.25 + (graph + timeline) / 2 * 0.20)
-    r = lambda c, name: F.round(c, 3).alias(name)
+    r = lambda c, name: rounded(c, 3).alias(name)
     return df.select("query_id", r(overall, "overall_confidence"), r(quality, "retrieval_quality"), r(support, "citation_support"),
                      r(agreement, "evidence_agreement"), r(graph, "graph_connectivity"), r(timeline, "timeline_completeness"))
 
@@ -239,7 +239,7 @@ def validate_answers(answers: DataFrame, threshold: float = 0.50) -> DataFrame:
     score = F.greatest(F.lit(0.0), F.lit(1.0) - F.size(w) * F.lit(0.15))
     high = F.exists(w, lambda x: x["severity"] == "high")
     return answers.withColumn("_w", _warnings(F.col("answer"), F.col("context"), F.col("citations"))).select(
-        "answer_id", ((score >= threshold) & ~high).alias("success"), F.round(score, 3).alias("grounding_score"), (F.col("citations") > 0).alias("citation_coverage"),
+        "answer_id", ((score >= threshold) & ~high).alias("success"), rounded(score, 3).alias("grounding_score"), (F.col("citations") > 0).alias("citation_coverage"),
         F.size(w).alias("warnings"), F.when(F.size(w) < 3, "verified").otherwise("needs_review").alias("logical_consistency"))
 
 
@@ -255,7 +255,7 @@ def _say(c: str, yes: str, no: str) -> Column:
 
 def _size_ratio(c: str) -> Column:
     a, b = F.col(f"a.{c}"), F.col(f"b.{c}")
-    return F.round(F.least(a, b) / F.greatest(a, b, F.lit(1)), 2)
+    return rounded(F.least(a, b) / F.greatest(a, b, F.lit(1)), 2)
 
 
 # Per kind (parameter, column, similarity, evaluation), and the overall score.
@@ -310,7 +310,7 @@ def qa_analytics(history: DataFrame, by: list[str] | None = None) -> DataFrame:
     c = F.col("confidence")
     level = F.when(c < 0.4, "0.0-0.4").when(c < 0.6, "0.4-0.6").when(c < 0.8, "0.6-0.8").otherwise("0.8-1.0")
     return bundle(df, "reasoning", cards={
-        "total_queries": (F.count("*"), "queries"), "average_latency_ms": (F.round(F.avg(F.coalesce("latency_ms", F.lit(0.0))), 4), "ms"),
-        "average_confidence": (F.round(F.avg(c), 4), "score"), "validation_failures": (failed, "queries"),
-        "hallucination_rate": (F.round(bad / F.count("*"), 4), "share")},
+        "total_queries": (F.count("*"), "queries"), "average_latency_ms": (rounded(F.avg(F.coalesce("latency_ms", F.lit(0.0))), 4), "ms"),
+        "average_confidence": (rounded(F.avg(c), 4), "score"), "validation_failures": (failed, "queries"),
+        "hallucination_rate": (rounded(bad / F.count("*"), 4), "share")},
         groups={"intent_distribution": F.col("intent"), "strategy_distribution": F.col("strategy"), "confidence_distribution": level}, by=by)

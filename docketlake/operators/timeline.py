@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import col, first_regex, sentences, words
+from ..functions.text import col, first_regex, rounded, sentences, words
 from ..session import cut_lineage
 from .metrics import bundle
 from .scale import containing, next_row
@@ -130,7 +130,7 @@ def timeline_stats(events: DataFrame, by: list[str]) -> DataFrame:
         (F.unix_micros(F.max("event_date")) - F.unix_micros(F.min("event_date"))) / 86_400_000_000)).otherwise(0)
     kind = F.coalesce(F.nullif("event_type", F.lit("")), F.lit("general"))
     return bundle(events, "timeline", cards={
-        "total_events": (F.count("*"), "events"), "average_confidence": (F.round(F.avg(c), 2), "score"), "timeline_span_days": (span, "days")},
+        "total_events": (F.count("*"), "events"), "average_confidence": (rounded(F.avg(c), 2), "score"), "timeline_span_days": (span, "days")},
         groups={"category_breakdown": kind}, by=by)
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clamp, contains_any, squeeze, strip
+from ..functions.text import clamp, contains_any, rounded, squeeze, strip
 from .scale import first_by, last_by, running_sum, top_per_key
 
 # ---- embedding --------------------------------------------------------------------------------
@@ -255,8 +255,8 @@ def compress_chunks(chunks: DataFrame, max_tokens: int = 4000, by: str = "query_
 
 def retrieval_stats(log: DataFrame, top: int = 5) -> DataFrame:
     """Request figures, and the documents found most often as further rows."""
-    one = log.agg(F.count("*").cast("double").alias("total_requests"), F.round(F.avg("latency_ms"), 2).alias("average_latency_ms"),
-                  F.round(F.avg("top_score"), 4).alias("average_similarity_score"))
+    one = log.agg(F.count("*").cast("double").alias("total_requests"), rounded(F.avg("latency_ms"), 2).alias("average_latency_ms"),
+                  rounded(F.avg("top_score"), 4).alias("average_similarity_score"))
     rows = one.select(F.inline(F.array(*[F.struct(F.lit("figure").alias("kind"), F.lit(c).alias("label"), F.col(c).alias("value"))
                                          for c in one.columns])))
     names = log.select(F.explode(F.from_json("retrieved_documents_json", "array<struct<document_name string>>")).alias("d")).select(
@@ -294,11 +294,11 @@ def embedding_stats(vectors: DataFrame, jobs: DataFrame) -> DataFrame:
     j = jobs.agg(
         F.count_if(s.isin("pending", "queued")).alias("embedding_queue_size"), F.count_if(s == "failed").alias("failed_embeddings"),
         F.count_if(s.isin(rules.ACTIVE_STATUSES)).alias("active_embeddings"), F.sum("retry_count").alias("retry_count"),
-        F.round(F.avg(F.when(s == "completed", secs)), 4).alias("average_embedding_time_seconds"),
+        rounded(F.avg(F.when(s == "completed", secs)), 4).alias("average_embedding_time_seconds"),
         F.sum(F.when(s == "completed", secs)).alias("_seconds"))
     finished = jobs.filter(s == "completed").select(F.col("document_id").alias("doc_id")).distinct()
     c = vectors.join(finished, "doc_id", "left_semi").agg(F.count("*").alias("_chunks"))
-    rate = F.when(F.col("_seconds") > 0, F.round(F.col("_chunks") / F.col("_seconds"), 4))
+    rate = F.when(F.col("_seconds") > 0, rounded(F.col("_chunks") / F.col("_seconds"), 4))
     return v.crossJoin(j).crossJoin(c).withColumn("chunks_per_second", rate).drop("_seconds", "_chunks")  # one row each
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..functions import rules
 from ..operators import dialog as op
 from ..operators import knowledge, timeline
@@ -128,7 +129,7 @@ _CALLS = "SELECT event_id, CASE event_type WHEN 'click' THEN 'OpenAI' WHEN 'view
 @query("i10_estimate_cost", f"""SELECT event_id, round(CASE WHEN contains(p, 'openai') OR contains(m, 'gpt') THEN pt / 1000.0::DOUBLE * 0.005::DOUBLE + ct / 1000.0::DOUBLE * 0.015::DOUBLE WHEN contains(p, 'gemini') THEN
   pt / 1000.0::DOUBLE * 0.000375::DOUBLE + ct / 1000.0::DOUBLE * 0.00115::DOUBLE ELSE 0 END, 12) AS cost FROM (SELECT *, lower(coalesce(provider, '')) AS p, lower(coalesce(model, '')) AS m FROM ({D(_CALLS)}))""")
 def i10(spark, folder):
-    return st.rows(spark, folder, _CALLS).select("event_id", F.round(op.estimate_cost(F.col("provider"), F.col("model"), F.col("pt"), F.col("ct")), 12).alias("cost"))
+    return st.rows(spark, folder, _CALLS).select("event_id", rounded(op.estimate_cost(F.col("provider"), F.col("model"), F.col("pt"), F.col("ct")), 12).alias("cost"))
 
 
 _TPL = "CASE WHEN turn % 2 = 0 THEN concat('Q ', chr(123), 'query', chr(125), ' C ', chr(123), 'context', chr(125)) END"

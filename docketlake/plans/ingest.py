@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..functions import rules
 from ..operators import metrics
 from ..sources import files, stores
@@ -165,4 +166,4 @@ _WORDS = "SELECT l_orderkey AS doc_id, l_linenumber AS page, CASE WHEN l_linesta
 @query("a16_ocr_confidence", f"""WITH p AS (SELECT doc_id, page, least(greatest(coalesce(avg(conf) FILTER ({S('word')} <> '' AND conf >= 0), 100) / 100, 0), 1) AS c
   FROM ({D(_WORDS)}) GROUP BY doc_id, page) SELECT doc_id, round(avg(c), 6) AS confidence FROM p GROUP BY doc_id""")
 def a16(spark, folder):
-    return files.ocr_confidence(st.rows(spark, folder, _WORDS)).withColumn("confidence", F.round("confidence", 6))
+    return files.ocr_confidence(st.rows(spark, folder, _WORDS)).withColumn("confidence", rounded("confidence", 6))

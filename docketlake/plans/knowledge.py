@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..functions import rules
 from ..operators import entities as ent
 from ..operators import graph as gr
@@ -71,7 +72,7 @@ _SHOW = "doc_id, type, md5(text) AS digest, role, round(confidence, 3) AS confid
 
 def _items(spark, folder, *kinds, role="role"):
     return op.extract(legal_chunks(spark, folder), list(kinds)).select(
-        "doc_id", "type", F.md5("text").alias("digest"), F.col(role).cast("string").alias("role"), F.round("confidence", 3).alias("confidence"))
+        "doc_id", "type", F.md5("text").alias("digest"), F.col(role).cast("string").alias("role"), rounded("confidence", 3).alias("confidence"))
 
 
 def _extract_query(name, sql, kinds, role="role"):
@@ -154,7 +155,7 @@ _JAC = lambda a, b: f"(len(list_intersect({a}, {b}))::DOUBLE / len(list_distinct
 SELECT entity_id, clean, round({_JAC('a', "['ltd', 'small']")}, 6) AS jaccard FROM t""")
 def g14(spark, folder):
     df = st.rows(spark, folder, _NAMES).withColumn("clean", op.normalize_entity_name("name"))
-    return df.select("entity_id", "clean", F.round(op.name_jaccard(op.name_tokens("clean"), F.array(F.lit("ltd"), F.lit("small"))), 6).alias("jaccard"))
+    return df.select("entity_id", "clean", rounded(op.name_jaccard(op.name_tokens("clean"), F.array(F.lit("ltd"), F.lit("small"))), 6).alias("jaccard"))
 
 
 def _letters(name: str, spark: bool) -> str:
@@ -176,7 +177,7 @@ def _named(spark, folder):
 
 @query("g15_similar_names", f"WITH {_DIST} SELECT case_id, a_id, b_id, round(score, 6) AS score FROM pairs")
 def g15(spark, folder):
-    return ent.similar_names(ent.distinct_names(_named(spark, folder), "vector")).select("case_id", "a_id", "b_id", F.round("score", 6).alias("score"))
+    return ent.similar_names(ent.distinct_names(_named(spark, folder), "vector")).select("case_id", "a_id", "b_id", rounded("score", 6).alias("score"))
 
 
 _RESOLVE = f"""WITH RECURSIVE {_DIST},

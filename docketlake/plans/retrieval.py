@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..operators import vectors as op
 from ..operators.chunking import chunk_sliding
 from ..sources.tables import load_table
@@ -21,7 +22,7 @@ def e1(spark, folder):
     chunks = chunk_sliding(st.documents(spark, folder)).withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_index"))
     out = op.embed_chunks(chunks, op.hashed_features(64), 64, id="chunk_id")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return out.select("chunk_id", F.size("embedding").alias("dim"), F.round(norm, 4).alias("norm"))
+    return out.select("chunk_id", F.size("embedding").alias("dim"), rounded(norm, 4).alias("norm"))
 
 
 _MIXED = "SELECT vec_id, CASE label WHEN 3 THEN slice(embedding, 1, 32) ELSE embedding END AS embedding FROM {embeddings}"
@@ -52,7 +53,7 @@ SELECT CAST(query_id AS BIGINT) AS query_id, vec_id, round(score, 6) AS score, r
 def e3(spark, folder):
     out = op.vector_search(_centroids(spark, folder), load_table(spark, folder, "embeddings"), 10, threshold=0.05,
                            filters={"label": [0, 1, 2, 3, 4, 5, 6], "source": ""})
-    return out.withColumn("score", F.round("score", 6))
+    return out.withColumn("score", rounded("score", 6))
 
 
 @query("e3_nearest_neighbours", """
@@ -63,7 +64,7 @@ def e3_all(spark, folder):
     """Every vector is a query: the way that works in blocks."""
     v = load_table(spark, folder, "embeddings")
     q = v.select(F.col("vec_id").alias("query_id"), "embedding")
-    return op.vector_search(q, v, 3, query_cells=0).withColumn("score", F.round("score", 6))
+    return op.vector_search(q, v, 3, query_cells=0).withColumn("score", rounded("score", 6))
 
 
 _CH = """SELECT doc_id AS chunk_id, doc_id % 250 AS doc_id, CAST(doc_id / 250 AS INT) AS chunk_index, CASE doc_id % 5 WHEN 0 THEN 'Final Order' WHEN 1 THEN
@@ -88,20 +89,20 @@ def _retrieved(spark, folder, k=10):
 
 @query("e4_retrieve", _RETRIEVE_SQL + " SELECT query_id, chunk_id, doc_id, rank, round(similarity, 6) AS similarity, round(ranking_score, 6) AS ranking_score FROM h WHERE rank <= 10")
 def e4(spark, folder):
-    return _retrieved(spark, folder).select("query_id", "chunk_id", "doc_id", "rank", F.round("similarity", 6).alias("similarity"),
-                                            F.round("ranking_score", 6).alias("ranking_score"))
+    return _retrieved(spark, folder).select("query_id", "chunk_id", "doc_id", "rank", rounded("similarity", 6).alias("similarity"),
+                                            rounded("ranking_score", 6).alias("ranking_score"))
 
 
 @query("e4_retrieval_log", _RETRIEVE_SQL + " SELECT query_id, count(*) AS chunks_returned, round(arg_min(similarity, rank), 6) AS top_score FROM h WHERE rank <= 10 GROUP BY query_id")
 def e4_log(spark, folder):
-    return op.retrieval_log(_retrieved(spark, folder)).select("query_id", "chunks_returned", F.round("top_score", 6).alias("top_score"))
+    return op.retrieval_log(_retrieved(spark, folder)).select("query_id", "chunks_returned", rounded("top_score", 6).alias("top_score"))
 
 
 @query("e5_rank_chunks", f"""WITH c AS ({_CH_DUCK}) SELECT chunk_id, round(least(greatest((chunk_id % 100) / 100.0::DOUBLE + CASE WHEN regexp_matches(lower(coalesce(section, '')),
   'summary|conclusion|holding|order') THEN 0.05::DOUBLE ELSE 0 END - (page_start - 1) * 0.01::DOUBLE, 0), 1), 6) AS ranking_score FROM c""")
 def e5(spark, folder):
     df = st.rows(spark, folder, _CH).withColumn("similarity", (F.col("chunk_id") % 100) / 100.0)
-    return op.rank_chunks(df).select("chunk_id", F.round("ranking_score", 6).alias("ranking_score"))
+    return op.rank_chunks(df).select("chunk_id", rounded("ranking_score", 6).alias("ranking_score"))
 
 
 @query("e6_merge_adjacent", _RETRIEVE_SQL + f""", i AS (SELECT *, chunk_index - row_number() OVER (PARTITION BY query_id, doc_id ORDER BY chunk_index) AS isl FROM h WHERE rank <= 10)

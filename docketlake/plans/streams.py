@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.text import rounded
 from ..session import checkpoint_dir
 from ..streaming import streams as op
 from . import standins as st
@@ -43,7 +44,7 @@ _MAX = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
 @query("l3_windowed_activity", f"""SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) AS events, round(sum(value), 4) AS value FROM events GROUP BY event_type, date_trunc('day', ts)
 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= {_MAX}""")
 def l3(spark, folder):
-    df = op.windowed_activity(op.stream_table(spark, folder, "events"), "1 day", by=["event_type"], aggs=[F.count("*").alias("events"), F.round(F.sum("value"), 4).alias("value")])
+    df = op.windowed_activity(op.stream_table(spark, folder, "events"), "1 day", by=["event_type"], aggs=[F.count("*").alias("events"), rounded(F.sum("value"), 4).alias("value")])
     out = op.run_append(df, *_folders(spark))
     return out.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "events", "value")
 
