@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +27,29 @@ def build_session(master: str | None = None, name: str = "docketlake", shuffle_p
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that Python functions find it there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_docketlake_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in sorted(files):
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(os.path.basename(root), os.path.relpath(path, root)))
+    target = os.path.join(tempfile.mkdtemp(prefix="docketlake-"), "docketlake.zip")
+    with open(target, "wb") as out:
+        out.write(packed.getvalue())
+    sc.addPyFile(target)
+    sc._docketlake_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
