@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, quality_rules, simhash
+from . import exact_dedup, packing, pii, quality_model, quality_rules, simhash, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def op4_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.personal_data(table(spark, folder, "documents"))
 
 
+@_query
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @_query
 def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"))
@@ -51,3 +56,8 @@ ORACLE["op6_exact_dedup"] = exact_dedup.ORACLE
 @_query
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@_query
+def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_model.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
