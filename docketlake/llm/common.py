@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,29 @@ def row_groups(df: DataFrame, rows: int) -> int:
 def stable_row_hash(salt: int = 0) -> Column:
     """Spreads the rows of a written table evenly, whatever they hold; the same on a retried task."""
     return F.xxhash64(F.monotonically_increasing_id(), F.lit(salt))
+
+
+class TwoGenerations:
+    """Remembers the encoded form of words in a Python worker, in bounded memory.
+
+    When the young generation is full it becomes the old one; words seen again come back from it.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.young, self.old = capacity, {}, {}
+
+    def joined(self, words: list, encode: Callable[[list], list[bytes]]) -> bytes:
+        """The encoded words, one after the other; ``encode`` gives those not known."""
+        try:
+            return b"".join(map(self.young.__getitem__, words))
+        except KeyError:
+            self._learn(set(words), encode)
+            return b"".join(map(self.young.__getitem__, words))
+
+    def _learn(self, words: set, encode: Callable[[list], list[bytes]]) -> None:
+        new = [w for w in words if w not in self.young]
+        if len(self.young) + len(new) > self.capacity:
+            self.young, self.old, new = {}, self.young, list(words)
+        self.young.update((w, self.old[w]) for w in new if w in self.old)
+        new = [w for w in new if w not in self.young]
+        self.young.update(zip(new, encode(new), strict=True))
