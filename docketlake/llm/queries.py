@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, pii, quality_model, quality_rules, sentencepiece_fst, simhash, toxicity
+from . import exact_dedup, packing, passage_dedup, pii, quality_model, quality_rules, sentencepiece_fst, simhash, substring_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,11 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@_query
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, folder, "documents"))
+
+
 @_query
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, folder, "documents"), table(spark, folder, "labels"))
@@ -63,6 +68,11 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+@_query
+def op9_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return passage_dedup.remove_passages(table(spark, folder, "documents"))
+
+
 @_query
 def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
