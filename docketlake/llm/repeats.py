@@ -101,9 +101,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 def _buckets(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc = b.column("doc_id").to_numpy(zero_copy_only=False)
             for s in unit.spans(_bytes(b.column("text"))):
-                yield pa.RecordBatch.from_arrays([_signed(s.bucket), pa.array(doc[s.text])], ["bucket", "doc_id"])
+                yield pa.RecordBatch.from_arrays([_signed(s.bucket), b.column("doc_id").take(pa.array(s.text))], ["bucket", "doc_id"])
 
     return run
 
@@ -111,11 +110,10 @@ def _buckets(unit: Unit):
 def _candidates(unit: Unit, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, key = b.column("doc_id").to_numpy(zero_copy_only=False), b.column("text_key").to_numpy(zero_copy_only=False)
             for s in unit.spans(_bytes(b.column("text"))):
                 k = np.flatnonzero(held(wanted.value, s.bucket))
-                t = s.text[k]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[t]), pa.array(key[t]), pa.array(s.first[k]), pa.array(s.last[k]), _signed(s.span[k]), _signed(s.bucket[k])],
+                of = pa.array(s.text[k])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("text_key").take(of), pa.array(s.first[k]), pa.array(s.last[k]), _signed(s.span[k]), _signed(s.bucket[k])],
                                                  ["doc_id", "text_key", "first", "last", "span", "bucket"])
 
     return run
@@ -144,7 +142,7 @@ def _single_windows(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             row, ids = unit.windows(b.column("content").to_pylist())
-            place = np.arange(len(row)) - np.searchsorted(row, row)
+            place = (np.arange(len(row)) - np.searchsorted(row, row)).astype(np.int32)
             span, value = b.column("span").to_numpy(zero_copy_only=False), b.column("value").to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(span[row]), pa.array(value[row]), pa.array(place), _signed(ids)], ["span", "value", "place", "id"])
 
