@@ -25,6 +25,8 @@ from .quality_model import held_out
 MAX_FIT_ROWS, MAX_VOCABULARY = 20_000, 2048
 #: A vocabulary entry occurs in at least so many of the fitted rows.
 LEAST_ROWS = 5
+#: ... and stands out towards toxic rows by at least so much.
+LEAST_WEIGHT = 8.0
 FOLDS = 5
 STEPS, STEP, DECAY = 300, 0.5, 1e-4
 THRESHOLD = 0.5
@@ -62,7 +64,7 @@ def vocabulary(sample: DataFrame) -> list[str]:
     counted = sample.select("text", "toxic").mapInArrow(_count_terms, "term string, other long, toxic long").groupBy("term").agg(F.sum("other").alias("o"), F.sum("toxic").alias("t"))
     share, rate = (F.col("t") + 0.5) / (t + 1.0), (F.col("o") + 0.5) / (n - t + 1.0)
     ranked = counted.filter((F.col("t") + F.col("o") >= LEAST_ROWS) & (share > rate)).withColumn("weight", F.col("t") * F.log(share / rate) + F.col("o") * F.log(rate / share))
-    return [r["term"] for r in ranked.orderBy(F.desc("weight"), "term").limit(MAX_VOCABULARY).select("term").collect()]
+    return [r["term"] for r in ranked.filter(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), "term").limit(MAX_VOCABULARY).select("term").collect()]
 
 
 def _present(vocab: dict[str, int], text: str) -> list[int]:
