@@ -22,7 +22,7 @@ from .repeats import Spans, Unit, covered, cut_texts, keyed, mix, repeated_inter
 WINDOW = 13
 PREFIX = 4
 #: Words worked on at a time; longer texts are cut into overlapping parts.
-PART = 1 << 19
+PART = 1 << 17
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

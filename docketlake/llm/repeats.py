@@ -29,6 +29,8 @@ from .common import texts, written
 
 #: Bits of a set of wanted identifiers: 16 MiB, whatever the input.
 SET_BITS = 1 << 27
+#: Rows of a batch that are worked on at a time.
+SLICE_ROWS = 512
 
 _K1, _K2, _K3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -90,8 +92,12 @@ def held(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
 
-def _bytes(column: pa.Array) -> list[bytes]:
-    return [t.as_py().encode() for t in column]
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Few rows at a time with their texts as bytes, so that a worker never holds those of a whole batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            part = b.slice(at, SLICE_ROWS)
+            yield part, [t.as_py().encode() for t in part.column("text")]
 
 
 def _signed(a: np.ndarray) -> pa.Array:
@@ -100,8 +106,8 @@ def _signed(a: np.ndarray) -> pa.Array:
 
 def _buckets(unit: Unit):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in unit.spans(_bytes(b.column("text"))):
+        for b, found in _slices(batches):
+            for s in unit.spans(found):
                 yield pa.RecordBatch.from_arrays([_signed(s.bucket), b.column("doc_id").take(pa.array(s.text))], ["bucket", "doc_id"])
 
     return run
@@ -109,8 +115,8 @@ def _buckets(unit: Unit):
 
 def _candidates(unit: Unit, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in unit.spans(_bytes(b.column("text"))):
+        for b, found in _slices(batches):
+            for s in unit.spans(found):
                 k = np.flatnonzero(held(wanted.value, s.bucket))
                 of = pa.array(s.text[k])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(of), b.column("text_key").take(of), pa.array(s.first[k]), pa.array(s.last[k]), _signed(s.span[k]), _signed(s.bucket[k])],
@@ -121,8 +127,8 @@ def _candidates(unit: Unit, wanted):
 
 def _contents(unit: Unit, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for s in unit.spans(_bytes(b.column("text"))):
+        for b, found in _slices(batches):
+            for s in unit.spans(found):
                 k = np.flatnonzero(held(wanted.value, s.span))
                 k = k[np.unique(s.span[k], return_index=True)[1]]
                 yield pa.RecordBatch.from_arrays([_signed(s.span[k]), pa.array([s.content(i) for i in k.tolist()], pa.binary())], ["span", "content"])
