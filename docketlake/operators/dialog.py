@@ -20,10 +20,11 @@ def recent_messages(messages: DataFrame, turns: int = 5) -> DataFrame:
     return top_per_key(messages, ["session_id"], [F.desc("turn")], 2 * turns, "_back")
 
 
-def conversation_memory(messages: DataFrame, turns: int = 5) -> DataFrame:
+def conversation_memory(messages: DataFrame, turns: int = 5, topics_shown: int | None = None, topic_chars: int | None = None) -> DataFrame:
     """Per session: recent turns, cited documents, organisations, turn count and topics.
 
-    The lists come from at most 2·turns messages of a session.
+    The lists come from at most 2·turns messages of a session.  ``topics_shown`` and
+    ``topic_chars`` cut the summary to so many topics of so many characters.
     """
     total = messages.groupBy("session_id").agg(F.count("*").alias("_n"))
     recent = recent_messages(messages, turns)
@@ -33,7 +34,8 @@ def conversation_memory(messages: DataFrame, turns: int = 5) -> DataFrame:
     users = F.transform(F.filter("m", lambda x: x["role"] == "user"), lambda x: x["content"])
     names = F.flatten(F.transform("m", lambda x: F.coalesce(F.transform(x["cites"], lambda c: c["document_name"]), F.array().cast("array<string>"))))
     orgs = F.flatten(F.transform("m", lambda x: F.transform(matches(x["content"], rules.ORGANISATION), strip)))
-    topics = F.array_join(F.transform(F.slice(users, 1, 3), lambda q: ellipsis(q, 30)), ", ")
+    topics = F.slice(users, 1, topics_shown) if topics_shown else users
+    topics = F.array_join(F.transform(topics, lambda q: ellipsis(q, topic_chars)) if topic_chars else topics, ", ")
     return per.join(total, "session_id").select(
         "session_id", F.floor(F.col("_n") / 2).alias("turn_count"), F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("recent_turns"),
         F.array_distinct(names).alias("referenced_documents"), F.array_sort(F.array_distinct(orgs)).alias("referenced_entities"),
@@ -94,15 +96,25 @@ def flag_unsafe_queries(query: str | Column) -> Column:
 
 # ---- citations -----------------------------------------------------------------------------------------------
 
-def validate_responses(content: str | Column, retrieved: str | Column) -> Column:
-    """Struct of success and code, given the answer and the array of retrieved chunk ids."""
+def unknown_citations(answers: DataFrame, retrieved: DataFrame) -> DataFrame:
+    """(answer_id, unknown): how many different marks of an answer name none of the chunks retrieved for it.
+
+    ``retrieved`` holds (answer_id, chunk_id), or chunk_id alone when every answer had the same
+    chunks.  Marks meet chunks in a join, so neither side is gathered.
+    """
+    keys = ["answer_id", "chunk_id"] if "answer_id" in retrieved.columns else ["chunk_id"]
+    marks = answers.select("answer_id", F.explode(F.array_distinct(matches("content", rules.CITATION_MARK))).alias("chunk_id"))
+    return marks.join(retrieved.select(*keys).distinct(), keys, "left_anti").groupBy("answer_id").agg(F.count("*").alias("unknown"))
+
+
+def validate_responses(content: str | Column, unknown: str | Column) -> Column:
+    """Struct of success and code, given the answer and the number of its unknown citations (null: none)."""
     c = col(content)
     cited = matches(c, rules.CITATION_MARK)
-    unknown = F.array_except(cited, col(retrieved))
     out = lambda ok, code: F.struct(F.lit(ok).alias("success"), F.lit(code).cast("string").alias("code"))
     return (
         F.when(contains_any(c, rules.FALLBACK_PHRASES), out(True, "fallback"))
-        .when(F.size(unknown) > 0, out(False, "hallucinated_citations"))
+        .when(F.coalesce(col(unknown), F.lit(0)) > 0, out(False, "hallucinated_citations"))
         .when((F.regexp_count(c, F.lit(r"\S+")) > 30) & (F.size(cited) == 0), out(False, "missing_citations"))
         .otherwise(out(True, None))
     )
@@ -165,11 +177,12 @@ def build_prompts(query: Column, context: Column, template: Column | None = None
     return F.when(F.coalesce(template, F.lit("")) != "", filled).otherwise(framed)
 
 
-def summary_lines(cases: DataFrame, items: DataFrame, events: DataFrame, summary_type: str) -> DataFrame:
+def summary_lines(cases: DataFrame, items: DataFrame, events: DataFrame, summary_type: str, facts: int | None = None, claims: int | None = None) -> DataFrame:
     """Context of a case summary as lines (case_id, part, sort_key, line).
 
     Lines stay rows, because a case may hold any number of them; the order is part, then
-    sort_key.  Limited kinds take the first rows of each case.
+    sort_key.  ``facts`` and ``claims`` cut the facts, and the claims of an executive summary,
+    to the first ones of each case.
     """
     tag = lambda name, idc: F.concat(F.lit(f" [{name}: "), idc, F.lit("]"))
     na = lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("N/A"))
@@ -188,7 +201,7 @@ def summary_lines(cases: DataFrame, items: DataFrame, events: DataFrame, summary
     t = summary_type.lower()
     if t == "executive":
         claim = F.concat("text", F.lit(" (Type: "), "type", F.lit(")"), tag("Claim", F.col("item_id")))
-        parts = [titled(1, "KEY FACTS:"), lines(of("fact"), 2, fact, n=5), titled(3, "\nPRIMARY CLAIMS/DEFENSES:"), lines(of("claim"), 4, claim, n=5)]
+        parts = [titled(1, "KEY FACTS:"), lines(of("fact"), 2, fact, n=facts), titled(3, "\nPRIMARY CLAIMS/DEFENSES:"), lines(of("claim"), 4, claim, n=claims)]
     elif t in ("chronological", "timeline"):
         day = F.coalesce(F.date_format("event_date", "yyyy-MM-dd"), F.lit("Unknown Date"))
         line = F.concat(F.lit("["), day, F.lit("] "), "title", F.lit(": "), F.coalesce("description", F.lit("")), tag("TimelineEvent", F.col("event_id")))
@@ -206,7 +219,7 @@ def summary_lines(cases: DataFrame, items: DataFrame, events: DataFrame, summary
     elif t == "arguments":
         parts = [titled(1, "LEGAL PLEADINGS & CONTENTIONS:"), lines(of("claim"), 2, F.concat("text", tag("Claim", F.col("item_id"))))]
     else:
-        parts = [titled(1, "CASE FACTS SUMMARY:"), lines(of("fact"), 2, fact, n=10)]
+        parts = [titled(1, "CASE FACTS SUMMARY:"), lines(of("fact"), 2, fact, n=facts)]
     return reduce(DataFrame.unionByName, [header, *parts])
 
 

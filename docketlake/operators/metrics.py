@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import first_match, or_default, rounded, title_case
+from .scale import top_per_key
 
 Cards = dict[str, tuple[Column, str]]
 Groups = dict[str, Column | tuple[Column, Column, str]]
@@ -107,9 +108,11 @@ def document_metrics(docs: DataFrame, by: list[str] | None = None, largest: int
         by=by,
     )
     if by:
-        return rows
-    top = docs.orderBy(F.desc("file_size"), "doc_id").limit(largest).select(
-        F.lit("documents").alias("category"), F.lit("largest_documents").alias("section"), F.col("filename").alias("label"),
+        top = top_per_key(docs, by, [F.desc("file_size"), F.asc("doc_id")], largest)
+    else:
+        top = docs.orderBy(F.desc("file_size"), "doc_id").limit(largest)
+    top = top.select(
+        *(by or []), F.lit("documents").alias("category"), F.lit("largest_documents").alias("section"), F.col("filename").alias("label"),
         rounded(size / mb, 2).alias("value"), F.lit("MB").alias("unit"))
     return rows.unionByName(top)
 
@@ -164,12 +167,14 @@ def retrieval_metrics(log: DataFrame, by: list[str] | None = None) -> DataFrame:
     )
 
 
-def conversation_metrics(messages: DataFrame, first: int = 5) -> DataFrame:
+def conversation_metrics(messages: DataFrame, first: int | None = None) -> DataFrame:
+    """``first`` cuts the distribution to so many sessions, in order of their id."""
     per_session = messages.groupBy("session_id").agg(F.count("*").alias("n"))
     cards = bundle(per_session, "conversations", cards={
         "Sessions": (F.count("*"), "sessions"), "Messages": (F.sum("n"), "msgs"),
         "Avg Messages": (rounded(F.sum("n") / F.count("*"), 1), "msgs")})
-    shown = per_session.orderBy("session_id").limit(first).select(
+    shown = per_session.orderBy("session_id").limit(first) if first else per_session
+    shown = shown.select(
         F.lit("conversations").alias("category"), F.lit("messages_per_session").alias("section"),
         F.concat(F.lit("Session "), F.col("session_id")).alias("label"), F.col("n").cast("double").alias("value"), F.lit("msgs").alias("unit"))
     return cards.unionByName(shown)

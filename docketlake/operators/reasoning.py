@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -42,55 +43,65 @@ def hop_count(strategy: str | Column) -> Column:
 
 # ---- second hop --------------------------------------------------------------------------------------
 
-def candidate_names(hits: DataFrame, limit: int = 10) -> DataFrame:
+def _first_rows(df: DataFrame, keys: list[str], order: list[Column], limit: int | None) -> DataFrame:
+    """The first rows of each key with their rank; all of them without a limit."""
+    if limit is None:
+        return df.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return top_per_key(df, keys, order, limit)
+
+
+def candidate_names(hits: DataFrame, limit: int | None = None) -> DataFrame:
     """(query_id, case_id, candidate, rank): the first distinct capitalised phrases of a query's hits."""
     found = hits.select("query_id", "case_id", F.col("rank").alias("_hit"), F.posexplode(matches("text", rules.CANDIDATE_NAME)).alias("_pos", "_raw"))
     found = found.withColumn("candidate", strip("_raw")).filter(F.length("candidate") > 3)
     once = first_by(found.select("query_id", "case_id", "candidate", "_hit", "_pos"), ["query_id", "case_id", "candidate"], ["_hit", "_pos"])
-    return top_per_key(once, ["query_id"], [F.asc("_hit"), F.asc("_pos")], limit).select("query_id", "case_id", "candidate", "rank")
+    return _first_rows(once, ["query_id"], [F.asc("_hit"), F.asc("_pos")], limit).select("query_id", "case_id", "candidate", "rank")
 
 
-def expand_hop(queries: DataFrame, candidates: DataFrame, items: DataFrame, limit: int = 10, without: int = 5) -> DataFrame:
+def expand_hop(queries: DataFrame, candidates: DataFrame, items: DataFrame, limit: int | None = None, without: int | None = None) -> DataFrame:
     """Items (case_id, item_id, sort_key, text) of the case that mention a candidate, ``limit`` per query.
 
     Equal candidates of a case are looked up once, and each keeps only the items that could
     still be among a query's first ``limit``.  Queries without candidates take the first
-    items of their case.
+    ``without`` items of their case.  Without limits all items are taken.
     """
     names = candidates.select("case_id", F.lower("candidate").alias("nid")).distinct().withColumn("text", F.col("nid"))
     hays = cut_lineage(items.select("case_id", F.col("item_id").alias("hid"), "sort_key", F.lower("text").alias("text")))
     keys = hays.drop("text")
     hits = containing(names, hays.drop("sort_key"), ["case_id"], piece=4).join(keys, ["case_id", "hid"])
-    hits = top_per_key(hits, ["case_id", "nid"], [F.asc("sort_key"), F.asc("hid")], limit)
+    hits = _first_rows(hits, ["case_id", "nid"], [F.asc("sort_key"), F.asc("hid")], limit)
     found = candidates.withColumn("nid", F.lower("candidate")).join(hits.drop("rank"), ["case_id", "nid"]).select("query_id", "hid", "sort_key").distinct()
     bare = queries.select("query_id", "case_id").join(candidates.select("query_id").distinct(), "query_id", "left_anti")
-    first = top_per_key(keys, ["case_id"], [F.asc("sort_key"), F.asc("hid")], without).drop("rank")
+    first = _first_rows(keys, ["case_id"], [F.asc("sort_key"), F.asc("hid")], without).drop("rank")
     found = found.unionByName(bare.join(first, "case_id").select("query_id", "hid", "sort_key"))
-    return top_per_key(found, ["query_id"], [F.asc("sort_key"), F.asc("hid")], limit).select("query_id", F.col("hid").alias("item_id"), "rank")
+    return _first_rows(found, ["query_id"], [F.asc("sort_key"), F.asc("hid")], limit).select("query_id", F.col("hid").alias("item_id"), "rank")
 
 
-def multi_hop(hits: DataFrame, entities: DataFrame, events: DataFrame, evidence: DataFrame, edges: DataFrame, summaries: DataFrame) -> DataFrame:
+def multi_hop(hits: DataFrame, entities: DataFrame, events: DataFrame, evidence: DataFrame, edges: DataFrame, summaries: DataFrame,
+              names: int | None = None, limit: int | None = None, without: int | None = None, summaries_per_case: int | None = None) -> DataFrame:
     """Second hop of each query: rows (query_id, kind, item_id).
 
     ``hits``: query_id, case_id, rank, text.  The item tables: case_id, item_id, sort_key,
     text.  ``edges``: src, dst, edge_id.  ``summaries``: case_id, item_id, sort_key.
+    ``names`` candidates are followed per query, to ``limit`` items of each kind (``without``
+    where there is no candidate) and ``summaries_per_case`` summaries; None sets no limit.
     """
     queries = hits.select("query_id", "case_id").distinct()
-    cands = cut_lineage(candidate_names(hits))
+    cands = cut_lineage(candidate_names(hits, names))
     parts = []
-    ents = expand_hop(queries, cands, entities)
-    for kind, found in (("entity", ents), ("event", expand_hop(queries, cands, events)), ("evidence", expand_hop(queries, cands, evidence))):
+    ents = expand_hop(queries, cands, entities, limit, without)
+    for kind, found in (("entity", ents), ("event", expand_hop(queries, cands, events, limit, without)), ("evidence", expand_hop(queries, cands, evidence, limit, without))):
         parts.append(found.select("query_id", F.lit(kind).alias("kind"), "item_id"))
     near = ents.join(both_ways(edges).withColumnRenamed("node", "item_id"), "item_id").select("query_id", F.lit("neighbor").alias("kind"), F.col("other").alias("item_id")).distinct()
-    notes = top_per_key(summaries, ["case_id"], [F.asc("sort_key"), F.asc("item_id")], 3).drop("rank")
-    notes = queries.join(notes, "case_id").select("query_id", F.lit("summary").alias("kind"), "item_id")
-    return reduce(DataFrame.unionByName, [*parts, near, notes])
+    told = _first_rows(summaries, ["case_id"], [F.asc("sort_key"), F.asc("item_id")], summaries_per_case).drop("rank")
+    told = queries.join(told, "case_id").select("query_id", F.lit("summary").alias("kind"), "item_id")
+    return reduce(DataFrame.unionByName, [*parts, near, told])
 
 
 # ---- ranking ---------------------------------------------------------------------------------------------
 
-def central_labels(degrees: DataFrame, top: int = 20) -> DataFrame:
-    """Per case the list of its most connected labels, at most ``top`` entries."""
+def central_labels(degrees: DataFrame, top: int) -> DataFrame:
+    """Per case the list of its most connected labels, at most ``top`` entries (a bounded list, so the caller says how long)."""
     best = top_per_key(degrees, ["case_id"], [F.desc("degree"), F.asc("label")], top)
     return best.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.lower("label").alias("label"), "degree"))).alias("central"))
 
@@ -125,9 +136,9 @@ def rank_evidence(chunks: DataFrame, central: DataFrame, events: DataFrame, quer
     return rank_chunk_evidence(chunks, central).unionByName(rank_event_evidence(events, queries))
 
 
-def rank_citations(citations: DataFrame) -> DataFrame:
-    """Best citation per query and 50-character beginning, with its strength."""
-    prefix = F.lower(F.substring(strip("text"), 1, 50))
+def rank_citations(citations: DataFrame, prefix_chars: int | None = None) -> DataFrame:
+    """Best citation per query and text, with its strength; ``prefix_chars`` takes texts of one beginning as one."""
+    prefix = F.lower(F.substring(strip("text"), 1, prefix_chars) if prefix_chars else strip("text"))
     df = citations.withColumn("_prefix", prefix).withColumn("_neg", -F.col("score"))
     best = first_by(df, ["query_id", "_prefix"], ["_neg", "id"]).drop("_prefix", "_neg")
     s = F.col("score")
@@ -137,9 +148,13 @@ def rank_citations(citations: DataFrame) -> DataFrame:
 
 # ---- contradictions -----------------------------------------------------------------------------------------
 
-def contradicting_dates(events: DataFrame, by: str = "case_id", id: str = "event_id") -> DataFrame:
-    """Events more than a day away from the first event of the case with the same title key."""
-    key = F.substring(F.regexp_replace(F.lower("title"), "[^a-z0-9]", ""), 1, 20)
+def contradicting_dates(events: DataFrame, by: str = "case_id", id: str = "event_id", title_chars: int | None = None) -> DataFrame:
+    """Events more than a day away from the first event of the case with the same title key.
+
+    The key is the title's letters and digits, or its first ``title_chars`` of them.
+    """
+    key = F.regexp_replace(F.lower("title"), "[^a-z0-9]", "")
+    key = F.substring(key, 1, title_chars) if title_chars else key
     df = events.withColumn("title_key", key).filter(F.length("title_key") >= 5)
     head = df.groupBy(by, "title_key").agg(F.min_by(F.struct(F.col(id).alias("id"), "event_date"), id).alias("first"))
     gap = F.floor((F.unix_micros("event_date") - F.unix_micros("first.event_date")) / 86_400_000_000)

@@ -134,8 +134,8 @@ def timeline_stats(events: DataFrame, by: list[str]) -> DataFrame:
         groups={"category_breakdown": kind}, by=by)
 
 
-def rebuild_timeline(chunks: DataFrame, by: str = "case_id") -> tuple[DataFrame, DataFrame]:
-    """(events, edges) of all cases from their chunks."""
+def rebuild_timeline(chunks: DataFrame, by: str = "case_id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(events, edges, notes) of all cases from their chunks; notes are what merged events said besides."""
     found = extract_events(chunks).withColumn("event_id", F.concat_ws("/", "chunk_id", F.lpad(F.col("position").cast("string"), 6, "0")))
     events = merge_duplicate_events(found, by)
-    return events, link_events(events, by)
+    return events, link_events(events, by), merged_notes(found, by)

@@ -40,7 +40,7 @@ def i1(spark, folder):
 
 @query("i2_conversation_topics", f"""WITH {_REC}, {_TOPICS} SELECT DISTINCT session_id, CASE WHEN n > 4 AND t IS NOT NULL THEN concat('Discussion centered around legal queries concerning: ', t, '.') ELSE '' END AS summary FROM r LEFT JOIN tp USING (session_id)""")
 def i2(spark, folder):
-    return op.conversation_memory(st.rows(spark, folder, _MEMO), turns=2).select("session_id", "summary")
+    return op.conversation_memory(st.rows(spark, folder, _MEMO), turns=2, topics_shown=3, topic_chars=30).select("session_id", "summary")
 
 
 _LAST = f"lq AS (SELECT *, lag(text) OVER (PARTITION BY session_id ORDER BY turn) AS last FROM {_USER})"
@@ -82,20 +82,20 @@ def i6(spark, folder):
     return questions(spark, folder).select("session_id", "turn", op.flag_unsafe_queries("text").alias("v")).select("session_id", "turn", "v.*")
 
 
-_ANS = """SELECT doc_id AS answer_id, concat(CASE doc_id % 5 WHEN 0 THEN 'I am sorry. ' WHEN 1 THEN concat('See [Citation: c-', doc_id % 50, '] and [Citation: c-', doc_id % 7, '] and again [Citation: c-', doc_id % 50, ']. ')
+_ANS = """SELECT doc_id AS answer_id, concat(CASE doc_id % 5 WHEN 0 THEN 'I am sorry. ' WHEN 1 THEN concat('See [Citation: c-', doc_id * 2 - 400, '] and [Citation: c-', doc_id % 7, '] and again [Citation: c-', doc_id * 2 - 400, ']. ')
   WHEN 2 THEN 'As shown [Citation: zz-9]. ' ELSE '' END, text) AS content FROM {documents}"""
-_KNOWN = "SELECT concat('c-', doc_id % 45) AS chunk_id, min(doc_id) AS doc_id, min(source) AS case_id FROM {documents} GROUP BY doc_id % 45"
+_KNOWN = "SELECT concat('c-', doc_id) AS chunk_id, doc_id, source AS case_id FROM {documents}"
 
 
-@query("i7_validate_responses", f"""WITH a AS ({D(_ANS)}), k AS (SELECT list(chunk_id) AS ids FROM ({D(_KNOWN)})), c AS (SELECT *, regexp_extract_all(content, '{q(rules.CITATION_MARK)}', 1) AS cited FROM a, k),
-v AS (SELECT *, CASE WHEN {LIKE_ANY('content', rules.FALLBACK_PHRASES)} THEN 'fallback' WHEN len(list_filter(cited, lambda z: NOT list_contains(ids, z))) > 0 THEN 'hallucinated_citations'
+@query("i7_validate_responses", f"""WITH a AS ({D(_ANS)}), k AS ({D(_KNOWN)}), c AS (SELECT *, regexp_extract_all(content, '{q(rules.CITATION_MARK)}', 1) AS cited FROM a),
+u AS (SELECT answer_id, unnest(cited) AS m FROM c), z AS (SELECT DISTINCT answer_id FROM u WHERE m NOT IN (SELECT chunk_id FROM k)),
+v AS (SELECT *, CASE WHEN {LIKE_ANY('content', rules.FALLBACK_PHRASES)} THEN 'fallback' WHEN answer_id IN (SELECT answer_id FROM z) THEN 'hallucinated_citations'
   WHEN len(regexp_extract_all(content, '\\S+')) > 30 AND len(cited) = 0 THEN 'missing_citations' END AS code FROM c)
 SELECT answer_id, code IS NULL OR code = 'fallback' AS success, code FROM v""")
 def i7(spark, folder):
-    """The known chunk ids (45 of them) are one small row."""
-    known = st.rows(spark, folder, _KNOWN).agg(F.collect_set("chunk_id").alias("ids"))
-    df = st.rows(spark, folder, _ANS).crossJoin(known)
-    return df.select("answer_id", op.validate_responses("content", "ids").alias("v")).select("answer_id", "v.*")
+    answers = st.rows(spark, folder, _ANS)
+    df = answers.join(op.unknown_citations(answers, st.rows(spark, folder, _KNOWN)), "answer_id", "left")
+    return df.select("answer_id", op.validate_responses("content", "unknown").alias("v")).select("answer_id", "v.*")
 
 
 @query("i8_resolve_citations", f"""WITH a AS ({D(_ANS)}), k AS ({D(_KNOWN)}), m AS (SELECT answer_id, unnest(regexp_extract_all(content, '{q(rules.CITATION_MARK)}', 1)) AS c, generate_subscripts(regexp_extract_all(content, '{q(rules.CITATION_MARK)}', 1), 1) AS i FROM a),
@@ -157,7 +157,7 @@ t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY i
 SELECT case_id, 0 AS part, '' AS sort_key, concat('CASE TITLE: ', title, {NL}, 'COURT: ', court_name, {NL}, 'JURISDICTION: N/A', {NL}, 'JUDGE: N/A', {NL}) AS line FROM c
 UNION ALL SELECT case_id, 1, '', 'CASE FACTS SUMMARY:' FROM c UNION ALL SELECT case_id, 2, id, concat('- ', s, ' [Fact: ', id, ']') FROM t""")
 def i12(spark, folder):
-    return op.summary_lines(st.rows(spark, folder, _CASE_ROWS), _known(spark, folder, "facts"), None, "general")
+    return op.summary_lines(st.rows(spark, folder, _CASE_ROWS), _known(spark, folder, "facts"), None, "general", facts=10)
 
 
 @query("i12_summary_lines_by_type")
@@ -167,7 +167,7 @@ def i12_types(spark, folder):
     events = timeline.extract_events(legal_chunks(spark, folder)).withColumn("event_id", F.concat_ws("/", "doc_id", "position"))
     out = None
     for t in ("executive", "chronological", "legal", "parties", "evidence", "arguments"):
-        part = op.summary_lines(cases, items, events, t).groupBy("case_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")).withColumn("summary_type", F.lit(t))
+        part = op.summary_lines(cases, items, events, t, facts=5, claims=5).groupBy("case_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")).withColumn("summary_type", F.lit(t))
         out = part if out is None else out.unionByName(part)
     return out
 

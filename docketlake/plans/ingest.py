@@ -65,7 +65,7 @@ def a5(spark, folder):
     return ok.select("doc_id", "extractor").unionByName(rejected.select("doc_id", F.lit("unsupported").alias("extractor")))
 
 
-_OWN_CASES = "SELECT DISTINCT source AS case_id, concat('owner', doc_id % 3) AS owner_id FROM {documents} WHERE n_chars > 6000"
+_OWN_CASES = "SELECT DISTINCT source AS case_id, concat('owner', doc_id % 3) AS owner_id FROM {documents}"
 _MIMES = ", ".join(f"'{m}'" for m in rules.ALLOWED_MIMES)
 
 
@@ -114,7 +114,7 @@ def a10(spark, folder):
     return stores.flatten_bundles([metrics.retrieval_metrics(st.rows(spark, folder, st.RETRIEVAL_LOG)), metrics.timeline_metrics(events)])
 
 
-_VEC = "SELECT vec_id, embedding, label, vec_id % 300 AS doc_id, CAST(label AS INT) AS chunk_index, vec_id % 3 > 0 AS is_synced FROM {embeddings}"
+_VEC = "SELECT vec_id, embedding, label, vec_id AS doc_id, CAST(label AS INT) AS chunk_index, vec_id % 3 > 0 AS is_synced FROM {embeddings}"
 _CHUNK = "SELECT doc_id, CAST(doc_id % 10 AS INT) AS chunk_index, CAST(2 + doc_id % 5 AS INT) AS page_start, concat('Part ', lang) AS section FROM {documents}"
 
 

@@ -64,7 +64,7 @@ def j24(spark, folder):
 
 
 _REQUESTS = "SELECT doc_id AS document_id, CASE doc_id % 2 WHEN 0 THEN 'embeddings' ELSE 'vector_sync' END AS job_type FROM {documents}"
-_OLD_JOBS = f"SELECT * FROM ({st.JOBS}) q WHERE value > 60"
+_OLD_JOBS = f"SELECT * FROM ({st.JOBS}) q"
 
 
 @query("k1_reject_active_duplicates", f"""WITH r AS ({D(_REQUESTS)}), a AS (SELECT DISTINCT document_id, job_type FROM ({D(_OLD_JOBS)}) WHERE status IN
@@ -94,7 +94,7 @@ def k3(spark, folder):
     return op.fold_job_log(st.rows(spark, folder, st.JOB_LOGS)).select("job_id", "status", "progress", "step", "log_id")
 
 
-_WAITING = st.JOBS.replace("event_id % 200 AS document_id", "event_id % 700 AS document_id")
+_WAITING = st.JOBS
 
 
 @query("k4_backlog_position", f"""WITH f AS (SELECT document_id, job_type, min((created_at, job_id)) AS m FROM ({D(_WAITING)}) WHERE status IN ('pending', 'queued')

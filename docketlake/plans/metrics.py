@@ -116,7 +116,7 @@ def j6(spark, folder):
     + """\nUNION ALL SELECT * FROM (SELECT 'conversations', 'messages_per_session', concat('Session ', session_id), CAST(n AS DOUBLE), 'msgs'
 FROM s ORDER BY session_id LIMIT 5)""")
 def j7(spark, folder):
-    return op.conversation_metrics(st.rows(spark, folder, st.MESSAGES))
+    return op.conversation_metrics(st.rows(spark, folder, st.MESSAGES), first=5)
 
 
 _USAGE = f"""SELECT *, ok, CAST(u->>'$.prompt_tokens' AS BIGINT) AS pt, CAST(u->>'$.completion_tokens' AS BIGINT) AS ct,

@@ -60,11 +60,11 @@ def _hits(spark, folder):
 
 @query("h3_candidate_names", f"WITH {_HITS_SQL} SELECT query_id, c AS candidate FROM ca")
 def h3_names(spark, folder):
-    return op.candidate_names(_hits(spark, folder)).select("query_id", "candidate")
+    return op.candidate_names(_hits(spark, folder), 10).select("query_id", "candidate")
 
 
 def _hop_items(spark, folder):
-    items = knowledge.extract(legal_chunks(spark, folder), ["parties", "evidence"]).withColumn("sort_key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
+    items = knowledge.extract(legal_chunks(spark, folder), ["parties", "judges", "courts", "witnesses", "evidence"]).withColumn("sort_key", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
     items = cut_lineage(items.select("case_id", "item_id", "kind", "sort_key", "text"))
     pick = lambda k: items.filter(F.col("kind") == k).select("case_id", "item_id", "sort_key", "text")
     return pick("entity"), pick("evidence")
@@ -83,7 +83,7 @@ def h3(spark, folder):
     edges = entities.select("sort_key", F.col("item_id").alias("src")).join(evidence.select("sort_key", F.col("item_id").alias("dst")), "sort_key").select(
         "src", "dst", F.concat_ws("-", "src", "dst").alias("edge_id"))
     notes = load_table(spark, folder, "documents").select(F.col("source").alias("case_id"), F.concat(F.lit("summary/"), "lang").alias("item_id"), F.col("lang").alias("sort_key")).distinct()
-    return op.multi_hop(_hits(spark, folder), entities, _hop_events(spark, folder), evidence, edges, notes)
+    return op.multi_hop(_hits(spark, folder), entities, _hop_events(spark, folder), evidence, edges, notes, names=10, limit=10, without=5, summaries_per_case=3)
 
 
 @query("h3_expand_events", f"""WITH {_EVENTS_SQL}, {_CAND_SQL},
@@ -93,7 +93,7 @@ SELECT query_id, CAST(r AS INTEGER) AS rank, concat(doc_id, '/', position) AS it
 def h3_expand(spark, folder):
     """Events that mention a candidate; the first ten per query by date."""
     hits = _hits(spark, folder)
-    return op.expand_hop(hits.select("query_id", "case_id").distinct(), op.candidate_names(hits), _hop_events(spark, folder)).select("query_id", "rank", "item_id")
+    return op.expand_hop(hits.select("query_id", "case_id").distinct(), op.candidate_names(hits, 10), _hop_events(spark, folder), 10, 5).select("query_id", "rank", "item_id")
 
 
 _DEG = "SELECT p_type AS case_id, p_name AS label, count(*) AS degree FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY p_type, p_name"
@@ -106,7 +106,7 @@ h AS (SELECT c.row_id, c.l_suppkey, arg_min(d.degree, d.r) AS degree FROM c JOIN
 SELECT query_id, round(least(1, score + coalesce(least(0.15::DOUBLE, degree * 0.02::DOUBLE), 0) + greatest(0, 0.1::DOUBLE - position * 0.02::DOUBLE)), 3) AS score, count(*) AS n
 FROM c LEFT JOIN h ON h.row_id = c.row_id AND h.l_suppkey = c.l_suppkey GROUP BY 1, 2""")
 def h4(spark, folder):
-    central = op.central_labels(st.rows(spark, folder, _DEG))
+    central = op.central_labels(st.rows(spark, folder, _DEG), 20)
     chunks = st.rows(spark, folder, _EVCH).withColumn("item_id", F.concat_ws("/", "row_id", "l_suppkey")).withColumn("score", F.col("score").cast("double"))
     return op.rank_chunk_evidence(chunks, central).groupBy("query_id", "score").agg(F.count("*").alias("n"))
 
@@ -127,7 +127,7 @@ _CITES = "SELECT conv_id AS query_id, turn AS id, text, CAST((conv_id * 7 + turn
 @query("h5_rank_citations", f"""WITH c AS ({D(_CITES)}) SELECT query_id, id, CASE WHEN score >= 0.8 THEN 'Primary' WHEN score >= 0.6 THEN 'Supporting' ELSE 'Contextual' END AS strength, round(score, 3) AS relevance_score FROM c
 QUALIFY row_number() OVER (PARTITION BY query_id, lower(left({S('text')}, 50)) ORDER BY score DESC, id) = 1""")
 def h5(spark, folder):
-    return op.rank_citations(st.rows(spark, folder, _CITES)).select("query_id", "id", "strength", "relevance_score")
+    return op.rank_citations(st.rows(spark, folder, _CITES), 50).select("query_id", "id", "strength", "relevance_score")
 
 
 _DATES_SQL = """k AS (SELECT *, left(regexp_replace(lower(title), '[^a-z0-9]', '', 'g'), 20) AS key FROM ce WHERE event_date IS NOT NULL),
@@ -138,7 +138,7 @@ dc AS (SELECT case_id, first_id, event_id AS second_id, abs(date_diff('day', fir
 @query("h6_contradicting_dates", f"WITH {_CE}, {_DATES_SQL} SELECT case_id, first_id, second_id, days, CASE WHEN days > 30 THEN 'high' ELSE 'medium' END AS severity FROM dc")
 def h6(spark, folder):
     events = st.rows(spark, folder, CASE_EVENTS).filter("event_date is not null")
-    return op.contradicting_dates(events).select("case_id", "first_id", "second_id", "days", "severity")
+    return op.contradicting_dates(events, title_chars=20).select("case_id", "first_id", "second_id", "days", "severity")
 
 
 _FACTS = """SELECT doc_id AS fact_id, source AS case_id, concat(CASE doc_id % 7 WHEN 0 THEN 'The tenant breached the lease. ' WHEN 1 THEN 'They comply and did not breach it. ' WHEN 2 THEN 'He denies it. ' WHEN 3 THEN 'She admits it. '
@@ -169,18 +169,18 @@ SELECT c.case_id, coalesce(d.n, 0) + coalesce(g.n, 0) AS conflicts, CASE WHEN co
 def h8(spark, folder):
     events, facts = st.rows(spark, folder, CASE_EVENTS), st.rows(spark, folder, _FACTS_BY_NUMBER)
     cases = events.select("case_id").union(facts.select("case_id"))
-    return op.contradiction_report(cases, op.contradicting_dates(events.filter("event_date is not null")), op.contradicting_facts(facts))
+    return op.contradiction_report(cases, op.contradicting_dates(events.filter("event_date is not null"), title_chars=20), op.contradicting_facts(facts))
 
 
-@query("h9_calibrate_confidence", """WITH b AS (SELECT user_id AS query_id, avg(CAST(event_id % 100 AS DOUBLE) / 100) FILTER (event_type = 'view') AS s, count(*) FILTER (event_type = 'click' AND value > 50) AS c, count(*) FILTER (event_type = 'error' AND value > 60) AS x,
-  count(*) FILTER (event_type = 'signup' AND value > 50) AS n, count(*) FILTER (event_type = 'purchase' AND value > 55) AS e FROM events GROUP BY 1),
+@query("h9_calibrate_confidence", """WITH b AS (SELECT user_id AS query_id, avg(CAST(event_id % 100 AS DOUBLE) / 100) FILTER (event_type = 'view') AS s, count(*) FILTER (event_type = 'click') AS c, count(*) FILTER (event_type = 'error') AS x,
+  count(*) FILTER (event_type = 'signup') AS n, count(*) FILTER (event_type = 'purchase') AS e FROM events GROUP BY 1),
 p AS (SELECT query_id, coalesce(s, 0.5) AS rq, least(1, c * 0.25::DOUBLE) AS cs, greatest(0, 1 - x * 0.2::DOUBLE) AS ag, least(1, 0.4::DOUBLE + n * 0.1::DOUBLE) AS g, least(1, 0.5::DOUBLE + e * 0.1::DOUBLE) AS t FROM b)
 SELECT query_id, round(least(greatest(rq * 0.3::DOUBLE + cs * 0.25::DOUBLE + ag * 0.25::DOUBLE + (g + t) / 2 * 0.2::DOUBLE, 0), 1), 3) AS overall_confidence, round(rq, 3) AS retrieval_quality, round(cs, 3) AS citation_support, round(ag, 3) AS evidence_agreement,
   round(g, 3) AS graph_connectivity, round(t, 3) AS timeline_completeness FROM p""")
 def h9(spark, folder):
     e = load_table(spark, folder, "events").withColumnRenamed("user_id", "query_id").withColumn("score", F.col("event_id") % 100 / 100.0)
-    kind = lambda k, v=0: e.filter((F.col("event_type") == k) & (F.col("value") > v))
-    return op.calibrate_confidence(e.select("query_id").distinct(), e.filter("event_type = 'view'"), kind("click", 50), kind("error", 60), kind("signup", 50), kind("purchase", 55))
+    kind = lambda k: e.filter(F.col("event_type") == k)
+    return op.calibrate_confidence(e.select("query_id").distinct(), e.filter("event_type = 'view'"), kind("click"), kind("error"), kind("signup"), kind("purchase"))
 
 
 _ANSWERS = """SELECT doc_id AS answer_id, concat('Under Section ', 300 + doc_id % 4, ' and section 12A the deed of ', 1990 + doc_id % 40, ' is void. ', CASE WHEN doc_id % 3 = 0 THEN '' ELSE text END) AS answer,

@@ -67,15 +67,15 @@ def e3_all(spark, folder):
     return op.vector_search(q, v, 3, query_cells=0).withColumn("score", rounded("score", 6))
 
 
-_CH = """SELECT doc_id AS chunk_id, doc_id % 250 AS doc_id, CAST(doc_id / 250 AS INT) AS chunk_index, CASE doc_id % 5 WHEN 0 THEN 'Final Order' WHEN 1 THEN
+_CH = """SELECT doc_id AS chunk_id, doc_id - doc_id % 4 AS doc_id, CAST(doc_id % 4 AS INT) AS chunk_index, CASE doc_id % 5 WHEN 0 THEN 'Final Order' WHEN 1 THEN
   'Case Summary' WHEN 2 THEN NULL ELSE 'Facts' END AS section, CAST(1 + doc_id % 6 AS INT) AS page_start, text FROM {documents}"""
-_CH_DUCK = D(_CH).replace("CAST(doc_id / 250 AS INT)", "CAST(doc_id // 250 AS INT)")
+_CH_DUCK = D(_CH)
 _DOC = "SELECT doc_id, concat('Doc ', doc_id) AS title, source AS case_id FROM {documents}"
-_VE = "SELECT vec_id, embedding, label, vec_id % 480 AS chunk_id FROM {embeddings}"
+_VE = "SELECT vec_id, embedding, label, vec_id AS chunk_id FROM {embeddings}"
 
 _RETRIEVE_SQL = _CENTROID_SQL + f""",
 c AS ({_CH_DUCK}), d AS ({D(_DOC)}),
-n AS (SELECT query_id, vec_id, vec_id % 480 AS chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20),
+n AS (SELECT query_id, vec_id, vec_id AS chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM s) WHERE r <= 20),
 o AS (SELECT query_id, chunk_id, max(score) AS score FROM n GROUP BY query_id, chunk_id),
 f AS (SELECT CAST(query_id AS BIGINT) AS query_id, c.*, d.title, least(greatest((score + 1) / 2, 0), 1) AS similarity FROM o JOIN c USING (chunk_id) JOIN d USING (doc_id)),
 g AS (SELECT *, least(greatest(similarity + CASE WHEN regexp_matches(lower(coalesce(section, '')), 'summary|conclusion|holding|order') THEN 0.05::DOUBLE ELSE 0 END
@@ -137,7 +137,7 @@ def e8(spark, folder):
 
 _CHUNK_ROWS = "SELECT doc_id, n_chars FROM {documents} UNION ALL SELECT doc_id, n_chars FROM {documents} WHERE n_chars > 3000"
 _VEC_ROWS = "SELECT vec_id AS doc_id, vec_id, vec_id % 3 > 0 AS is_synced FROM {embeddings} UNION ALL SELECT doc_id, doc_id, quality = 1 FROM {labels}"
-_SOME_JOBS = f"SELECT * FROM ({st.JOBS}) q WHERE value > 50"
+_SOME_JOBS = f"SELECT * FROM ({st.JOBS}) q"
 _LATEST = f"""(SELECT document_id AS doc_id, arg_max(status, o) AS job_status, arg_max(progress, o) AS progress FROM (SELECT *, (coalesce(epoch_us(started_at), -1), job_id) AS o
   FROM ({D(_SOME_JOBS)})) GROUP BY document_id)"""
 

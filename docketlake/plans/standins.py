@@ -74,7 +74,7 @@ FROM {orders} JOIN {customer} ON c_custkey = o_custkey JOIN {nation} ON n_nation
 CASES_TABLES = ("orders", "customer", "nation", "region")
 
 JOBS = f"""
-SELECT event_id AS job_id, user_id, event_id % 200 AS document_id, concat('src', event_id % 20) AS case_id, status,
+SELECT event_id AS job_id, user_id, CAST((event_id - event_id % 4) / 4 AS BIGINT) AS document_id, concat('src', event_id % 20) AS case_id, status,
   CASE k % 3 WHEN 0 THEN 'document_processing' WHEN 1 THEN 'embeddings' ELSE 'vector_sync' END AS job_type, k AS progress,
   k % 4 AS retry_count, 3 AS max_retries, timestamp_micros(us) AS created_at,
   CASE WHEN status NOT IN ('pending', 'queued') THEN timestamp_micros(us + k * 1000000) END AS started_at,

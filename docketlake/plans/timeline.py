@@ -112,12 +112,15 @@ def f7(spark, folder):
     return op.timeline_stats(st.rows(spark, folder, CASE_EVENTS), ["case_id"])
 
 
-@query("f8_rebuild_timeline", f"""WITH {_EVENTS_SQL}, m AS (SELECT case_id, event_date, concat(doc_id, '/', lpad(CAST(position AS VARCHAR), 6, '0')) AS event_id,
+@query("f8_rebuild_timeline", f"""WITH {_EVENTS_SQL}, m AS (SELECT case_id, event_date, sentence AS description, concat(doc_id, '/', lpad(CAST(position AS VARCHAR), 6, '0')) AS event_id,
   array_to_string(regexp_extract_all(lower(CASE WHEN len(ws) > 6 THEN concat(array_to_string(ws[1:6], ' '), '...') ELSE sentence END), '\\S+')[1:2], ' ') AS k FROM x),
 d AS (SELECT case_id, event_date, k, min(event_id) AS event_id, count(*) AS merged FROM m GROUP BY 1, 2, 3),
 l AS (SELECT *, lead(event_date) OVER v - event_date AS gap FROM d WINDOW v AS (PARTITION BY case_id ORDER BY event_date, event_id))
-SELECT case_id, count(*) AS events, CAST(sum(merged) AS BIGINT) AS found, count(*) FILTER (gap <= 60) AS edges FROM l GROUP BY case_id""")
+, t AS (SELECT case_id, event_date, k, description, min(event_id) AS id FROM m GROUP BY 1, 2, 3, 4), h AS (SELECT *, min(id) OVER (PARTITION BY case_id, event_date, k) AS head FROM t),
+n AS (SELECT case_id, count(*) AS notes FROM h WHERE id > head AND NOT EXISTS (SELECT 1 FROM t WHERE t.case_id = h.case_id AND t.event_date = h.event_date AND t.k = h.k AND t.id < h.id
+  AND contains(t.description, h.description)) GROUP BY 1)
+SELECT case_id, count(*) AS events, CAST(sum(merged) AS BIGINT) AS found, count(*) FILTER (gap <= 60) AS edges, any_value(coalesce(notes, 0)) AS notes FROM l LEFT JOIN n USING (case_id) GROUP BY case_id""")
 def f8(spark, folder):
-    events, edges = op.rebuild_timeline(legal_chunks(spark, folder))
-    e = edges.groupBy("case_id").agg(F.count("*").alias("edges"))
-    return events.groupBy("case_id").agg(F.count("*").alias("events"), F.sum("merged").alias("found")).join(e, "case_id", "left")
+    events, edges, notes = op.rebuild_timeline(legal_chunks(spark, folder))
+    e, n = edges.groupBy("case_id").agg(F.count("*").alias("edges")), notes.groupBy("case_id").agg(F.count("*").alias("notes"))
+    return events.groupBy("case_id").agg(F.count("*").alias("events"), F.sum("merged").alias("found")).join(e, "case_id", "left").join(n, "case_id", "left").fillna(0, ["notes"])

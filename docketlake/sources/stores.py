@@ -11,32 +11,45 @@ from ..functions import rules
 from ..session import cut_lineage
 
 
-def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """All old rows of the keys in ``new`` give way to the new rows."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+def replace_by_key(old: DataFrame, new: DataFrame, keys: list[str], replaced: DataFrame | None = None) -> DataFrame:
+    """All old rows of the keys in ``replaced`` (those in ``new`` by default) give way to the new rows.
+
+    Name the keys of the whole batch: one whose new version has no rows loses its old ones.
+    """
+    gone = (new if replaced is None else replaced).select(*keys).distinct()
+    return old.join(gone, keys, "left_anti").unionByName(new)
 
 
-def save_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[str], buckets: int = 64) -> None:
-    """``replace_by_key`` on disk: only the buckets that hold a new key are rewritten.
+def save_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[str], buckets: int = 64, replaced: DataFrame | None = None) -> None:
+    """``replace_by_key`` on disk: only the buckets that hold a replaced key are rewritten.
 
-    Choose ``buckets`` so that a batch touches few of them.  The rebalance hint groups the
-    rows by bucket for writing and splits a bucket that is too large for one task.
+    Choose ``buckets`` so that a batch touches few of them; a table keeps the number it was begun
+    with.  The rebalance hint groups the rows by bucket for writing and splits a bucket that is
+    too large for one task.
     """
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
-    fresh = new.withColumn("bucket", bucket)
-    if _exists(spark, path):
-        touched = fresh.select("bucket").distinct()
-        kept = spark.read.parquet(path).join(touched, "bucket", "left_semi").join(new.select(*keys).distinct(), keys, "left_anti")
-        fresh = fresh.unionByName(kept)
-        fresh = cut_lineage(fresh)  # the folder is read and overwritten in one go
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
+    fresh = new.select("*", bucket)
+    if exists(spark, path):
+        gone = (new if replaced is None else replaced).select(*keys).distinct().select(*keys, bucket)
+        gone = cut_lineage(gone)
+        old = spark.read.schema(fresh.schema).parquet(path).join(gone.select("bucket").distinct(), "bucket", "left_semi").join(gone.drop("bucket"), keys, "left_anti")
+        fresh = cut_lineage(fresh.unionByName(old))  # the folder is read and overwritten in one go
+        # A bucket of which nothing is left is not overwritten by a dynamic write.
+        for r in gone.select("bucket").distinct().join(fresh.select("bucket").distinct(), "bucket", "left_anti").collect():
+            _delete(spark, f"{path}/bucket={r['bucket']}")
     fresh.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_snapshot(metrics: DataFrame, path: str, snapshot_type: str, as_of, by: str | None = None) -> None:
     """Append one computed bundle; the newest per (type, case) is the valid one."""
     case = F.col(by).cast("string") if by else F.lit("*")

@@ -16,7 +16,8 @@ from ..operators.chunking import ChunkLimits, chunk_documents, select_strategy
 from ..operators.cleaning import clean_documents
 from ..operators.scale import spread
 from ..sources.files import decode_files
-from ..sources.stores import save_replacing
+from ..session import cut_lineage
+from ..sources.stores import exists, save_replacing
 from ..sources.tables import SCHEMAS
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -50,12 +51,18 @@ def ingest_batch(documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> D
 def stream_ingest(documents: DataFrame, chunk_path: str, checkpoint: str, limits: ChunkLimits = ChunkLimits()) -> StreamingQuery:
     """documents (doc_id, text, category) -> chunk table; a document that comes again replaces its chunks.
 
-    Replaying a batch after a failure writes the same rows again, so the table stays right.
+    All keys of a batch are replaced, so a new version without chunks (empty or refused) leaves no
+    old ones.  Of several versions of a document in one batch one is taken: the largest ``version``
+    if there is such a column, else the largest text.  Replaying a batch after a failure writes the
+    same rows again, so the table stays right.
     """
 
     def write(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            save_replacing(batch.sparkSession, ingest_batch(spread(batch, "doc_id"), limits), chunk_path, ["doc_id"])
+        if not batch.isEmpty():
+            order = F.struct(*[c for c in ("version", "text", "category") if c in batch.columns])
+            rest = [c for c in batch.columns if c != "doc_id"]
+            newest = cut_lineage(batch.groupBy("doc_id").agg(F.max_by(F.struct(*rest), order).alias("_d")).select("doc_id", "_d.*"))
+            save_replacing(batch.sparkSession, ingest_batch(spread(newest, "doc_id"), limits), chunk_path, ["doc_id"], replaced=newest)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -85,7 +92,7 @@ def _last_log(logs: DataFrame) -> Column:
 
 
 def job_state(logs: DataFrame) -> DataFrame:
-    """Current status, progress and step per job (update mode): the last log row so far."""
+    """Current status, progress and step per job: the last log row so far."""
     return logs.groupBy("job_id").agg(_last_log(logs)).select("job_id", "state.*")
 
 
@@ -100,13 +107,25 @@ def closed_jobs(logs: DataFrame, ttl: str = "6 hours", delay: str = "1 hour") ->
 
 
 def job_state_stream(logs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a table of current job states: each batch replaces the jobs it changed."""
+    """Keep a table of current job states: each batch replaces the jobs it changed.
 
-    def write(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
-            save_replacing(batch.sparkSession, batch, path, ["job_id"])
+    The table is the state: a batch is reduced to the last row of each of its jobs and compared
+    with what the table holds of them.  The stream itself keeps nothing, so nothing has to expire,
+    and a replayed or late batch changes nothing.
+    """
 
-    return job_state(logs).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    def write(batch: DataFrame, _: int) -> None:
+        if batch.isEmpty():
+            return
+        spark = batch.sparkSession
+        last = cut_lineage(batch.groupBy("job_id").agg(_last_log(batch), F.max(F.struct("created_at", "log_id")).alias("at")).select("job_id", "state.*", F.col("at.created_at").alias("created_at")))
+        if exists(spark, path):
+            known = spark.read.parquet(path).select(last.columns).join(last.select("job_id"), "job_id", "left_semi")
+            rest = [c for c in last.columns if c != "job_id"]
+            last = cut_lineage(last.unionByName(known).groupBy("job_id").agg(F.max_by(F.struct(*rest), F.struct("created_at", "log_id")).alias("s")).select("job_id", "s.*"))
+        save_replacing(spark, last, path, ["job_id"])
+
+    return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def run_append(df: DataFrame, path: str, checkpoint: str) -> DataFrame:

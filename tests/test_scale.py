@@ -1,6 +1,7 @@
 """Hot keys, partitioning and brute-force checks."""
 
 import random
+from datetime import datetime
 
 import numpy as np
 import pytest
@@ -190,6 +191,30 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     same(got, batch)
 
 
+def test_stream_ingest_leaves_no_old_chunks(spark, tmp_path):
+    """Empty and refused versions clear a document; of two versions in one batch the newest stays."""
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    shape = "doc_id long, text string, category string, version int"
+    long = "A sentence of the first version that is long enough to stay. " * 4
+    batches = [[(1, long, "text", 1), (2, long, "text", 1), (3, long, "text", 1)],
+               [(1, "", "text", 2), (2, "x", "text", 2), (3, "Old words of three. " * 5, "text", 2), (3, "New words of three. " * 5, "text", 3)]]
+    for rows in batches:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        streams.stream_ingest(spark.readStream.schema(shape).parquet(src), out, ckpt).awaitTermination()
+    left = spark.read.parquet(out).collect()
+    assert {r.doc_id for r in left} == {3} and all("New words" in r.text and "Old" not in r.text for r in left)
+
+
+def test_job_state_table_takes_late_rows(spark, tmp_path):
+    src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
+    shape = "job_id long, log_id long, status string, progress int, step string, created_at timestamp"
+    at = lambda h: datetime(2024, 1, 1, h)
+    for rows in ([(1, 1, "running", 10, "a", at(5)), (2, 2, "queued", 0, "a", at(5))], [(1, 3, "queued", 0, "a", at(3)), (2, 4, "completed", 100, "b", at(9))]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
+        streams.job_state_stream(spark.readStream.schema(shape).parquet(src), out, ckpt).awaitTermination()
+    assert sorted((r.job_id, r.status, r.progress) for r in spark.read.parquet(out).collect()) == [(1, "running", 10), (2, "completed", 100)]
+
+
 def test_job_state_equals_fold(spark):
     logs = spark.createDataFrame([(1, 1, 5, "queued", 0, "a"), (1, 2, 9, "running", 130, "b"), (2, 3, 7, "failed", -5, "c")],
                                  "job_id long, log_id long, t long, status string, progress int, step string").withColumn("created_at", F.timestamp_seconds("t"))
