@@ -25,7 +25,7 @@ def distinct_names(entities: DataFrame, vector: str | None = None, keys: tuple[s
     """One row per different name; copies of a name are combined before the shuffle."""
     aggs = [F.min("entity_id").alias("first_id")]
     if vector:
-        aggs.append(F.first(vector).alias("vector"))
+        aggs.append(F.min_by(vector, "entity_id").alias("vector"))
     names = entities.groupBy(*keys, "name").agg(*aggs)
     names = names.withColumn("clean", normalize_entity_name("name")).withColumn("tokens", name_tokens("clean"))
     return names.withColumn("vector", unit("vector") if vector else F.lit(None).cast("array<double>"))
@@ -96,8 +96,17 @@ def resolve_entities(entities: DataFrame, vector: str | None = None, threshold:
     """Entities in the order of their id: join the best earlier canonical entity, or become one.
 
     Adds ``status`` (canonical or merged), ``canonical_id`` and ``similarity`` (3 digits).
+    Without vectors only equal cleaned names reach the threshold, so one aggregate settles them.
     """
-    names = cut_lineage(distinct_names(entities, vector, keys))
+    if vector is None:
+        return _resolve_by_name(entities, keys)
+    every = cut_lineage(distinct_names(entities, vector, keys))
+    # Names that clean to the same text and have the same vector are similar to the same names: the first stands for all.
+    same = every.groupBy(*keys, "clean", "vector").agg(F.min("first_id").alias("first_id"), F.min_by("name", "first_id").alias("name"), F.min_by("tokens", "first_id").alias("tokens"))
+    same = same.filter(F.size("tokens") > 0).unionByName(every.filter(F.size("tokens") == 0).select(same.columns))
+    names = cut_lineage(same)
+    stands = every.select(*keys, "name", "clean", "vector", F.col("first_id").alias("_own")).join(
+        names.select(*keys, "clean", "vector", "first_id", F.size("tokens").alias("_n")), [*keys, "clean", "vector"]).filter("_n > 0 or first_id = _own")
     pairs = cut_lineage(similar_names(names, threshold, keys))
     canonical = cut_lineage(_canonical_ids(pairs))
     touched = pairs.select(F.col("a_id").alias("first_id")).union(pairs.select("b_id")).distinct()
@@ -108,7 +117,7 @@ def resolve_entities(entities: DataFrame, vector: str | None = None, threshold:
     others = both.join(heads.withColumnRenamed("first_id", "head_id"), "head_id", "left_semi").select("first_id", "head_id", "score")
     own = names.filter(F.size("tokens") > 0).join(heads, "first_id", "left_semi").select("first_id", F.col("first_id").alias("head_id"), F.lit(1.0).alias("score"))
     options = others.union(own)
-    ids = entities.join(names.select(*keys, "name", "first_id"), [*keys, "name"]).select("entity_id", "first_id")
+    ids = entities.join(stands.select(*keys, "name", "first_id"), [*keys, "name"]).select("entity_id", "first_id")
     best = (
         ids.join(options, "first_id").filter(F.col("head_id") < F.col("entity_id")).groupBy("entity_id")
         .agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("head_id").alias("h"))).alias("m"))
@@ -118,6 +127,15 @@ def resolve_entities(entities: DataFrame, vector: str | None = None, threshold:
         "status", F.when(F.col("canonical_id").isNull(), "canonical").otherwise("merged"))
 
 
+def _resolve_by_name(entities: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    cleaned = entities.withColumn("_clean", normalize_entity_name("name"))
+    first = cleaned.filter(F.size(name_tokens("_clean")) > 0).groupBy(*keys, "_clean").agg(F.min("entity_id").alias("_first"))
+    merged = F.col("_first") < F.col("entity_id")
+    return cleaned.join(first, [*keys, "_clean"], "left").select(
+        *entities.columns, F.when(merged, F.col("_first")).alias("canonical_id"), F.when(merged, F.lit(1.0)).alias("similarity"),
+        F.when(merged, "merged").otherwise("canonical").alias("status"))
+
+
 def aliases(resolved: DataFrame) -> DataFrame:
     """(canonical_id, alias): the other names merged into an entity, one row each."""
     head = resolved.filter("status = 'canonical'").select(F.col("entity_id").alias("canonical_id"), F.col("name").alias("_own"))

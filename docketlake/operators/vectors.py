@@ -81,53 +81,67 @@ def _unit_rows(values) -> np.ndarray:
     return m / np.where(length > 0, length, 1.0)
 
 
-def _best(qids, qm, vids, vm, k, threshold) -> tuple[list, list, list]:
-    """The k best vectors per query among these, ties by smaller id."""
+def _best(qids, qm, qown, vids, vm, vown, k, threshold) -> tuple[list, list, list]:
+    """The k best vectors per query among these, ties by smaller id; with owners only those of the query's owner."""
     order = np.argsort(vids, kind="stable")
     vids, vm = vids[order], vm[order]
     scores = qm @ vm.T
+    if qown is not None:
+        scores = np.where(np.asarray(qown, object)[:, None] == np.asarray(vown, object)[order][None, :], scores, -np.inf)
     out_q, out_v, out_s = [], [], []
     for i in range(len(qids)):
         s = scores[i]
         near = np.nonzero(s >= np.partition(s, -k)[-k])[0] if len(s) > k else np.arange(len(s))
         top = near[np.argsort(-s[near], kind="stable")][:k]
+        top = top[s[top] > -np.inf]
         if threshold is not None:
-            top = top[scores[i][top] >= threshold]
+            top = top[s[top] >= threshold]
         out_q.extend([qids[i]] * len(top))
         out_v.extend(vids[top])
         out_s.extend(scores[i][top])
     return out_q, out_v, out_s
 
 
-def vector_search(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, filters: dict | None = None,
-                  qid: str = "query_id", vid: str = "vec_id", vec: str = "embedding", query_cells: int = QUERY_CELLS) -> DataFrame:
+def vector_search(queries: DataFrame, vectors: DataFrame, k: int | str, threshold: float | str | None = None, filters: dict | None = None,
+                  qid: str = "query_id", vid: str = "vec_id", vec: str = "embedding", query_cells: int = QUERY_CELLS, owner: str | None = None) -> DataFrame:
     """Exact cosine top-k per query: rows (query, vector, score, rank).
 
+    ``k`` and ``threshold`` are values for all queries, or the names of columns of ``queries``.
+    ``owner`` names a column of both tables; a query then finds vectors of its own owner only.
+
     The query set is measured first.  A small one is sent to every task, which keeps only
     its k best per query, so the vectors are never shuffled.  A larger one is cut into
     blocks and met with blocks of vectors; each pair of blocks is one matrix product.
     Neither way writes out the pairs that are not among a task's k best.
     """
-    vectors = vectors.filter(must(filters)).select(vid, vec)
-    queries = queries.select(qid, vec)
+    plan = queries
+    own = [owner] if owner else []
+    vectors = vectors.filter(must(filters)).select(vid, vec, *own)
+    queries = queries.select(qid, vec, *own)
+    most = k if isinstance(k, int) else (plan.agg(F.max(k)).first()[0] or 0)
+    least = None if isinstance(threshold, str) else threshold
     schema = (f"{qid} {queries.schema[qid].dataType.simpleString()}, {vid} {vectors.schema[vid].dataType.simpleString()}, score double")
     size = queries.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(vec)), F.lit(0)).alias("d")).first()
     near = (_search_small if size["n"] * max(size["d"], 1) <= query_cells else _search_blocks)(
-        queries, vectors, size["n"], k, threshold, qid, vid, vec, schema)
-    return top_per_key(near, [qid], [F.desc("score"), F.asc(vid)], k)
+        queries, vectors, size["n"], most, least, qid, vid, vec, schema, owner)
+    found = top_per_key(near, [qid], [F.desc("score"), F.asc(vid)], most)
+    if isinstance(k, str) or isinstance(threshold, str):
+        limits = plan.select(qid, (F.col(k) if isinstance(k, str) else F.lit(k)).alias("_k"), (F.col(threshold) if isinstance(threshold, str) else F.lit(None).cast("double")).alias("_least"))
+        found = found.join(limits, qid).filter((F.col("rank") <= F.col("_k")) & (F.col("_least").isNull() | (F.col("score") >= F.col("_least")))).drop("_k", "_least")
+    return found
 
 
-def _search_small(queries, vectors, n, k, threshold, qid, vid, vec, schema):
+def _search_small(queries, vectors, n, k, threshold, qid, vid, vec, schema, owner=None):
     rows = queries.collect()  # bounded by the check above
-    shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _unit_rows([r[1] for r in rows]) if rows else None))
+    shared = queries.sparkSession.sparkContext.broadcast(([r[0] for r in rows], _unit_rows([r[1] for r in rows]) if rows else None, [r[2] for r in rows] if owner else None))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        qids, qm = shared.value
+        qids, qm, qown = shared.value
         best = None
         for pdf in batches:
             if not len(pdf) or not qids:
                 continue
-            q, v, s = _best(qids, qm, pdf[vid].to_numpy(), _unit_rows(pdf[vec]), k, threshold)
+            q, v, s = _best(qids, qm, qown, pdf[vid].to_numpy(), _unit_rows(pdf[vec]), pdf[owner] if owner else None, k, threshold)
             found = pd.DataFrame({qid: q, vid: v, "score": s})
             best = found if best is None else pd.concat([best, found])
             best = best.sort_values(["score", vid], ascending=[False, True]).groupby(qid, sort=False).head(k)
@@ -137,7 +151,7 @@ def _search_small(queries, vectors, n, k, threshold, qid, vid, vec, schema):
     return vectors.mapInPandas(scan, schema)
 
 
-def _search_blocks(queries, vectors, n, k, threshold, qid, vid, vec, schema):
+def _search_blocks(queries, vectors, n, k, threshold, qid, vid, vec, schema, owner=None):
     nq = max(1, -(-n // QUERY_BLOCK))
     nv = max(1, -(-vectors.count() // VECTOR_BLOCK))
     block = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
@@ -148,7 +162,7 @@ def _search_blocks(queries, vectors, n, k, threshold, qid, vid, vec, schema):
     def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({qid: [], vid: [], "score": []})
-        x, y, s = _best(a[qid].to_numpy(), _unit_rows(a[vec]), b[vid].to_numpy(), _unit_rows(b[vec]), k, threshold)
+        x, y, s = _best(a[qid].to_numpy(), _unit_rows(a[vec]), a[owner] if owner else None, b[vid].to_numpy(), _unit_rows(b[vec]), b[owner] if owner else None, k, threshold)
         return pd.DataFrame({qid: x, vid: y, "score": s})
 
     return q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(product, schema)
@@ -165,18 +179,25 @@ def rank_chunks(hits: DataFrame, weights: dict = rules.RANK_WEIGHTS) -> DataFram
     return hits.withColumn("ranking_score", ranking_score(F.col("similarity"), F.col("section"), F.col("page_start"), weights))
 
 
-def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, docs: DataFrame, k: int = 5, threshold: float | None = None,
-             filters: dict | None = None, qid: str = "query_id") -> DataFrame:
+def retrieve(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, docs: DataFrame, k: int | str = 5, threshold: float | str | None = None,
+             filters: dict | None = None, qid: str = "query_id", owner: str | None = None) -> DataFrame:
     """Search twice as many as asked, attach chunk and document, rank again, keep k.
 
-    ``vectors`` carries ``chunk_id``; hits without chunk or document drop out.
+    ``vectors`` carries ``chunk_id``; hits without chunk or document drop out.  ``k``,
+    ``threshold`` and ``owner`` as in ``vector_search``, so that each question runs with its own
+    plan and never leaves its owner's documents.
     """
-    hits = vector_search(queries, vectors, 2 * k, threshold, filters, qid=qid).drop("rank")
+    asked = queries.withColumn("_wide", 2 * F.col(k)) if isinstance(k, str) else queries
+    hits = vector_search(asked, vectors, "_wide" if isinstance(k, str) else 2 * k, threshold, filters, qid=qid, owner=owner).drop("rank")
     hits = hits.join(vectors.select("vec_id", "chunk_id"), "vec_id")
     once = hits.groupBy(qid, "chunk_id").agg(F.max("score").alias("score"))
     full = once.join(chunks, "chunk_id").join(docs.select("doc_id", "title", "case_id"), "doc_id")
     ranked = rank_chunks(full.withColumn("similarity", clamp((F.col("score") + 1.0) / 2.0)))
-    return top_per_key(ranked, [qid], [F.desc("ranking_score"), F.asc("chunk_id")], k)
+    order = [F.desc("ranking_score"), F.asc("chunk_id")]
+    if isinstance(k, int):
+        return top_per_key(ranked, [qid], order, k)
+    most = queries.agg(F.max(k)).first()[0] or 0
+    return top_per_key(ranked, [qid], order, most).join(queries.select(qid, F.col(k).alias("_k")), qid).filter("rank <= _k").drop("_k")
 
 
 def retrieval_log(results: DataFrame, qid: str = "query_id") -> DataFrame:

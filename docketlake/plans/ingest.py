@@ -114,15 +114,17 @@ def a10(spark, folder):
     return stores.flatten_bundles([metrics.retrieval_metrics(st.rows(spark, folder, st.RETRIEVAL_LOG)), metrics.timeline_metrics(events)])
 
 
-_VEC = "SELECT vec_id, embedding, label, vec_id AS doc_id, CAST(label AS INT) AS chunk_index, vec_id % 3 > 0 AS is_synced FROM {embeddings}"
-_CHUNK = "SELECT doc_id, CAST(doc_id % 10 AS INT) AS chunk_index, CAST(2 + doc_id % 5 AS INT) AS page_start, concat('Part ', lang) AS section FROM {documents}"
+_VEC = "SELECT vec_id, embedding, label, vec_id AS doc_id, CAST(label AS INT) AS chunk_index, vec_id % 3 > 0 AS is_synced, concat('v', vec_id % 2) AS embedding_version FROM {embeddings}"
+_CHUNK = "SELECT concat(doc_id, '/', doc_id % 10) AS chunk_id, doc_id, CAST(doc_id % 10 AS INT) AS chunk_index, CAST(2 + doc_id % 5 AS INT) AS page_start, concat('Part ', lang) AS section FROM {documents}"
 
 
 @query("a11_vector_payload", f"""WITH v AS ({D(_VEC)}), c AS ({D(_CHUNK)}), f AS ({D(st.FILES)})
-SELECT vec_id, v.doc_id, coalesce(c.chunk_index, 0) AS chunk_index, coalesce(page_start, 1) AS page, coalesce(section, '') AS section, case_id, title
+SELECT vec_id, v.doc_id, coalesce(c.chunk_index, 0) AS chunk_index, coalesce(page_start, 1) AS page, coalesce(section, '') AS section, case_id, title, chunk_id, owner_id, filename, mime_type AS document_type, user_tags AS tags,
+  strftime(created_at, '%Y-%m-%d') AS created_at, embedding_version
 FROM v LEFT JOIN c ON c.doc_id = v.doc_id AND c.chunk_index = v.chunk_index JOIN f ON f.doc_id = v.doc_id WHERE NOT is_synced""")
 def a11(spark, folder):
-    return stores.vector_payload(st.rows(spark, folder, _VEC), st.rows(spark, folder, _CHUNK), st.rows(spark, folder, st.FILES)).select("vec_id", "payload.*")
+    return stores.vector_payload(st.rows(spark, folder, _VEC), st.rows(spark, folder, _CHUNK), st.rows(spark, folder, st.FILES)).select("vec_id", "payload.*").withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd"))
 
 
 @query("a12_delete_document_vectors", f"""WITH v AS ({D(_VEC)}) SELECT vec_id, doc_id, is_synced FROM v WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""")

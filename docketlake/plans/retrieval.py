@@ -93,6 +93,18 @@ def e4(spark, folder):
                                             rounded("ranking_score", 6).alias("ranking_score"))
 
 
+_PLANNED = "SELECT vec_id AS query_id, embedding, label AS owner_id, CAST(1 + vec_id % 3 AS INT) AS k, CAST(vec_id % 4 AS DOUBLE) / 20 AS least FROM {embeddings} WHERE vec_id % 100 = 0"
+
+
+@query("e4_search_by_plan", f"""WITH p AS ({D(_PLANNED)}), s AS (SELECT query_id, k, vec_id, list_cosine_similarity(p.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS score, least FROM p JOIN embeddings e ON e.label = p.owner_id),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, vec_id, round(score, 6) AS score, rank FROM r WHERE rank <= k AND score >= least""")
+def e4_plan(spark, folder):
+    """Each hundredth vector asks with its own k and threshold, among the vectors of its owner (here the label)."""
+    vectors = load_table(spark, folder, "embeddings").withColumnRenamed("label", "owner_id")
+    return op.vector_search(st.rows(spark, folder, _PLANNED), vectors, "k", "least", owner="owner_id").withColumn("score", rounded("score", 6))
+
+
 @query("e4_retrieval_log", _RETRIEVE_SQL + " SELECT query_id, count(*) AS chunks_returned, round(arg_min(similarity, rank), 6) AS top_score FROM h WHERE rank <= 10 GROUP BY query_id")
 def e4_log(spark, folder):
     return op.retrieval_log(_retrieved(spark, folder)).select("query_id", "chunks_returned", rounded("top_score", 6).alias("top_score"))

@@ -79,12 +79,18 @@ def export_metrics(bundles: list[DataFrame], path: str) -> None:
 
 
 def vector_payload(vectors: DataFrame, chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Vectors that are not synced yet, with what the index stores beside them."""
-    c = chunks.select("doc_id", "chunk_index", F.col("chunk_index").alias("_index"), "page_start", "section")
+    """Vectors that are not synced yet, with what the index stores beside them.
+
+    Columns that a table lacks are null in the payload.
+    """
+    c = chunks.select("doc_id", "chunk_index", F.col("chunk_index").alias("_index"), "page_start", "section", *([F.col("chunk_id").alias("_chunk")] if "chunk_id" in chunks.columns else []))
     df = vectors.filter(~F.col("is_synced")).join(c, ["doc_id", "chunk_index"], "left").join(docs, "doc_id")
     return df.select("vec_id", "embedding", F.struct(
         F.col("doc_id"), F.coalesce("_index", F.lit(0)).alias("chunk_index"), F.coalesce("page_start", F.lit(1)).alias("page"),
-        F.coalesce("section", F.lit("")).alias("section"), F.col("case_id"), F.col("title")).alias("payload"))
+        F.coalesce("section", F.lit("")).alias("section"), F.col("case_id"), F.col("title"),
+        *[(F.col(c) if c in df.columns else F.lit(None).cast(kind)).alias(name) for c, name, kind in (
+            ("_chunk", "chunk_id", "string"), ("owner_id", "owner_id", "string"), ("filename", "filename", "string"), ("mime_type", "document_type", "string"),
+            ("user_tags", "tags", "string"), ("created_at", "created_at", "timestamp"), ("embedding_version", "embedding_version", "string"))]).alias("payload"))
 
 
 def delete_document_vectors(vectors: DataFrame, ids: DataFrame) -> DataFrame:

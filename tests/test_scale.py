@@ -83,6 +83,16 @@ def test_vector_search_ways_agree(spark):
     assert all(r.vec_id == r.query_id for r in small.filter("rank = 1").collect())
 
 
+@pytest.mark.parametrize("cells", [vectors.QUERY_CELLS, 0])
+def test_no_row_of_another_owner(spark, cells):
+    rng = np.random.default_rng(8)
+    v = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)], i % 3) for i in range(90)], "vec_id long, embedding array<float>, owner_id int").repartition(4)
+    q = v.filter("vec_id < 12").select(F.col("vec_id").alias("query_id"), "embedding", "owner_id", (F.col("vec_id") % 4).cast("int").alias("k"))
+    found = vectors.vector_search(q, v, "k", query_cells=cells, owner="owner_id").join(q, "query_id").join(v.select("vec_id", F.col("owner_id").alias("of")), "vec_id").collect()
+    assert all(r.of == r.owner_id for r in found)
+    assert {(i, sum(r.query_id == i for r in found)) for i in range(12)} == {(i, i % 4) for i in range(12)}
+
+
 def brute_resolve(rows):
     """Entities in order against all canonical ones; letter counts as vectors."""
     from docketlake.functions import rules
