@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clamp, contains_any, rounded, squeeze, strip
+from ..functions.text import bind, clamp, contains_any, rounded, squeeze, strip
 from .scale import first_by, last_by, running_sum, top_per_key
 
 # ---- embedding --------------------------------------------------------------------------------
@@ -226,36 +226,34 @@ def merge_adjacent(hits: DataFrame, qid: str = "query_id") -> DataFrame:
 def build_context(hits: DataFrame, max_tokens: int = 4000, qid: str = "query_id") -> DataFrame:
     """Context text per query under a token budget; one small group (k hits) per query.
 
-    A block that does not fit is cut when more than 50 tokens are left, and ends its
-    document; a header that does not fit ends the text.
+    A block that does not fit is cut when enough tokens are left, and ends its document; a
+    header that does not fit ends the text.  A fold over the blocks of a query.
     """
-    blocks = merge_adjacent(hits, qid)
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, used, closed, doc = [], 0.0, False, None
-        for r in pdf.sort_values(["doc_rank", "start_index"]).itertuples():
-            if r.doc_id != doc:
-                doc, closed = r.doc_id, False
-                head = f"--- SOURCE DOCUMENT: {r.title} ---\n"
-                cost = len(head.split()) * 1.3
-                if used + cost > max_tokens:
-                    break
-                out.append(head)
-                used += cost
-            if closed:
-                continue
-            block = f"[Section: {r.section}, Page {r.page_start}]\n{r.text}\n\n"
-            split = block.split()
-            if used + len(split) * 1.3 > max_tokens:
-                left, closed = max_tokens - used, True
-                if left > 50:
-                    out.append(" ".join(split[:int(left / 1.3)]) + "... [Truncated due to token limit]\n\n")
-                continue
-            out.append(block)
-            used += len(split) * 1.3
-        return pd.DataFrame({qid: [pdf[qid].iloc[0]], "context": ["".join(out)]})
-
-    return blocks.groupBy(qid).applyInPandas(fill, f"{qid} {hits.schema[qid].dataType.simpleString()}, context string")
+    fields = ["doc_rank", "start_index", "doc_id", "title", "section", "page_start", "text"]
+    ordered = merge_adjacent(hits, qid).groupBy(qid).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("_blocks"))
+    cost = lambda text: F.regexp_count(text, F.lit(r"\S+")) * F.lit(rules.TOKENS_PER_WORD)
+    shape = "struct<text:string,used:double,doc:string,closed:boolean,ended:boolean>"
+    begin = F.struct(F.lit("").alias("text"), F.lit(0.0).alias("used"), F.lit(None).alias("doc"), F.lit(False).alias("closed"), F.lit(False).alias("ended")).cast(shape)
+
+    def add(acc: Column, b: Column) -> Column:
+        other = ~acc["doc"].eqNullSafe(b["doc_id"].cast("string"))
+        head = F.when(other, F.concat(F.lit(rules.CONTEXT_HEAD), b["title"], F.lit(rules.CONTEXT_HEAD_END))).otherwise("")
+        block = F.format_string(rules.CONTEXT_BLOCK, F.coalesce(b["section"], F.lit("None")), b["page_start"], b["text"])
+        parts = F.struct(head.alias("head"), (acc["used"] + cost(head)).alias("used"), block.alias("block"), cost(block).alias("cost"), (~other & acc["closed"]).alias("closed"))
+
+        def put(p: Column) -> Column:
+            left = F.lit(float(max_tokens)) - p["used"]
+            fits = p["cost"] <= left
+            start = F.array_join(F.slice(F.regexp_extract_all(p["block"], F.lit(r"(\S+)"), F.lit(1)), F.lit(1), F.floor(F.greatest(left, F.lit(0.0)) / rules.TOKENS_PER_WORD).cast("int")), " ")
+            piece = F.when(p["closed"], "").when(fits, p["block"]).when(left > rules.CONTEXT_LEAST_TOKENS, F.concat(start, F.lit(rules.CONTEXT_CUT))).otherwise("")
+            grown = F.struct(F.concat(acc["text"], p["head"], piece).alias("text"), (p["used"] + F.when(~p["closed"] & fits, p["cost"]).otherwise(0.0)).alias("used"),
+                             b["doc_id"].cast("string").alias("doc"), (p["closed"] | ~fits).alias("closed"), F.lit(False).alias("ended"))
+            over = F.struct(acc["text"].alias("text"), acc["used"].alias("used"), acc["doc"].alias("doc"), acc["closed"].alias("closed"), F.lit(True).alias("ended"))
+            return F.when(acc["ended"] | (left < 0), over).otherwise(grown).cast(shape)
+
+        return bind(parts, put)
+
+    return ordered.select(qid, F.aggregate("_blocks", begin, add)["text"].alias("context"))
 
 
 def compress_chunks(chunks: DataFrame, max_tokens: int = 4000, by: str = "query_id", order: str = "rank") -> DataFrame:
