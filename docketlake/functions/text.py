@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as Python knows it, for character classes; Java's own ``\\s`` is ASCII only.
+BLANKS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -22,21 +27,21 @@ def bind(value: Column, fn) -> Column:
 
 def strip(c: str | Column) -> Column:
     """Remove whitespace of any kind on both ends (plain ``trim`` removes blanks only)."""
-    return F.trim(col(c), F.lit(" \t\n\x0b\f\r"))
+    return F.trim(col(c), F.lit(_BLANK_CHARS))
 
 
 def squeeze(c: str | Column) -> Column:
     """Lower case, runs of whitespace become one blank, no blank on the ends."""
-    return F.trim(F.regexp_replace(F.lower(col(c)), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(col(c)), f"[{BLANKS}]+", " "))
 
 
 def words(c: str | Column) -> Column:
     """Array of the whitespace separated words."""
-    return F.regexp_extract_all(col(c), F.lit(r"(\S+)"), F.lit(1))
+    return F.regexp_extract_all(col(c), F.lit(f"([^{BLANKS}]+)"), F.lit(1))
 
 
 def word_count(c: str | Column) -> Column:
-    return F.regexp_count(col(c), F.lit(r"\S+")).cast("int")
+    return F.regexp_count(col(c), F.lit(f"[^{BLANKS}]+")).cast("int")
 
 
 def token_estimate(word_total: str | Column, factor: float = 1.33) -> Column:
@@ -46,7 +51,7 @@ def token_estimate(word_total: str | Column, factor: float = 1.33) -> Column:
 
 def sentences(c: str | Column) -> Column:
     """Non-empty trimmed sentences; a sentence ends at whitespace after ``. ! ?``."""
-    parts = F.split(col(c), r"(?<=[.!?])\s+")
+    parts = F.split(col(c), f"(?<=[.!?])[{BLANKS}]+")
     return F.filter(F.transform(parts, strip), lambda s: s != "")
 
 

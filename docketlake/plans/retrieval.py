@@ -130,7 +130,7 @@ m AS (SELECT query_id, doc_id, min(chunk_index) AS s, any_value(title) AS title,
 ob AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY dr, s) AS k, concat('--- SOURCE DOCUMENT: ', title, ' ---', {NL}) AS head, concat('[Section: ', coalesce(section, 'None'), ', Page ', page, ']', {NL}, text, {NL}, {NL}) AS block
   FROM m JOIN dr USING (query_id, doc_id)), cb AS (SELECT *, {WC('head')} * 1.3::DOUBLE AS hc, {WC('block')} * 1.3::DOUBLE AS bc FROM ob),
 r AS (SELECT query_id, 0::BIGINT AS k, '' AS text, 0::DOUBLE AS used, -1::BIGINT AS doc, false AS closed FROM cb GROUP BY query_id UNION ALL
-  SELECT query_id, k, concat(t, CASE WHEN nd THEN head ELSE '' END, CASE WHEN cl THEN '' WHEN u + bc <= 2000 THEN block WHEN 2000 - u > 50 THEN concat(array_to_string(regexp_extract_all(block, '\S+')[1:CAST(trunc((2000 - u) / 1.3::DOUBLE) AS INT)], ' '),
+  SELECT query_id, k, concat(t, CASE WHEN nd THEN head ELSE '' END, CASE WHEN cl THEN '' WHEN u + bc <= 2000 THEN block WHEN 2000 - u > 50 THEN concat(array_to_string(regexp_extract_all(block, '\\S+')[1:CAST(trunc((2000 - u) / 1.3::DOUBLE) AS INT)], ' '),
     '... [Truncated due to token limit]', {NL}, {NL}) ELSE '' END), u + CASE WHEN NOT cl AND u + bc <= 2000 THEN bc ELSE 0 END, doc_id, cl OR u + bc > 2000
   FROM (SELECT r.query_id, c.k, r.text AS t, c.head, c.block, c.bc, c.doc_id, c.doc_id <> r.doc AS nd, r.used + CASE WHEN c.doc_id <> r.doc THEN c.hc ELSE 0 END AS u, c.doc_id = r.doc AND r.closed AS cl
     FROM r JOIN cb c ON c.query_id = r.query_id AND c.k = r.k + 1) WHERE u <= 2000)"""

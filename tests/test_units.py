@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketlake.operators import chunking, cleaning, dialog, graph, knowledge, metrics, reasoning, timeline, vectors
+from docketlake.functions.text import strip, word_count, words
 from docketlake.sources import files, stores
 
 
@@ -247,3 +248,12 @@ def test_tables_between_lines(spark):
     assert out[0].text == ("before\n--- Table Start ---\nRow 1:\n  a: 1\n  b: —\n\n--- Table End ---\n|\n--- Table Start ---\nRow 1:\n  x: 1\n  y: 2\n  Column 3: 3\n\n--- Table End ---"
                            "\nafter\nlone | pipe")
     assert [(r.text, r.tables_flattened) for r in out[1:]] == [("none", 0), (None, 0), ("|", 0)] and out[0].tables_flattened == 2
+
+
+def test_words_are_split_as_python_does(spark):
+    texts = ["a\u00a0b c", "x\u3000y\u2003z", "caf\u00e9 \u0085 \u00fcber\tna\u00efve", "\u00f1o\u00f1o se\u00f1or\u2028d\u00eda", "", "  "]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.select(word_count("text").alias("n"), words("text").alias("w"), strip("text").alias("s")).collect()
+    assert [(r.n, r.w, r.s) for r in got] == [(len(t.split()), t.split(), t.strip()) for t in texts]
+    chunks = {r.doc_id: r.words for r in chunking.chunk_sliding(df).collect()}
+    assert all(chunks[i] == len(t.split()) for i, t in enumerate(texts) if i in chunks) and len(chunks) >= 1
