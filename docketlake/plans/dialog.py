@@ -11,12 +11,12 @@ from ..operators import knowledge, timeline
 from ..session import cut_lineage
 from ..sources.tables import load_table
 from . import standins as st
-from .knowledge import _W
+from .knowledge import _ARGS, _CLAIMS, _EVIDENCE, _PARTIES, _STATUTES, _W
 from .metrics import _USAGE
 from .reasoning import _USER, questions
 from .registry import query
 from .sqltext import LIKE_ANY, NL, S, SENT, q
-from .timeline import legal_chunks
+from .timeline import _EVENTS_SQL, legal_chunks
 
 D = st.duck
 _MEMO = st.MESSAGES.replace("text AS content", "concat(CASE turn % 3 WHEN 0 THEN 'The Delhi High Court and Acme Holdings Ltd met. ' WHEN 1 THEN 'State Bank Corp. ' ELSE '' END, text) AS content")
@@ -160,14 +160,43 @@ def i12(spark, folder):
     return op.summary_lines(st.rows(spark, folder, _CASE_ROWS), _known(spark, folder, "facts"), None, "general", facts=10)
 
 
-@query("i12_summary_lines_by_type")
+# An item id has a fixed length: nine digits, the kind, four digits.
+_ID = lambda kind: f"repeat('#', {15 + len(kind)})"
+_OF = lambda src, line: f"SELECT case_id, {line} AS line FROM ({src})"
+_CLAIM_SQL = f"{_CLAIMS} UNION ALL {_ARGS}"
+_BY_TYPE = {
+    "executive": ("KEY FACTS:|\nPRIMARY CLAIMS/DEFENSES:", "SELECT case_id, concat('- ', s, ' [Fact: ', id, ']') AS line FROM t UNION ALL "
+                  + _OF(_CLAIM_SQL, f"concat('- ', text, ' (Type: ', type, ') [Claim: ', {_ID('claim')}, ']')")),
+    "chronological": ("CHRONOLOGICAL CASE EVENTS:", "SELECT case_id, concat('- [', strftime(event_date, '%Y-%m-%d'), '] ', CASE WHEN len(ws) > 6 THEN concat(array_to_string(ws[1:6], ' '), '...') ELSE sentence END, ': ', sentence, "
+                      "' [TimelineEvent: ', doc_id, '/', position, ']') AS line FROM x"),
+    "legal": ("APPLICABLE ACTS & STATUTES:", _OF(_STATUTES, f"concat('- ', role, ' (Act: ', text, ') [Statute: ', {_ID('statute')}, ']')")),
+    "parties": ("INVOLVED PARTIES:", _OF(_PARTIES, f"concat('- Name: ', text, ' (Role: ', coalesce(nullif(role, ''), 'N/A'), ') [Entity: ', {_ID('entity')}, ']')")),
+    "evidence": ("CASE EVIDENCE LOGS:", _OF(_EVIDENCE, f"concat('- ', text, ' (Type: ', type, ', Strength: ', CAST(role::DOUBLE * 100 AS INT), '%) [Evidence: ', {_ID('evidence')}, ']')")),
+    "arguments": ("LEGAL PLEADINGS & CONTENTIONS:", _OF(_CLAIM_SQL, f"concat('- ', text, ' [Claim: ', {_ID('claim')}, ']')")),
+}
+
+
+def _types_sql() -> str:
+    head = f"SELECT case_id, concat('CASE TITLE: ', title, {NL}, 'COURT: ', court_name, {NL}, 'JURISDICTION: N/A', {NL}, 'JUDGE: N/A', {NL}) AS line FROM c"
+    parts = []
+    for kind, (titles, lines) in _BY_TYPE.items():
+        named = " UNION ALL ".join(f"SELECT case_id, repeat('#', {len(t)}) FROM c" for t in titles.split("|"))
+        parts.append(f"SELECT case_id, '{kind}' AS summary_type, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM ({head} UNION ALL {named} UNION ALL {lines}) GROUP BY case_id")
+    return f"""WITH {_EVENTS_SQL}, u AS (SELECT doc_id, case_id, unnest({SENT('text')}) AS s, generate_subscripts({SENT('text')}, 1) AS i FROM w),
+f AS (SELECT doc_id, case_id, s, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS p FROM u WHERE {LIKE_ANY('lower(s)', rules.FACT_TRIGGERS)}),
+k AS (SELECT *, concat(lpad(CAST(doc_id AS VARCHAR), 9, '0'), '/fact/', lpad(CAST(p AS VARCHAR), 4, '0')) AS id FROM f),
+t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY id) <= 5), c AS ({D(_CASE_ROWS)})
+""" + " UNION ALL ".join(parts)
+
+
+@query("i12_summary_lines_by_type", _types_sql())
 def i12_types(spark, folder):
     """Number and size of the lines of every summary type."""
     cases, items = st.rows(spark, folder, _CASE_ROWS), cut_lineage(_known(spark, folder))  # six readers
     events = timeline.extract_events(legal_chunks(spark, folder)).withColumn("event_id", F.concat_ws("/", "doc_id", "position"))
     out = None
     for t in ("executive", "chronological", "legal", "parties", "evidence", "arguments"):
-        part = op.summary_lines(cases, items, events, t, facts=5, claims=5).groupBy("case_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")).withColumn("summary_type", F.lit(t))
+        part = op.summary_lines(cases, items, events, t, facts=5).groupBy("case_id").agg(F.count("*").alias("lines"), F.sum(F.length("line")).alias("chars")).withColumn("summary_type", F.lit(t))
         out = part if out is None else out.unionByName(part)
     return out
 
