@@ -34,6 +34,11 @@ def hashed_features(dim: int = 64) -> Callable[[pd.Series], np.ndarray]:
     return embed
 
 
+def letter_counts(texts: pd.Series) -> np.ndarray:
+    """A model simple enough for SQL to compute: how often each letter occurs."""
+    return np.array([[(t or "").lower().count(chr(c)) for c in range(97, 123)] for t in texts], float).reshape(-1, 26)
+
+
 def embed_chunks(df: DataFrame, model: Callable[[pd.Series], np.ndarray], dim: int, id: str = "doc_id",
                  text: str = "text", batch: int = 16) -> DataFrame:
     """Run any batch model over the texts; a wrong vector length fails the task."""

@@ -9,6 +9,7 @@ from ..operators import vectors as op
 from ..operators.chunking import chunk_sliding
 from ..sources.tables import load_table
 from . import standins as st
+from .chunking import _SLIDING_SQL
 from .metrics import _SECS
 from .registry import query
 from .sqltext import NL, S, WC
@@ -16,13 +17,13 @@ from .sqltext import NL, S, WC
 D = st.duck
 
 
-@query("e1_embed_chunks")
+@query("e1_embed_chunks", _SLIDING_SQL + """
+SELECT concat(doc_id, '/', chunk_index) AS chunk_id, 26 AS dim, array_to_string(list_transform(range(97, 123), lambda c: length(lower(text)) - length(replace(lower(text), chr(c::INT), ''))), ' ') AS letters FROM t""")
 def e1(spark, folder):
-    """Sliding chunks of all documents through the stand-in model."""
+    """Sliding chunks of all documents through a model that SQL can compute."""
     chunks = chunk_sliding(st.documents(spark, folder)).withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_index"))
-    out = op.embed_chunks(chunks, op.hashed_features(64), 64, id="chunk_id")
-    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
-    return out.select("chunk_id", F.size("embedding").alias("dim"), rounded(norm, 4).alias("norm"))
+    out = op.embed_chunks(chunks, op.letter_counts, 26, id="chunk_id")
+    return out.select("chunk_id", F.size("embedding").alias("dim"), F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), " ").alias("letters"))
 
 
 _MIXED = "SELECT vec_id, CASE label WHEN 3 THEN slice(embedding, 1, 32) ELSE embedding END AS embedding FROM {embeddings}"
