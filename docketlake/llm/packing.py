@@ -17,52 +17,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_groups, stable_row_hash, texts, written
+from .common import TwoGenerations, row_groups, stable_row_hash, texts, written
 
 WINDOW = 4096
 END_ID = 2
 #: Rests that one group places together.
 GROUP_ROWS = 16_384
-#: Words whose ids a Python worker remembers (about 200 bytes each).
+#: Words of each of two generations whose ids a Python worker remembers (about 200 bytes a word).
 CACHED_WORDS = 800_000
 #: Windows before the first window of the next group.
 _GROUP_STRIDE = 1 << 32
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 _PLACED = _PIECES + ", sequence_id long, offset long"
-_cache: dict[str, dict[bytes, bytes]] = {}
+_cache: dict[str, TwoGenerations] = {}
 
 
 class WordIds:
     """Token ids of a text as little-endian unsigned 32-bit bytes, word by word.
 
     For tokenizers that drop white space before they look for tokens: ids of a text are the ids of
-    its ASCII-blank separated parts.  Parts seen before come from a bounded cache.
+    its ASCII-blank separated parts.  Parts seen before come from a bounded cache; when its young
+    generation is full it becomes the old one, from which parts that are seen again come back.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known = _cache.setdefault(path, {})
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
-            new = list(words)
-        for i in range(0, len(new), 4096):
-            part = new[i:i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        self.known = _cache.setdefault(path, TwoGenerations(CACHED_WORDS))
+
+    def _encode(self, words: list[bytes]) -> list[bytes]:
+        found = (e for i in range(0, len(words), 4096)
+                 for e in self.tokenizer.encode_batch([w.decode() for w in words[i:i + 4096]], add_special_tokens=False))
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def ids(self, text: bytes) -> bytes:
-        words = text.split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            self.learn(set(words))
-            return b"".join(map(self.known.__getitem__, words))
+        return self.known.joined(text.split(), self._encode)
 
 
 def _cut(path: str, window: int, end_id: int):
