@@ -172,15 +172,16 @@ def components(links: DataFrame) -> DataFrame:
     """Smallest reachable node per linked node, as (node, root), by large-star and small-star steps.
 
     Each step is written to the shared folder.  A node's neighbours are only aggregated and
-    joined, so one with very many of them is split like any skewed key.
+    joined; as the aggregates are written first, both sides of a join come from plain shuffles,
+    and a node with very many neighbours is split like any skewed key.
     """
     stars = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     before = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+        large = written(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large-stars")
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         stars = written(small.select("e.*").filter("u <> v").distinct(), "stars")
         now = stars.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -196,8 +197,9 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     # Only linked fingerprints take part below; all others are components of their own.
     linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(first, "fp")
     smallest = linked.groupBy("root").agg(F.min("_first").alias("_smallest"))
-    known = first.join(linked.join(smallest, "root").select("fp", "root", "_smallest"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("_first")).otherwise(F.col("_smallest")).alias("component_id"))
+    # Written, so that the last join reads both sides from plain shuffles and a fingerprint of very many rows can be split.
+    known = written(first.join(linked.join(smallest, "root").select("fp", "root", "_smallest"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("_first")).otherwise(F.col("_smallest")).alias("component_id")), "known-fingerprints")
     return marked.join(known, "fp")
 
 
