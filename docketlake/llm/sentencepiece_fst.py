@@ -12,12 +12,14 @@ back.  An arc therefore weighs nothing after a piece it may follow, and infinite
 other; exactly one path stays finite, and it is the merge result.
 
 No piece goes on across a piece mark, nor over an ASCII character that no piece holds; so a text
-falls apart into segments there, and each different segment is composed once per worker.
+falls apart into segments there.  A segment falls apart further between characters that stand side by
+side in no piece.  Each different part is composed once per worker.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -32,6 +34,8 @@ from .common import TwoGenerations, texts
 MARK = "▁"
 #: Segments of each of two generations that a Python worker remembers; longer ones are composed each time.
 CACHED_SEGMENTS, CACHED_LENGTH = 600_000, 64
+#: The same for the parts of segments.
+CACHED_PARTS = 300_000
 #: Pairs of pieces whose weight a Python worker remembers.
 CACHED_PAIRS = 2_000_000
 _START, _BYTES = -1, -2
@@ -51,7 +55,9 @@ class Transducer:
         self.ids = {self.pieces[i]: i for i in plain}
         self.scores = {self.pieces[i]: model.get_score(i) for i in plain}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
-        self.longest = max(map(len, self.ids))
+        self.joints = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # Acceptor of the pieces: beginnings of pieces, with the id where one ends (-1: none).
+        self.arcs = dict.fromkeys((p[:k] for p in self.ids for k in range(1, len(p))), -1) | self.ids
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces that go on across a mark are not supported")
         held = set("".join(self.ids))
@@ -60,20 +66,21 @@ class Transducer:
         bytes_of = {i: b for b, i in self.byte_ids.items()}
         self.output = [bytes([bytes_of[i]]) if i in bytes_of else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self.pieces)]
         self.pairs: dict[int, bool] = {}
-        self.known = TwoGenerations(CACHED_SEGMENTS)
+        self.known, self.parts = TwoGenerations(CACHED_SEGMENTS), TwoGenerations(CACHED_PARTS)
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by the best score, the leftmost first among equals."""
-        parts = list(text)
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.scores.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if best is None:
-                return parts
+        parts, score, none = list(text), self.scores.get, float("-inf")
+        scores = [score(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
+            del scores[at]
+            if at < len(scores):
+                scores[at] = score(parts[at] + parts[at + 1], none)
+            if at:
+                scores[at - 1] = score(parts[at - 1] + parts[at], none)
+        return parts
 
     def follows(self, last: int, piece: int) -> bool:
         """Whether the arc of ``piece`` has a finite weight after ``last``."""
@@ -93,7 +100,9 @@ class Transducer:
         Relaxes states in order of position.  ``back[i]`` maps the last piece of each finite path
         to position i onto the state before it.
         """
-        n, ids = len(segment), self.ids
+        n, ids, arcs, pairs, size = len(segment), self.ids, self.arcs, self.pairs, len(self.pieces)
+        if n == 1 and segment in ids:
+            return [ids[segment]]
         back: list[dict[int, tuple[int, int]]] = [{} for _ in range(n + 1)]
         back[0][_START] = (0, _START)
         for i in range(n):
@@ -103,13 +112,17 @@ class Transducer:
             if segment[i] not in ids:  # byte fallback: a character of its own, after anything
                 back[i + 1][_BYTES] = (i, next(iter(here)))
                 continue
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = ids.get(segment[i:j])
-                if piece is not None:
-                    for last in here:
-                        if self.follows(last, piece) and (i > 0 or j < n or self.merged(segment) == [segment]):
-                            back[j][piece] = (i, last)
-                            break
+            for j in range(i + 1, n + 1):
+                piece = arcs.get(segment[i:j])
+                if piece is None:
+                    break
+                if piece < 0 or (i == 0 and j == n and self.merged(segment) != [segment]):
+                    continue
+                for last in here:
+                    ok = pairs.get(last * size + piece) if last >= 0 else True
+                    if self.follows(last, piece) if ok is None else ok:
+                        back[j][piece] = (i, last)
+                        break
         out: list[int] = []
         at, last = n, next(iter(back[n]))
         while at:
@@ -118,8 +131,17 @@ class Transducer:
             at, last = i, before
         return out[::-1]
 
+    def _composed(self, parts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in map(self.shortest, parts)]
+
     def _encoded(self, segments: list[str]) -> list[bytes]:
-        return [np.array(self.shortest(s), "<u4").tobytes() for s in segments]
+        """Each segment from its parts."""
+        out, joints = [], self.joints
+        for s in segments:
+            cuts = [0, *(i for i in range(1, len(s)) if s[i - 1:i + 1] not in joints), len(s)]
+            parts = [s[a:b] for a, b in zip(cuts, cuts[1:])]
+            out.append(self.parts.joined(parts, self._composed) if len(s) <= CACHED_LENGTH else b"".join(self._composed(parts)))
+        return out
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers."""
