@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts, written
+from .similar import marks_and_links
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -193,7 +194,11 @@ def components(links: DataFrame) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
     first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first")), "different-fingerprints")
-    roots = components(close_links(first.select("fp")))
+    return _named(marked, first, components(close_links(first.select("fp"))))
+
+
+def _named(marked: DataFrame, first: DataFrame, roots: DataFrame) -> DataFrame:
+    """The marked rows with the root of their component and its smallest id."""
     # Only linked fingerprints take part below; all others are components of their own.
     linked = roots.select(F.col("node").alias("fp"), "root").unionByName(roots.select(F.col("root").alias("fp"), "root").distinct()).join(first, "fp")
     smallest = linked.groupBy("root").agg(F.min("_first").alias("_smallest"))
@@ -215,8 +220,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The document with the smallest id of each component, with all its columns; of rows equal in id and text one stays."""
-    found = _grouped(docs, id_col, text_col).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """The document with the smallest id of each component, with all its columns; of rows equal in id and text one stays.
+
+    Components are those of ``similar``: texts are linked when the Jaccard similarity of their
+    five-word shingles is at least 0.8.  The radius and shingles of ``near_duplicates`` play no part.
+    """
+    found = _named(*marks_and_links(docs, id_col, text_col, components)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # A component may hold several texts under its smallest id.
     kept = found.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))

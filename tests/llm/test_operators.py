@@ -132,6 +132,76 @@ def test_simhash_keeps_one_of_each_group(awkward):
     assert ids[1] == 1 and ids[3] == 1 and ids[4] == 0 and ids[5] == 0 and None not in ids
 
 
+def slow_shingles(text):
+    w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+
+
+def slow_similar(sets):
+    """Component of each different set over all pairs with a Jaccard similarity of 0.8 or more."""
+    sets, holds, of = list(set(sets)), collections.defaultdict(list), {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holds[x].append(k)
+    root = list(range(len(sets)))
+
+    def top(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for k, s in enumerate(sets):
+        for j, n in collections.Counter(j for x in s for j in holds[x] if j < k).items():
+            if 5 * n >= 4 * (len(s) + len(sets[j]) - n):
+                root[max(top(j), top(k))] = min(top(j), top(k))
+    for k, s in enumerate(sets):
+        of[s] = top(k)
+    return of
+
+
+def slow_near(rows):
+    """Ids and texts that stay: the smallest id of each component, one of equal rows."""
+    sets = [slow_shingles(t) for _, t in rows]
+    of, least, kept = slow_similar(sets), {}, {}
+    for (i, _), s in zip(rows, sets):
+        if i is not None:
+            least[of[s]] = min(least.get(of[s], i), i)
+    for (i, t), s in zip(rows, sets):
+        if i == least.get(of[s]):
+            kept.setdefault((of[s], i), set()).add(t or "")
+    return kept
+
+
+def similar_texts():
+    """Chains of texts that differ from one another in few or many words, around the similarity of 0.8, also of a hot passage."""
+    rng, rows = np.random.default_rng(11), []
+    for g in range(40):
+        base = [f"w{g}x{k}" for k in range(int(rng.integers(6, 300)))] if g % 4 else PASSAGE.split()
+        for _ in range(30 if g % 4 == 0 else 8):
+            other = list(base)
+            for k in rng.integers(0, len(base), int(rng.integers(0, 1 + len(base) // 30 + 1))):
+                other[k] = f"new{rng.integers(1 << 40)}"
+            rows.append((len(rows), " ".join(other[:len(other) - int(rng.integers(0, 3))])))
+            base = other if rng.random() < 0.3 else base
+    return rows
+
+
+def test_near_stage_leaves_no_similar_pair(spark, monkeypatch, given, docs, awkward):
+    from docketlake.llm import similar
+
+    rows = similar_texts()
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for small in (False, True):
+        if small:  # crowded buckets are cut, and the order comes from all texts
+            monkeypatch.setattr(similar, "BLOCK_SETS", 5)
+            monkeypatch.setattr(similar, "SAMPLE", 1)
+        for expected, df in [(rows, made), *both(given, docs, awkward)]:
+            wanted = slow_near(expected)
+            got = collections.Counter((r["doc_id"], r["text"] or "") for r in simhash.deduplicate(df).collect())
+            assert collections.Counter(i for i, _ in got.elements()) == collections.Counter(i for _, i in wanted)
+            assert all(any(w == i and t in texts for (_, w), texts in wanted.items()) for i, t in got)
+
+
 # --- 2 and 9 repeated strings and passages
 
 def slow_repeats(rows):
