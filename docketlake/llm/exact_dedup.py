@@ -61,11 +61,11 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest = F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256))
     kept = exact_duplicates(docs, id_col, text_col).filter("kept").groupBy("doc_id", F.unhex("text_sha256").alias("_digest")).agg(
         F.count(F.lit(1)).alias("_rows")).withColumnRenamed("doc_id", "_id")
-    found = docs.withColumn("_own_digest", digest).join(
-        kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest")))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_own_id"), digest.alias("_own_digest"))
+    found = own.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_digest") == F.col("_digest")))
     # Repeated rows are rare, and only their first row of each partition travels.
-    single = found.filter("_rows = 1").select(docs.columns)
-    repeated = found.filter("_rows > 1").groupBy("_id", "_digest").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    single = found.filter("_rows = 1").select("_row.*")
+    repeated = found.filter("_rows > 1").groupBy("_id", "_digest").agg(F.first("_row").alias("_row")).select("_row.*")
     return single.unionByName(repeated)
 
 

@@ -231,8 +231,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))
     kept = rows.alias("r").join(kept.alias("k"), F.expr("r.root = k.root and r.doc_id <=> k.doc_id and r.text_hash = k.text_hash")).select(
         F.col("r.doc_id").alias("_id"), F.col("r.text_hash").alias("_hash"), "_rows")
-    own = docs.withColumn("_own", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    joined = own.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
-    single = joined.filter("_rows = 1").select(docs.columns)
-    repeated = joined.filter("_rows > 1").groupBy("_id", "_hash").agg(F.first(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    own = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).cast("long").alias("_own_id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_own"))
+    joined = own.join(kept, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")))
+    single = joined.filter("_rows = 1").select("_row.*")
+    repeated = joined.filter("_rows > 1").groupBy("_id", "_hash").agg(F.first("_row").alias("_row")).select("_row.*")
     return single.unionByName(repeated)

@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 from oracle import DATA
+from pyspark.sql import functions as F
 
 from docketlake.llm import exact_dedup, packing, passage_dedup, pii, quality_model, quality_rules, sentencepiece_fst, simhash, substring_dedup, toxicity
 from docketlake.llm.common import TwoGenerations, table
@@ -471,6 +472,16 @@ def test_empty_tables(empty, labels):
         assert run(empty).collect() == []
 
 
+def test_deduplication_takes_columns_named_like_its_helpers(awkward):
+    names = ["_id", "_rows", "_own", "_hash", "_digest", "_own_digest", "_own_id", "_row", "root"]
+    extra = awkward.select("doc_id", "text", *[F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit(""))).alias(c) for c in names])
+    for run in (simhash.deduplicate, exact_dedup.deduplicate):
+        found = run(extra)
+        assert found.dtypes == extra.dtypes
+        same(found, ["doc_id", "text"], [(r["doc_id"], r["text"]) for r in run(awkward).collect()])
+        assert all(r[c] == f"{c} {r['text'] or ''}" for r in found.collect() for c in names)
+
+
 def test_pipeline_stages(spark, awkward, labels, tmp_path):
     import corpus_pipeline
 
