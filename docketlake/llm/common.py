@@ -24,15 +24,15 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, *parted_by: str) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and read it back.
 
     The table outlives lost executors, is compressed, and later reads take only the
-    columns they need.
+    columns they need, and only the parts they ask for if it is parted by a column.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*parted_by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

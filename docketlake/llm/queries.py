@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, packing, passage_dedup, pii, quality_model, quality_rules, sentencepiece_fst, simhash, substring_dedup, toxicity
+from . import collocations, exact_dedup, fill_middle, line_dedup, packing, passage_dedup, pii, quality_model, quality_rules, sentencepiece_fst, simhash, substring_dedup, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +77,28 @@ def op9_passage_dedup(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op10_quality_model(spark: SparkSession, folder: str) -> DataFrame:
     return quality_model.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@_query
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    done = fill_middle.restore(fill_middle.fill_in_middle(table(spark, folder, "documents")))
+    return done.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+ORACLE["op11_fill_in_middle"] = fill_middle.ORACLE
+
+
+@_query
+def op12_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.drop_repeated_lines(table(spark, folder, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE["op12_line_dedup"] = line_dedup.ORACLE
+
+
+@_query
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+ORACLE["op13_collocations"] = collocations.ORACLE
