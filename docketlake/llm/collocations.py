@@ -320,12 +320,12 @@ WITH d AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
 p AS (SELECT lang, regexp_extract_all(unnest(ps), '[^\x20\x09]+') AS w FROM d),
 t AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM p),
 g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM t, range(1, 5) s(k) WHERE i + k - 1 <= len(w)),
-f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL),
+f AS MATERIALIZED (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL),
 tot AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
-c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
-u AS (SELECT c.lang, c.phrase, c.a, c.k, j, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a + y.a) AS score
-  FROM c, range(1, 4) s(j), f x, f y WHERE j < c.k AND x.lang = c.lang AND y.lang = c.lang
-  AND x.phrase = array_to_string(c.w[1:j], ' ') AND x.k = j AND y.phrase = array_to_string(c.w[j + 1:], ' ') AND y.k = c.k - j),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+h AS MATERIALIZED (SELECT *, array_to_string(w[1:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+u AS (SELECT h.lang, h.phrase, h.a, h.k, h.j, x.a AS l, y.a AS r, (2000000::HUGEINT * h.a) // (x.a + y.a) AS score
+  FROM h JOIN f x ON x.lang = h.lang AND x.phrase = h.head JOIN f y ON y.lang = h.lang AND y.phrase = h.tail),
 m AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
 q AS (SELECT * FROM m s WHERE NOT EXISTS (SELECT 1 FROM c b WHERE b.lang = s.lang AND b.k > s.k AND contains(' ' || b.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * b.a >= 80 * s.a)),
 z AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM q)
