@@ -83,3 +83,13 @@ SELECT job_id, max(log_id) FILTER (log_id = last) AS log_id, arg_max(status, (cr
 FROM (SELECT *, last_value(log_id) OVER (PARTITION BY job_id, k ORDER BY created_at, log_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last FROM s) GROUP BY job_id, k HAVING max(created_at) + INTERVAL 6 HOUR <= {_MAX}""")
 def l5_closed(spark, folder):
     return op.run_append(op.closed_jobs(_logs(spark, folder)), *_folders(spark)).select("job_id", "log_id", "status", "stuck")
+
+
+@query("l5_job_monitor", f"""WITH l AS ({D(st.JOB_LOGS)}), s AS (SELECT job_id, arg_max(status, (created_at, log_id)) AS status, least(greatest(arg_max(progress, (created_at, log_id)), 0), 100) AS progress,
+arg_max(log_id, (created_at, log_id)) AS log_id, max(created_at) AS last_at FROM l GROUP BY job_id)
+SELECT job_id, log_id, status, CAST(progress AS INTEGER) AS progress, CASE WHEN last_at + INTERVAL 6 HOUR > {_MAX} THEN 'update' WHEN status IN ('completed', 'failed', 'cancelled') THEN 'closed' ELSE 'stuck' END AS kind FROM s""")
+def l5_monitor(spark, folder):
+    """Job state held by the stream, with timers that tell stuck jobs and drop finished ones."""
+    out, ckpt = _folders(spark)
+    op.job_monitor_stream(_logs(spark, folder), out, ckpt).awaitTermination()
+    return op.current_jobs(spark.read.parquet(out)).select("job_id", "log_id", "status", "progress", "kind")

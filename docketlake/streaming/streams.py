@@ -7,16 +7,19 @@ state behind the watermark.  Rows later than the watermark are dropped and count
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..functions import rules
 from ..operators.chunking import ChunkLimits, chunk_documents, select_strategy
 from ..operators.cleaning import clean_documents
 from ..operators.scale import spread
 from ..sources.files import decode_files
-from ..session import cut_lineage
+from ..session import cut_lineage, ship_package
 from ..sources.stores import exists, save_replacing
 from ..sources.tables import SCHEMAS
 
@@ -128,6 +131,108 @@ def job_state_stream(logs: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+# ---- job state kept by the stream itself ---------------------------------------------------------
+
+_MOMENT = "timestamp"
+_JOB_STATE = "status string, progress int, step string, log_id bigint, created_at timestamp"
+_JOB_NEWS = "job_id bigint, kind string, " + _JOB_STATE
+
+
+def _newest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The last log row of each job."""
+    return pdf.sort_values(["created_at", "log_id"], kind="stable").drop_duplicates("job_id", keep="last")
+
+
+def _newest_of_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        yield _newest(pdf)
+
+
+class JobMonitor(StatefulProcessor):
+    """Holds the last log row of a job and one timer.
+
+    A newer row is told as ``update`` and moves the timer.  When event time passes the timer, an unfinished job is
+    told as ``stuck`` and a finished one as ``closed``; either way its state is dropped, so the state holds only jobs
+    that were heard of within ``silence`` (``keep`` once finished) of the watermark.
+    """
+
+    def __init__(self, silence_ms: int, keep_ms: int, finished: list[str]):
+        self.silence_ms, self.keep_ms, self.finished = silence_ms, keep_ms, frozenset(finished)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", _JOB_STATE)
+
+    def _row(self, key, kind: str, state: tuple) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], kind, *state)], columns=["job_id", "kind", "status", "progress", "step", "log_id", "created_at"]).astype({"progress": "Int32"})
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        newest = None
+        for pdf in rows:
+            r = _newest(pdf).iloc[0]
+            if newest is None or (r["created_at"], r["log_id"]) > (newest["created_at"], newest["log_id"]):
+                newest = r
+        known = self.last.get()
+        if newest is None or (known is not None and (pd.Timestamp(known[4]), known[3]) >= (newest["created_at"], newest["log_id"])):
+            return
+        state = (newest["status"], None if pd.isna(newest["progress"]) else int(newest["progress"]), newest["step"], int(newest["log_id"]), newest["created_at"].to_pydatetime())
+        self.last.update(state)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        wait = self.keep_ms if state[0] in self.finished else self.silence_ms
+        # In UTC, as all timestamps of the engine.
+        self.handle.registerTimer(int(newest["created_at"].tz_localize("UTC").timestamp() * 1000) + wait)
+        yield self._row(key, "update", state)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        state = self.last.get()
+        self.last.clear()
+        if state is not None:
+            yield self._row(key, "closed" if state[0] in self.finished else "stuck", tuple(state))
+
+    def close(self) -> None:
+        pass
+
+
+def job_monitor(logs: DataFrame, silence_hours: float = 6, keep_hours: float | None = None, delay: str = "1 hour") -> DataFrame:
+    """Job news as a stream: (job_id, kind, status, progress, step, log_id, created_at), append only.
+
+    ``update``: the state changed; ``stuck``: an unfinished job was silent for ``silence_hours`` of event time; ``closed``:
+    a finished one for ``keep_hours`` (the same by default).  Rows that come again or late change nothing: they are not
+    newer than the state, and once the state is gone they are behind the watermark.  A job that speaks again after
+    it was told stuck is told as ``update``.  Before the shuffle each partition keeps the last row of each job, so that a
+    job with very many rows does not burden one task.  Needs the RocksDB state store (``job_monitor_stream`` sets it).
+    """
+    ship_package(logs.sparkSession)
+    progress = F.least(F.greatest("progress", F.lit(0)), F.lit(100)).cast("int").alias("progress")
+    rows = logs.select(F.col("job_id").cast("long").alias("job_id"), "status", progress, "step", F.col("log_id").cast("long").alias("log_id"), F.col("created_at").cast(_MOMENT).alias("created_at"))
+    rows = rows.filter("job_id IS NOT NULL AND created_at IS NOT NULL AND log_id IS NOT NULL")
+    shape = "job_id bigint, status string, progress int, step string, log_id bigint, created_at timestamp"
+    few = rows.mapInPandas(_newest_of_batches, shape).withWatermark("created_at", delay)
+    ms = lambda hours: int(hours * 3_600_000)
+    monitor = JobMonitor(ms(silence_hours), ms(silence_hours if keep_hours is None else keep_hours), list(rules.TERMINAL_STATUSES))
+    return few.groupBy("job_id").transformWithStateInPandas(monitor, _JOB_NEWS, "Append", "EventTime")
+
+
+def job_monitor_stream(logs: DataFrame, path: str, checkpoint: str, silence_hours: float = 6, keep_hours: float | None = None, delay: str = "1 hour") -> StreamingQuery:
+    """Write job news as Parquet, each exactly once; their state lives in RocksDB, not on the heap."""
+    spark = logs.sparkSession
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return job_monitor(logs, silence_hours, keep_hours, delay).writeStream.format("parquet").outputMode("append").option("path", path).option(
+            "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(setting, before)
+
+
+def current_jobs(news: DataFrame) -> DataFrame:
+    """What the news say of each job now: its last state, and the last ``kind`` told of that state."""
+    at = F.struct("created_at", "log_id", (F.col("kind") != "update").alias("told"))
+    return news.groupBy("job_id").agg(F.max_by(F.struct("status", "progress", "step", "log_id", "kind"), at).alias("s")).select("job_id", "s.*")
+
+
 def run_append(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Run a stream over what is there now into Parquet, and read the result."""
     df.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(
