@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
+from ..operators import vector_index as vi
 from ..operators import vectors as op
 from ..operators.chunking import chunk_sliding
 from ..sources.tables import load_table
@@ -68,6 +69,38 @@ def e3_all(spark, folder):
     return op.vector_search(q, v, 3, query_cells=0).withColumn("score", rounded("score", 6))
 
 
+_HUNDREDTH = """SELECT query_id, vec_id, round(score, 6) AS score, rank FROM (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+  CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id) AS INTEGER) AS rank
+  FROM embeddings a, embeddings b WHERE a.vec_id % 100 = 0) WHERE rank <= 10"""
+
+
+def _index_search(spark, folder, whole):
+    """Each hundredth vector against all of them."""
+    index = vi.build_index(load_table(spark, folder, "embeddings"))
+    asked = load_table(spark, folder, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vi.search_index(index, asked, 10, probes=index.cells if whole else None).withColumn("score", rounded("score", 6))
+
+
+@query("e3_index_search")
+def e3_index(spark, folder):
+    """With as many cells as the calibration asks for; tests hold it against exact search."""
+    return _index_search(spark, folder, False)
+
+
+@query("e3_index_all_cells", _HUNDREDTH)
+def e3_index_all(spark, folder):
+    """Every cell probed: the index gives what exact search gives."""
+    return _index_search(spark, folder, True)
+
+
+@query("e1_embed_hashed")
+def e1_hashed(spark, folder):
+    """All sliding chunks through the model of 64 hashed features; a test computes it by hand."""
+    chunks = chunk_sliding(st.documents(spark, folder)).withColumn("chunk_id", F.concat_ws("/", "doc_id", "chunk_index"))
+    out = op.embed_chunks(chunks, op.hashed_features(), 64, id="chunk_id")
+    return out.select("chunk_id", "embedding")
+
+
 _CH = """SELECT doc_id AS chunk_id, doc_id - doc_id % 4 AS doc_id, CAST(doc_id % 4 AS INT) AS chunk_index, CASE doc_id % 5 WHEN 0 THEN 'Final Order' WHEN 1 THEN
   'Case Summary' WHEN 2 THEN NULL ELSE 'Facts' END AS section, CAST(1 + doc_id % 6 AS INT) AS page_start, text FROM {documents}"""
 _CH_DUCK = D(_CH)
