@@ -1,21 +1,28 @@
 """Entity resolution: which names of a case and type mean the same entity.
 
 Score = 0.6 cosine + 0.4 token Jaccard, merge at 0.78.  As cosine is at most 1, a pair at
-the threshold has Jaccard 0.45 or more, and this bounds the shared tokens from below:
-two names of together four or more tokens share at least two.  So pairs meet on two-token
-keys, and single-token keys only bring one-token names to names of one or two tokens.
-That loses nothing.  A key with very many names is cut into a grid of sub-blocks, and the
-score is part of the join condition, so pairs below the threshold are never written.
+the threshold has Jaccard 0.45 or more.  So pairs meet on prefixes: the tokens of a name
+are put in one order for all names, rarest first, and two names that share 0.45 of their
+tokens share one among the first ``n - ceil(0.45 n) + 1``.  A name has at most as many keys
+as tokens and nothing is lost.  A key with very many names is cut into a grid of
+sub-blocks, and the score is part of the join condition, so pairs below the threshold are
+never written.
+
+Who is canonical depends on the order of the names, but only inside a connected component of
+similar names: components are found first, and each is then folded in order by one task.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import dot, rounded, unit
 from ..session import cut_lineage
+from .graph import connected_components
 from .knowledge import name_jaccard, name_tokens, normalize_entity_name
 
 BLOCK_NAMES = 1_000
@@ -37,27 +44,31 @@ def _grid(df: DataFrame, keys: list[str], left: bool) -> DataFrame:
     return df.withColumn(own, F.pmod(F.xxhash64("name"), F.col("_m"))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m") - 1)))
 
 
+def _rare_first(names: DataFrame, keys: list[str]) -> DataFrame:
+    """Names with their tokens in the order of how many names of the key hold them, then by the token."""
+    each = names.select(*keys, "first_id", F.explode("tokens").alias("_t"))
+    held = each.groupBy(*keys, "_t").agg(F.count("*").alias("_f"))
+    ordered = each.join(held, [*keys, "_t"]).groupBy(*keys, "first_id").agg(F.array_sort(F.collect_list(F.struct("_f", "_t"))).alias("_o"))
+    return names.drop("tokens").join(ordered.select(*keys, "first_id", F.transform("_o", lambda x: x["_t"]).alias("tokens")), [*keys, "first_id"])
+
+
 def similar_names(names: DataFrame, threshold: float = rules.MERGE_THRESHOLD, keys: tuple[str, ...] = ("case_id", "entity_type"),
                   block: int = BLOCK_NAMES) -> DataFrame:
     """Pairs (earlier name, later name, score) at or above the threshold, as ``a_id``, ``b_id``."""
     need = (threshold - rules.COSINE_WEIGHT) / rules.JACCARD_WEIGHT
-    if need <= 1 / 3:
-        raise ValueError("the blocking keys are complete only for thresholds above 0.734")
+    if need <= 0:
+        raise ValueError("below this threshold names without a common token may be similar")
     keys = list(keys)
-    t, n = F.col("tokens"), F.size("tokens")
-    singles = F.when(n <= 2, F.transform(t, lambda x: F.concat(F.lit("1:"), x))).otherwise(F.array().cast("array<string>"))
-    doubles = F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, n), lambda y: F.concat(F.lit("2:"), x, F.lit(" "), y))))
-    keyed = names.filter(n > 0).select(*keys, "name", "first_id", "clean", "tokens", "vector", F.explode(F.concat(singles, doubles)).alias("_key"))
+    n = F.size("tokens")
+    keyed = _rare_first(names.filter(n > 0), keys).withColumn("_prefix", F.slice("tokens", F.lit(1), (n - F.ceil(n * need - 1e-9) + 1).cast("int")))
+    keyed = keyed.select(*keys, "name", "first_id", "clean", "tokens", "vector", "_prefix", F.explode("_prefix").alias("_key"))
     sizes = keyed.groupBy(*keys, "_key").agg(F.count("*").alias("_n")).filter("_n > 1")
     keyed = keyed.join(sizes, [*keys, "_key"]).withColumn("_m", F.ceil(F.col("_n") / block)).drop("_n")
     a, b = _grid(keyed, keys, True).alias("a"), _grid(keyed, keys, False).alias("b")
     same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*keys, "_key", "_i", "_j"]]
     at, bt = F.col("a.tokens"), F.col("b.tokens")
-    shared = F.array_intersect(at, bt)
-    key = F.col("a._key")
-    # Each pair is taken once: on its single token when one side has no other, else on its first two shared tokens.
-    once = F.when(F.least(F.size(at), F.size(bt)) == 1, key.startswith("1:")).otherwise(
-        key == F.concat(F.lit("2:"), F.get(shared, F.lit(0)), F.lit(" "), F.get(shared, F.lit(1))))
+    # Each pair is taken once: on the rarest token that both prefixes have.
+    once = F.col("a._key") == F.get(F.array_intersect("a._prefix", "b._prefix"), F.lit(0))
     score = pair_score(F.col("a.clean"), F.col("b.clean"), at, bt, F.col("a.vector"), F.col("b.vector"))
     cond = (F.col("a.first_id") < F.col("b.first_id")) & F.coalesce(once, F.lit(False)) & (name_jaccard(at, bt) >= need - 1e-9) & (score >= threshold)
     for s in same:
@@ -71,17 +82,45 @@ def pair_score(clean_a: Column, clean_b: Column, tokens_a: Column, tokens_b: Col
     return cosine * rules.COSINE_WEIGHT + name_jaccard(tokens_a, tokens_b) * rules.JACCARD_WEIGHT
 
 
-def _canonical_ids(pairs: DataFrame) -> DataFrame:
+#: Pairs of a component that one task folds (16 bytes each); larger components are settled in rounds.
+FOLD_PAIRS = 1 << 20
+
+
+def _fold_component(rows: pa.Table) -> pa.Table:
+    """The ids that stay canonical in one component: in order, those with no earlier canonical neighbour."""
+    a, b = rows.column("a_id").to_numpy(), rows.column("b_id").to_numpy()
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    merged: set = set()
+    for earlier, later in zip(a.tolist(), b.tolist(), strict=True):
+        # All pairs that end in ``earlier`` came before, as it is the smaller id.
+        if earlier not in merged:
+            merged.add(later)
+    ids = np.unique(np.concatenate([a, b]))
+    return pa.table({"id": ids[~np.isin(ids, np.fromiter(merged, ids.dtype, len(merged)))]})
+
+
+def _canonical_ids(pairs: DataFrame, fold_pairs: int = FOLD_PAIRS) -> DataFrame:
     """Names that stay canonical among those with any similar name.
 
-    Taken in order, a name is canonical unless it is similar to an earlier canonical one.
-    In rounds: names without an earlier undecided neighbour are canonical, their later
-    neighbours are merged, both leave.  Each round is two joins on checkpointed tables.
+    Taken in order, a name is canonical unless it is similar to an earlier canonical one.  The
+    order matters only inside a component of the pairs, which one task folds.
     """
     edges = cut_lineage(pairs.select("a_id", "b_id"))
+    roots = connected_components(edges.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
+    rooted = edges.join(roots.select(F.col("node").alias("a_id"), "root"), "a_id")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("_n"))
+    rooted = cut_lineage(rooted.join(sizes, "root").select("root", "a_id", "b_id", (F.col("_n") > fold_pairs).alias("_large")))
+    folded = rooted.filter("not _large").groupBy("root").applyInArrow(_fold_component, f"id {edges.schema['a_id'].dataType.simpleString()}")
+    large = rooted.filter("_large").select("a_id", "b_id")
+    return folded if large.isEmpty() else folded.union(_canonical_in_rounds(large))
+
+
+def _canonical_in_rounds(edges: DataFrame) -> DataFrame:
+    """The same for components too large for a task: names without an earlier undecided neighbour are canonical, their later neighbours are merged, both leave."""
     open_ids = cut_lineage(edges.select(F.col("a_id").alias("id")).union(edges.select("b_id")).distinct())
     found = None
-    while open_ids.limit(1).count():
+    while not open_ids.isEmpty():
         chosen = cut_lineage(open_ids.join(edges.select(F.col("b_id").alias("id")).distinct(), "id", "left_anti"))
         merged = edges.join(chosen.select(F.col("id").alias("a_id")), "a_id", "left_semi").select(F.col("b_id").alias("id")).distinct()
         done = cut_lineage(chosen.union(merged))

@@ -248,12 +248,11 @@ def g18(spark, folder):
     return op.relation_sides(st.rows(spark, folder, _ROLE_ITEMS)).select("case_id", "relation", "side", "item_id", "partners")
 
 
-@query("g18_edges_of", f"WITH {_SLOT} SELECT case_id, rel AS relation, source_id, target_id FROM edge WHERE source_id IN (SELECT concat('s', s_suppkey) FROM supplier)")
+@query("g18_edges_of", f"WITH {_SLOT} SELECT case_id, rel AS relation, source_id, target_id FROM edge WHERE source_id IN (SELECT item_id FROM i WHERE doc_id % 5 = 0)")
 def g18_edges(spark, folder):
-    """The edges that start at a supplier stand-in (claims, facts, evidence)."""
-    sides = op.relation_sides(st.rows(spark, folder, _ROLE_ITEMS))
-    nodes = load_table(spark, folder, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("item_id"))
-    return op.edges_of(sides, nodes).select("case_id", "relation", "source_id", "target_id")
+    """The edges that start at every fifth item of either kind of stand-in, so that all six relations occur."""
+    items = st.rows(spark, folder, _ROLE_ITEMS)
+    return op.edges_of(op.relation_sides(items), items.filter("doc_id % 5 = 0")).select("case_id", "relation", "source_id", "target_id")
 
 
 @query("g19_graph_nodes", f"""WITH {_W} SELECT case_id, kind AS type, text AS label, count(*) AS nodes FROM (SELECT case_id, CASE WHEN kind IN ('entity', 'claim') THEN type ELSE kind END AS kind, CASE WHEN kind = 'statute' THEN role WHEN kind = 'entity'
@@ -277,6 +276,27 @@ def g21(spark, folder):
     return gr.hops_from(st.rows(spark, folder, _EDGES), first).select("start", "node", "hops")
 
 
+_PAIRS = """SELECT concat('s', s_suppkey) AS start, concat('p', p_partkey) AS "end" FROM {supplier} JOIN {part} ON s_suppkey % 10 = 1 AND p_partkey % 20 = s_suppkey % 20"""
+
+
+@query("g21_paths_of_pairs", f"""WITH RECURSIVE e AS ({D(_EDGES)}), l AS (SELECT DISTINCT src AS a, dst AS b FROM e UNION SELECT DISTINCT dst, src FROM e), pr AS ({D(_PAIRS)}),
+b AS (SELECT DISTINCT start, start AS node, 0 AS hops FROM pr UNION SELECT start, l.b, hops + 1 FROM b JOIN l ON l.a = b.node WHERE hops < 4),
+m AS (SELECT start, node, min(hops) AS hops FROM b GROUP BY ALL)
+SELECT pr.start, pr."end", CAST(hops AS INTEGER) AS hops, CAST(2 * hops + 1 AS BIGINT) AS steps, CAST(0 AS BIGINT) AS broken FROM pr JOIN m ON m.start = pr.start AND m.node = pr."end" """)
+def g21_pairs(spark, folder):
+    """Shortest paths of many pairs at once, each path checked to be one: relationship steps join the nodes around them."""
+    edges = st.rows(spark, folder, _EDGES)
+    paths = gr.shortest_paths(edges, st.rows(spark, folder, _PAIRS.replace('"', "`")), max_hops=4)
+    steps = paths.groupBy("start", "end", "hops").agg(F.count("*").alias("steps"))
+    way = paths.alias("x").join(paths.alias("y"), F.expr("x.start = y.start AND x.end = y.end AND y.step = x.step + 2 AND x.kind = 'node'")).select(
+        F.col("x.start").alias("start"), F.col("x.end").alias("end"), (F.col("x.step") + 1).alias("step"), F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    taken = way.join(paths.select("start", "end", "step", F.col("id").alias("edge_id")), ["start", "end", "step"])
+    known = edges.select(F.col("edge_id").cast("string").alias("edge_id"), F.least("src", "dst").alias("_a"), F.greatest("src", "dst").alias("_b"))
+    wrong = taken.withColumn("_a", F.least("a", "b")).withColumn("_b", F.greatest("a", "b")).join(known, ["edge_id", "_a", "_b"], "left_anti")
+    broken = wrong.groupBy("start", "end").agg(F.count("*").alias("broken"))
+    return steps.join(broken, ["start", "end"], "left").select("start", "end", "hops", "steps", F.coalesce("broken", F.lit(0)).alias("broken"))
+
+
 @query("g22_degree_centrality", f"WITH e AS ({D(_EDGES)}) SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY node ORDER BY degree DESC, node LIMIT 20")
 def g22(spark, folder):
     return gr.degree_centrality(st.rows(spark, folder, _EDGES), 20)
