@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
@@ -245,6 +250,96 @@ def version_line_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text:
     return n.select(id, "line", F.when(F.col("n") > 0, "added").otherwise("removed").alias("change"), F.abs("n").alias("times"))
 
 
+_CHANGES = "change string, old_line int, new_line int, line string"
+
+
+def ordered_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The way from one version to the other, line by line: (id, step, change, old_line, new_line, line).
+
+    ``equal`` lines stand in both versions, ``removed`` ones in the old, ``added`` ones in the new; line
+    numbers count from 1.  The lines that are not added, in order of ``step``, are the old version, those
+    not removed the new one.  A version that is missing or null has no lines; the two sides meet by id.
+    """
+    both = old.select(id, F.col(text).alias("_old")).join(new.select(id, F.col(text).alias("_new")), id, "full_outer")
+    id_type = old.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, a, b in zip(pdf[id], pdf["_old"], pdf["_new"], strict=True):
+                rows = [(key, step, *row) for step, row in enumerate(diff_lines(*(t.split("\n") if isinstance(t, str) else [] for t in (a, b))))]
+                yield pd.DataFrame(rows, columns=[id, "step", "change", "old_line", "new_line", "line"]).astype({"old_line": "Int32", "new_line": "Int32"})
+
+    return both.mapInPandas(run, f"{id} {id_type}, step int, {_CHANGES}")
+
+
+def diff_lines(old: list[str], new: list[str]) -> Iterator[tuple[str, int | None, int | None, str]]:
+    """Changes in order.  Common ends are equal; between them the lines that occur once in both versions and keep their order part the rest into gaps, which are treated alike."""
+    todo = [(0, len(old), 0, len(new))]
+    while todo:
+        a, a_end, b, b_end = todo.pop()
+        while a < a_end and b < b_end and old[a] == new[b]:
+            yield "equal", a + 1, b + 1, old[a]
+            a, b = a + 1, b + 1
+        tail = 0
+        while a < a_end - tail and b < b_end - tail and old[a_end - 1 - tail] == new[b_end - 1 - tail]:
+            tail += 1
+        a_mid, b_mid = a_end - tail, b_end - tail
+        anchors = _common_order(old, new, a, a_mid, b, b_mid)
+        if tail:
+            todo.append((a_mid, a_end, b_mid, b_end))
+        if anchors:
+            ends = [*anchors[1:], (a_mid, b_mid)]
+            todo += [(x, x_end, y, y_end) for (x, y), (x_end, y_end) in zip(anchors, ends, strict=True)][::-1]
+            todo.append((a, anchors[0][0], b, anchors[0][1]))
+            continue
+        yield from (("removed", i + 1, None, old[i]) for i in range(a, a_mid))
+        yield from (("added", None, i + 1, new[i]) for i in range(b, b_mid))
+
+
+def _common_order(old: list[str], new: list[str], a: int, a_end: int, b: int, b_end: int) -> list[tuple[int, int]]:
+    """The longest run of lines, each found once on either side, that stand in the same order in both."""
+    times = Counter(old[a:a_end]), Counter(new[b:b_end])
+    place = {line: i for i, line in enumerate(new[b:b_end], b) if times[1][line] == 1 and times[0][line] == 1}
+    pairs = [(i, place[line]) for i, line in enumerate(old[a:a_end], a) if line in place]
+    # Longest increasing subsequence of the places in ``new``: the smallest last place of each length, and who came before.
+    last, at, before = [], [], []
+    for k, (_, y) in enumerate(pairs):
+        n = bisect_left(last, y)
+        before.append(at[n - 1] if n else None)
+        last[n:n + 1], at[n:n + 1] = [y], [k]
+    out, k = [], at[-1] if at else None
+    while k is not None:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
+def unified_diff(changes: DataFrame, id: str = "doc_id", context: int = 3) -> DataFrame:
+    """(id, diff_text): the changed lines with ``context`` lines around them, in hunks; documents without a change have no row.
+
+    Which lines are shown and where hunks begin are windows over the lines of one document.
+    """
+    w = W.partitionBy(id).orderBy("step")
+    changed = F.col("change") != "equal"
+    near = F.max(changed.cast("int")).over(w.rowsBetween(-context, context)) == 1
+    # The line numbers reached so far, also on lines that only one version has.
+    marked = changes.withColumn("_near", near).withColumn("_a", F.count("old_line").over(w)).withColumn("_b", F.count("new_line").over(w))
+    shown = marked.filter("_near").withColumn("_first", F.coalesce(F.col("step") != F.lag("step").over(w) + 1, F.lit(True)))
+    hunks = shown.withColumn("_hunk", F.sum(F.col("_first").cast("int")).over(w))
+    sign = F.when(F.col("change") == "equal", " ").when(F.col("change") == "added", "+").otherwise("-")
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("step", F.concat(sign, "line").alias("l")))), lambda x: x["l"])
+    parts = hunks.groupBy(id, "_hunk").agg(lines.alias("_lines"), F.count("old_line").alias("_na"), F.count("new_line").alias("_nb"), F.max("_a").alias("_ea"), F.max("_b").alias("_eb"))
+
+    def span(end: str, n: str) -> Column:
+        """Where a hunk lies in a version: its first line and, unless it is one, the number of lines; the line before it when it has none there."""
+        first = F.when(F.col(n) == 0, F.col(end)).otherwise(F.col(end) - F.col(n) + 1)
+        return F.when(F.col(n) == 1, first.cast("string")).otherwise(F.concat_ws(",", first.cast("string"), F.col(n).cast("string")))
+
+    head = F.concat(F.lit("@@ -"), span("_ea", "_na"), F.lit(" +"), span("_eb", "_nb"), F.lit(" @@"))
+    body = parts.select(id, "_hunk", F.concat_ws("\n", head, F.array_join("_lines", "\n")).alias("_t"))
+    return body.groupBy(id).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_hunk", "_t"))), lambda x: x["_t"]), "\n").alias("diff_text"))
+
+
 # ---- figures ---------------------------------------------------------------------------------------------------------
 
 def chat_stats(messages: DataFrame, by: list[str]) -> DataFrame:

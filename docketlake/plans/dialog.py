@@ -235,6 +235,20 @@ def i14(spark, folder):
     return op.version_line_diff(docs, docs.withColumn("text", F.expr(_NEW))).select("doc_id", F.md5("line").alias("digest"), "change", "times")
 
 
+_CHANGED = "replace(replace(text, '. ', concat('.', chr(10))), concat(chr(10), 'b'), concat(chr(10), 'Changed b'))"
+
+
+@query("i14_ordered_diff", f"""SELECT doc_id, md5(text) AS old_digest, md5({_CHANGED}) AS new_digest, len(string_split({_CHANGED}, {NL})) - len(string_split(text, {NL})) AS grown FROM documents""")
+def i14_ordered(spark, folder):
+    """The versions read back from the diff: lines that are not added are the old one, lines not removed the new one."""
+    docs = load_table(spark, folder, "documents").select("doc_id", "text")
+    diff = op.ordered_diff(docs, docs.withColumn("text", F.expr(_CHANGED)))
+    side = lambda other: F.array_join(F.transform(F.filter("l", lambda x: x["change"] != other), lambda x: x["line"]), "\n")
+    sign = F.when(F.col("change") == "added", 1).when(F.col("change") == "removed", -1).otherwise(0)
+    lines = diff.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("step", "change", "line"))).alias("l"), F.sum(sign).alias("grown"))
+    return lines.select("doc_id", F.md5(side("added")).alias("old_digest"), F.md5(side("removed")).alias("new_digest"), "grown")
+
+
 _STATS = "count(*) AS total_chats, round(avg(latency_ms), 2) AS average_latency_ms, CAST(sum(token_count) AS BIGINT) AS total_tokens_used, round(coalesce(sum(cost), 0), 5) AS total_estimated_cost"
 
 
