@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import ahocorasick
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from ..functions.text import bind, clamp, col, first_regex, matches, rounded, st
 from ..session import cut_lineage
 from .graph import both_ways
 from .metrics import bundle
-from .scale import containing, first_by, running_sums, top_per_key
+from .scale import first_by, running_sums, top_per_key
 
 # ---- intent and plan --------------------------------------------------------------------------------
 
@@ -58,6 +61,49 @@ def candidate_names(hits: DataFrame, limit: int | None = None) -> DataFrame:
     return _first_rows(once, ["query_id"], [F.asc("_hit"), F.asc("_pos")], limit).select("query_id", "case_id", "candidate", "rank")
 
 
+#: Names of one automaton, and characters of text that one task runs through it.
+NAME_BLOCK = 20_000
+TEXT_BLOCK = 8_000_000
+
+
+def _find_names(names: list[str], texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(name number, text number) wherever a text holds a name, in one pass over each text."""
+    automaton = ahocorasick.Automaton()
+    for i, n in enumerate(names):
+        automaton.add_word(n, i)
+    automaton.make_automaton()
+    for j, t in enumerate(texts):
+        yield from ((i, j) for i in {i for _, i in automaton.iter(t)})
+
+
+def mentions(names: DataFrame, texts: DataFrame, keys: tuple[str, ...] = ("case_id",), name_block: int = NAME_BLOCK, text_block: int = TEXT_BLOCK) -> DataFrame:
+    """Pairs (keys, nid, hid) where a text (keys, hid, text) holds a name (keys, nid, text) of its own key.
+
+    The names of a key become one automaton, which runs over each text once.  A key with very many names
+    or very much text is cut into a grid of blocks.  Empty names are in no text.
+    """
+    keys = list(keys)
+    names, texts = names.filter("text <> ''").select(*keys, "nid", "text"), texts.filter("text <> ''").select(*keys, "hid", "text")
+    sizes = names.groupBy(*keys).agg(F.ceil(F.count("*") / name_block).cast("int").alias("_ns")).join(
+        texts.groupBy(*keys).agg(F.ceil(F.sum(F.length("text")) / text_block).cast("int").alias("_ts")), keys)
+    block = lambda c, m: F.pmod(F.xxhash64(c), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    n = names.join(sizes, keys).withColumn("_n", block("nid", "_ns")).withColumn("_t", every("_ts")).drop("_ns", "_ts")
+    t = texts.join(sizes, keys).withColumn("_t", block("hid", "_ts")).withColumn("_n", every("_ns")).drop("_ns", "_ts")
+    # Both sides may come from one table; a cogroup needs columns of their own.
+    n, t = (df.select(*[F.col(c).alias(c) for c in df.columns]) for df in (n, t))
+    kinds = [f"{c} {k}" for c, k in [*n.select(*keys, "nid").dtypes, *t.select("hid").dtypes]]
+
+    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        found = list(_find_names(a["text"].tolist(), b["text"].tolist())) if len(a) and len(b) else []
+        i, j = [x for x, _ in found], [y for _, y in found]
+        left, right = a[[*keys, "nid"]].iloc[i].reset_index(drop=True), b[["hid"]].iloc[j].reset_index(drop=True)
+        return pd.concat([left, right], axis=1)
+
+    group = [*keys, "_n", "_t"]
+    return n.groupBy(*group).cogroup(t.groupBy(*group)).applyInPandas(meet, ", ".join(kinds))
+
+
 def expand_hop(queries: DataFrame, candidates: DataFrame, items: DataFrame, limit: int | None = None, without: int | None = None) -> DataFrame:
     """Items (case_id, item_id, sort_key, text) of the case that mention a candidate, ``limit`` per query.
 
@@ -68,7 +114,7 @@ def expand_hop(queries: DataFrame, candidates: DataFrame, items: DataFrame, limi
     names = candidates.select("case_id", F.lower("candidate").alias("nid")).distinct().withColumn("text", F.col("nid"))
     hays = cut_lineage(items.select("case_id", F.col("item_id").alias("hid"), "sort_key", F.lower("text").alias("text")))
     keys = hays.drop("text")
-    hits = containing(names, hays.drop("sort_key"), ["case_id"], piece=4).join(keys, ["case_id", "hid"])
+    hits = mentions(names, hays.drop("sort_key")).join(keys, ["case_id", "hid"])
     hits = _first_rows(hits, ["case_id", "nid"], [F.asc("sort_key"), F.asc("hid")], limit)
     found = candidates.withColumn("nid", F.lower("candidate")).join(hits.drop("rank"), ["case_id", "nid"]).select("query_id", "hid", "sort_key").distinct()
     bare = queries.select("query_id", "case_id").join(candidates.select("query_id").distinct(), "query_id", "left_anti")

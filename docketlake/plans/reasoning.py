@@ -96,6 +96,29 @@ def h3_expand(spark, folder):
     return op.expand_hop(hits.select("query_id", "case_id").distinct(), op.candidate_names(hits, 10), _hop_events(spark, folder), 10, 5).select("query_id", "rank", "item_id")
 
 
+_DOC_EDGES = "SELECT concat('doc/', doc_id) AS src, concat('doc/', doc_id + 1) AS dst, doc_id AS edge_id FROM {documents}"
+_NOTES = "SELECT DISTINCT source AS case_id, concat('summary/', lang) AS item_id, lang AS sort_key FROM {documents}"
+
+
+@query("h3_multi_hop_of_texts", f"""WITH {_EVENTS_SQL}, {_CAND_SQL},
+it AS (SELECT case_id, CASE WHEN doc_id % 2 = 0 THEN 'entity' ELSE 'evidence' END AS kind, concat('doc/', doc_id) AS item_id, lpad(CAST(doc_id AS VARCHAR), 9, '0') AS sort_key, lower(text) AS text FROM w
+  UNION ALL SELECT case_id, 'event', concat(doc_id, '/', position), concat(strftime(event_date, '%Y-%m-%d'), '/', lpad(CAST(doc_id AS VARCHAR), 9, '0')), lower(sentence) FROM x),
+m AS (SELECT DISTINCT ca.query_id, kind, item_id, sort_key FROM ca JOIN it ON it.case_id = ca.case_id AND contains(it.text, lower(ca.c))),
+fi AS (SELECT * FROM it QUALIFY row_number() OVER (PARTITION BY case_id, kind ORDER BY sort_key, item_id) <= 5),
+b AS (SELECT w.doc_id AS query_id, kind, item_id, sort_key FROM w JOIN fi USING (case_id) WHERE w.doc_id NOT IN (SELECT query_id FROM ca)),
+hop AS (SELECT query_id, kind, item_id FROM (SELECT * FROM m UNION ALL SELECT * FROM b) QUALIFY row_number() OVER (PARTITION BY query_id, kind ORDER BY sort_key, item_id) <= 10),
+e AS ({D(_DOC_EDGES)}), l AS (SELECT src AS node, dst AS other FROM e UNION ALL SELECT dst, src FROM e),
+nt AS (SELECT * FROM ({D(_NOTES)}) QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY sort_key, item_id) <= 3)
+SELECT query_id, kind, item_id FROM hop UNION ALL SELECT DISTINCT query_id, 'neighbor', other FROM hop JOIN l ON l.node = hop.item_id WHERE kind = 'entity'
+UNION ALL SELECT w.doc_id, 'summary', item_id FROM w JOIN nt USING (case_id)""")
+def h3_texts(spark, folder):
+    """All kinds of the second hop over whole texts: those of even number stand in for entities, the others for evidence."""
+    hits = cut_lineage(_hits(spark, folder))
+    items = hits.select("case_id", F.concat(F.lit("doc/"), "query_id").alias("item_id"), F.lpad(F.col("query_id").cast("string"), 9, "0").alias("sort_key"), "text", (F.col("query_id") % 2).alias("odd"))
+    pick = lambda odd: items.filter(F.col("odd") == odd).drop("odd")
+    return op.multi_hop(hits, pick(0), _hop_events(spark, folder), pick(1), st.rows(spark, folder, _DOC_EDGES), st.rows(spark, folder, _NOTES), names=10, limit=10, without=5, summaries_per_case=3)
+
+
 _DEG = "SELECT p_type AS case_id, p_name AS label, count(*) AS degree FROM {part} JOIN {lineitem} ON l_partkey = p_partkey GROUP BY p_type, p_name"
 _EVCH = """SELECT l_orderkey * 10 + l_linenumber AS row_id, l_orderkey AS query_id, p_type AS case_id, CAST(l_linenumber - 1 AS INT) AS position, concat('about the ', upper(p_name), ' in ', l_returnflag) AS text,
   l_quantity / 100 + 0.25 AS score, l_suppkey FROM {lineitem} JOIN {part} ON p_partkey = l_partkey"""
