@@ -30,6 +30,30 @@ def strip(c: str | Column) -> Column:
     return F.trim(col(c), F.lit(_BLANK_CHARS))
 
 
+def lead(c: str | Column) -> Column:
+    """The text without whitespace at its beginning."""
+    return F.ltrim(col(c), F.lit(_BLANK_CHARS))
+
+
+def prefix_sums(values: Column) -> Column:
+    """For each element of an int array the sum of those before it.
+
+    In blocks of about the square root of their number, so that a long array takes neither a
+    shuffle nor time with the square of its length.
+    """
+    total = lambda a: F.aggregate(a, F.lit(0), lambda x, y: x + y)
+    floor = lambda i, n: F.floor(i / n).cast("int")
+
+    def summed(b: Column) -> Column:
+        v, n = b["v"], b["n"]
+        blocks = F.transform(F.sequence(F.lit(0), floor(F.size(v) - 1, n)), lambda k: total(F.slice(v, k * n + 1, n)))
+        before = bind(blocks, lambda s: F.transform(s, lambda _, k: total(F.slice(s, F.lit(1), k))))
+        return bind(before, lambda s: F.transform(v, lambda _, i: F.get(s, floor(i, n)) + total(F.slice(v, i - i % n + 1, i % n))))
+
+    size = F.greatest(F.ceil(F.sqrt(F.size(values))).cast("int"), F.lit(1))
+    return F.when(F.size(values) > 0, bind(F.struct(values.alias("v"), size.alias("n")), summed)).otherwise(F.array().cast("array<int>"))
+
+
 def squeeze(c: str | Column) -> Column:
     """Lower case, runs of whitespace become one blank, no blank on the ends."""
     return F.trim(F.regexp_replace(F.lower(col(c)), f"[{BLANKS}]+", " "))

@@ -1,24 +1,24 @@
 """Splitting texts into chunks that know their page and paragraph.
 
-Packing is a left-to-right fold over the sentences of one document.  It runs as
-``mapInPandas`` right after the scan: no shuffle, only the key and the text go to Python.
-Positions are running offsets, so a repeated sentence keeps its own place.
+A text is an array of located units (sentences, paragraphs or whole sections), made by column
+expressions: no shuffle, and offsets are running sums, so a repeated sentence keeps its own place.
+Only which units go together is a left-to-right fold; for it the sizes of the units, not their
+texts, pass through one Arrow function.  Chunks, their pages and paragraphs are columns again.
 """
 
 from __future__ import annotations
 
-import re
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import rounded, strip, token_estimate
+from ..functions.text import BLANKS, bind, first_regex, lead, prefix_sums, rounded, strip, token_estimate, word_count
 
 
 @dataclass(frozen=True)
@@ -34,8 +34,7 @@ class ChunkLimits:
 
 def _starts(parts: Column, gap: int) -> Column:
     """Offset of each part when parts are laid end to end with a gap."""
-    return F.transform(parts, lambda _, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0),
-                                                       lambda a, p: a + F.length(p) + gap))
+    return prefix_sums(F.transform(parts, lambda p: F.length(p) + gap))
 
 
 def page_offsets(text: str) -> Column:
@@ -76,175 +75,202 @@ def offset_range(offsets: Column, start: Column, end: Column, field: str) -> Col
     return F.struct(at(start).alias("first"), F.greatest(at(start), at(end)).alias("last"))
 
 
+# ---- units ----------------------------------------------------------------------------------
+
+# A unit is packed whole.  Units of one run may share a chunk, joined by ``joiner``; a chunk ends where
+# the next unit of its run begins, the last one at ``run_end``.
+_FIELDS = ("text", "pos", "words", "chars", "run", "run_end", "joiner", "title")
+
+
+def _unit(piece: Column, run: Column, run_end: Column, joiner: str, title: Column) -> Column:
+    rest = dict(run=run.cast("int"), run_end=run_end.cast("int"), joiner=F.lit(joiner), title=title.cast("string"))
+    return F.struct(*[piece[f].alias(f) for f in _FIELDS[:4]], *[v.alias(f) for f, v in rest.items()])
+
+
+def _piece(raw: Column, at: Column) -> Column:
+    """A part of a text without blanks on its ends, and where it then begins."""
+    return bind(strip(raw), lambda s: F.struct(s.alias("text"), (at + F.length(raw) - F.length(lead(raw))).cast("int").alias("pos"), word_count(s).alias("words"), F.length(s).alias("chars")))
+
+
+def _pieces(parts: Column, gap: int, base: Column) -> Column:
+    """The parts of a text that are not blank, with their places; ``gap`` characters lie between parts."""
+    placed = bind(parts, lambda p: bind(_starts(p, gap), lambda at: F.transform(p, lambda x, i: _piece(x, F.get(at, i) + base))))
+    return F.filter(placed, lambda u: u["chars"] > 0)
+
+
+def _sentences(text: Column, base: Column) -> Column:
+    """A sentence ends before a blank that follows ``. ! ?``; the cut takes no characters, so lengths give places."""
+    return _pieces(F.split(text, f"(?<=[.!?])(?=[{BLANKS}])"), 0, base)
+
+
+def _none() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _sliding_units(text: Column, lim: ChunkLimits) -> Column:
+    return F.transform(_sentences(text, F.lit(0)), lambda u: _unit(u, F.lit(0), F.lit(0), " ", _none()))
+
+
+def _too_long(piece: Column, lim: ChunkLimits) -> Column:
+    return (piece["chars"] > lim.max_chars) | (piece["words"] > lim.max_words)
+
+
+def _paragraph_units(text: Column, lim: ChunkLimits) -> Column:
+    """Paragraphs; one that is too long is a run of its own sentences and parts the others into runs."""
+    def units(found: Column) -> Column:
+        long = F.filter(found, lambda u: _too_long(u, lim))
+
+        def runs(b: Column) -> Column:
+            def one(u: Column, i: Column) -> Column:
+                before = F.get(b["before"], i)
+                apart = F.transform(_sentences(u["text"], u["pos"]), lambda v: _unit(v, 2 * before + 1, u["pos"] + u["chars"], " ", _none()))
+                end = F.coalesce(F.get(b["long"], before)["pos"], F.length(text))
+                return F.when(_too_long(u, lim), apart).otherwise(F.array(_unit(u, 2 * before, end, "\n\n", _none())))
+
+            return F.flatten(F.transform(found, one))
+
+        return bind(F.struct(prefix_sums(F.transform(found, lambda u: _too_long(u, lim).cast("int"))).alias("before"), long.alias("long")), runs)
+
+    return bind(_pieces(F.split(text, "\n\n"), 2, F.lit(0)), units)
+
+
+def _section_units(text: Column, lim: ChunkLimits, title_of, first_title: str) -> Column:
+    """Sections from one title line to the next; one that is too long is a run of its sentences."""
+    def titled(b: Column) -> Column:
+        lines = F.transform(b["lines"], lambda x, i: F.struct(title_of(strip(x)).alias("title"), F.get(b["at"], i).cast("int").alias("pos")))
+        return F.concat(F.array(F.struct(F.lit(first_title).alias("title"), F.lit(0).alias("pos"))), F.filter(lines, lambda x: x["title"].isNotNull()))
+
+    def sections(heads: Column) -> Column:
+        def one(h: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(heads, k + 1)["pos"], F.length(text))
+
+            def units(p: Column) -> Column:
+                last = p["pos"] + p["chars"]
+                apart = F.transform(_sentences(p["text"], p["pos"]), lambda v: _unit(v, k, last, " ", h["title"]))
+                return F.when(p["chars"] == 0, F.array().cast(apart_type)).when(_too_long(p, lim), apart).otherwise(F.array(_unit(p, k, last, " ", h["title"])))
+
+            return bind(_piece(F.substring(text, h["pos"] + 1, end - h["pos"]), h["pos"]), units)
+
+        return F.flatten(F.transform(heads, one))
+
+    apart_type = "array<struct<text:string,pos:int,words:int,chars:int,run:int,run_end:int,joiner:string,title:string>>"
+    split = F.split(text, "\n")
+    return bind(bind(split, lambda p: F.struct(p.alias("lines"), _starts(p, 1).alias("at"))), lambda b: bind(titled(b), sections))
+
+
+def _heading_of(line: Column) -> Column:
+    """The title a line is: after one to six ``#``, or a short line in capitals."""
+    marked = line.rlike(f"^#{{1,6}}[{BLANKS}]+[^{BLANKS}]")
+    capitals = F.length(F.regexp_replace(line, "[^A-Z]", "")) > 3
+    shouted = line.rlike(f"^[A-Z0-9{BLANKS}.\\-:]{{4,70}}\\z") & ~line.endswith(".") & capitals
+    return F.when(marked, strip(F.regexp_replace(line, f"^#{{1,6}}[{BLANKS}]+", ""))).when(shouted, line)
+
+
+def _legal_section_of(line: Column) -> Column:
+    numbered = F.regexp_replace(line, rules.SECTION_NUMBER.replace(r"\s", f"[{BLANKS}]"), "")
+    return F.when(line != "", bind(strip(numbered), lambda x: F.nullif(first_regex(x, rules.LEGAL_SECTIONS, ""), F.lit(""))))
+
+
+_UNITS = {
+    "paragraph": _paragraph_units,
+    "sliding": _sliding_units,
+    "heading": lambda text, lim: _section_units(text, lim, _heading_of, "Introduction"),
+    "legal": lambda text, lim: _section_units(text, lim, _legal_section_of, "Introductory Context"),
+}
+
+
 # ---- the folds ----------------------------------------------------------------------------
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_PAGE = re.compile(r"--- Page (\d+) ---")
-_HEADING = re.compile(r"^(?:#{1,6}\s+(.+))$|^([A-Z0-9\s.\-:]{4,70})$")
-_LEGAL = [(name, re.compile(p)) for name, p in rules.LEGAL_SECTIONS]
-_NUMBER = re.compile(rules.SECTION_NUMBER)
-
-
-def _tokens(words: int) -> int:
-    return max(int(words * 1.33), 1)
-
-
-def _located_sentences(text: str, base: int = 0) -> list[tuple[str, int]]:
-    out, at = [], 0
-    for raw in _SENTENCE.split(text):
-        s = raw.strip()
-        if s:
-            at = text.find(s, at)
-            out.append((s, base + at))
-            at += len(s)
-    return out
-
-
-def _pack(units: list[tuple[str, int]], joiner: str, end: int, lim: ChunkLimits) -> Iterator[tuple[str, int, int]]:
-    """Greedy packing; a unit that would break a limit starts the next chunk."""
-    cur, start, chars, words = [], 0, 0, 0
-    for s, pos in units:
-        w = len(s.split())
-        grown = chars + len(joiner) + len(s) if cur else len(s)
-        if cur and (grown > lim.max_chars or words + w > lim.max_words or _tokens(words + w) > lim.max_tokens):
-            yield joiner.join(cur), start, pos
-            cur, chars, words = [], 0, 0
-        if not cur:
-            start = pos
-        chars = chars + len(joiner) + len(s) if cur else len(s)
-        words += w
-        cur.append(s)
-    if cur:
-        yield joiner.join(cur), start, end
-
-
-def _by_paragraph(text: str, lim: ChunkLimits):
-    pos, run = 0, []
-    for p in text.split("\n\n"):
-        s = p.strip()
-        start = pos + len(p) - len(p.lstrip())
-        pos += len(p) + 2
-        if not s:
-            continue
-        if len(s) > lim.max_chars or len(s.split()) > lim.max_words:
-            for c in _pack(run, "\n\n", start, lim):
-                yield None, *c
-            run = []
-            for c in _pack(_located_sentences(s, start), " ", start + len(s), lim):
-                yield None, *c
-        else:
-            run.append((s, start))
-    for c in _pack(run, "\n\n", len(text), lim):
-        yield None, *c
-
-
-def _by_window(text: str, lim: ChunkLimits):
-    """Overlapping windows of whole sentences."""
-    sents = _located_sentences(text)
-    words = [len(s.split()) for s, _ in sents]
-    first, n = 0, len(sents)
-    while first < n:
-        i, w, chars = first, 0, 0
-        while i < n and not (
-            w + words[i] > lim.max_words or chars + len(sents[i][0]) > lim.max_chars
-            or _tokens(words[i]) + _tokens(w) > lim.max_tokens
-        ):
-            w, chars, i = w + words[i], chars + len(sents[i][0]), i + 1
-        i = max(i, first + 1)
-        s_last, p_last = sents[i - 1]
-        yield None, " ".join(s for s, _ in sents[first:i]), sents[first][1], p_last + len(s_last)
-        if i >= n:
+def _token_counts(words: np.ndarray) -> np.ndarray:
+    return np.maximum((words * 1.33).astype(np.int64), 1)
+
+
+def _windows(words: np.ndarray, chars: np.ndarray, lim: ChunkLimits) -> Iterator[tuple[int, int]]:
+    """Overlapping windows of whole sentences (first, last), found by searching running sums of words and characters."""
+    word_sum, char_sum = np.append(0, np.cumsum(words)), np.append(0, np.cumsum(chars))
+    begin, n = 0, len(words)
+    while begin < n:
+        full = min(np.searchsorted(total, total[begin] + most, "right") - 1 for total, most in ((word_sum, lim.max_words), (char_sum, lim.max_chars)))
+        # Tokens are rounded per sentence and for the words before it, so their limit may break earlier.
+        tokens = _token_counts(words[begin:full]) + _token_counts(word_sum[begin:full] - word_sum[begin])
+        over = np.flatnonzero(tokens > lim.max_tokens)
+        end = max(begin + int(over[0]) if len(over) else int(full), begin + 1)
+        yield begin, end - 1
+        if end == n:
             return
-        back, kept = i - 1, 0
-        while back > first and kept + words[back] <= lim.overlap_words:
-            kept, back = kept + words[back], back - 1
-        first = max(back + 1, first + 1)
-
-
-def _heading_of(line: str) -> str | None:
-    m = _HEADING.match(line)
-    if not m:
-        return None
-    if m.group(1):
-        return m.group(1).strip()
-    capitals = sum(c.isascii() and c.isupper() for c in line)
-    return line if not line.endswith(".") and capitals > 3 else None
-
-
-def _legal_section_of(line: str) -> str | None:
-    bare = _NUMBER.sub("", line).strip()
-    return next((name for name, p in _LEGAL if p.match(bare)), None)
-
-
-def _by_section(text: str, lim: ChunkLimits, title_of, first_title: str):
-    title, start, pos, sections = first_title, 0, 0, []
-    for line in text.split("\n"):
-        found = title_of(line.strip()) if line.strip() else None
-        if found is not None:
-            sections.append((title, start, pos))
-            title, start = found, pos
-        pos += len(line) + 1
-    sections.append((title, start, len(text)))
-    for title, a, b in sections:
-        raw = text[a:b]
-        s = raw.strip()
-        if not s:
-            continue
-        at = a + len(raw) - len(raw.lstrip())
-        if len(s) <= lim.max_chars and len(s.split()) <= lim.max_words:
-            yield title, s, at, at + len(s)
-        else:
-            for c in _pack(_located_sentences(s, at), " ", at + len(s), lim):
-                yield title, *c
-
-
-_STRATEGIES = {
-    "paragraph": _by_paragraph,
-    "sliding": _by_window,
-    "heading": lambda t, lim: _by_section(t, lim, _heading_of, "Introduction"),
-    "legal": lambda t, lim: _by_section(t, lim, _legal_section_of, "Introductory Context"),
-}
+        # The next window takes over the last sentences that hold few enough words.
+        begin = max(int(np.searchsorted(word_sum, word_sum[end] - lim.overlap_words)), begin + 1)
+
+
+def _packs(words: np.ndarray, chars: np.ndarray, runs: np.ndarray, joints: np.ndarray, lim: ChunkLimits) -> Iterator[tuple[int, int]]:
+    """Greedy packing inside each run (first, last): a unit that would break a limit begins the next chunk."""
+    begin, w, c = 0, 0, 0
+    for i, (word, char, joint) in enumerate(zip(words.tolist(), chars.tolist(), joints.tolist(), strict=True)):
+        grown = c + joint + char
+        if i and (runs[i] != runs[i - 1] or grown > lim.max_chars or w + word > lim.max_words or max(int((w + word) * 1.33), 1) > lim.max_tokens):
+            yield begin, i - 1
+            begin, w, grown = i, 0, char
+        elif not i:
+            grown = char
+        w, c = w + word, grown
+    if len(words):
+        yield begin, len(words) - 1
+
+
+def _folding(lim: ChunkLimits):
+    def fold(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for kinds, *sizes in batches:
+            out = []
+            for kind, words, chars, runs, joints in zip(kinds, *sizes, strict=True):
+                words, chars = np.asarray(words, np.int64), np.asarray(chars, np.int64)
+                found = _windows(words, chars, lim) if kind == "sliding" else _packs(words, chars, np.asarray(runs), np.asarray(joints), lim)
+                out.append(np.array(list(found), np.int32).ravel())
+            yield pd.Series(out)
+
+    return F.pandas_udf(fold, "array<int>")
 
 
-def _chunk_rows(text: str, strategy: str, lim: ChunkLimits):
-    pages = [(m.start(), int(m.group(1))) for m in _PAGE.finditer(text)] or [(0, 1)]
-    paras = [0] + [m.end() for m in re.finditer("\n\n", text)]
-    page_pos = [p for p, _ in pages]
+_CHUNK_FIELDS = ("section", "text", "page_start", "page_end", "paragraph_start", "paragraph_end", "words", "chars", "tokens")
 
-    def page(p):
-        return pages[max(bisect_right(page_pos, p) - 1, 0)][1]
 
-    def para(p):
-        return max(bisect_right(paras, p), 1)
+def _chunk(units: Column, pages: Column, paragraphs: Column, kind: Column, first: Column, last: Column) -> Column:
+    """A chunk of the units from ``first`` to ``last`` as a struct of columns."""
+    def made(b: Column) -> Column:
+        own, head, tail, after = b["own"], b["head"], b["tail"], b["after"]
+        text = F.call_function("array_join", F.transform(own, lambda u: u["text"]), head["joiner"])
+        packed_end = F.when(after["run"] == head["run"], after["pos"]).otherwise(head["run_end"])
+        start, end = head["pos"], F.when(kind == "sliding", tail["pos"] + tail["chars"]).otherwise(packed_end)
+        words = F.aggregate(own, F.lit(0), lambda n, u: n + u["words"])
+        page = lambda p: F.get(pages, F.greatest(F.size(F.filter(pages, lambda o: o["pos"] <= p)) - 1, F.lit(0)))["page"]
+        para = lambda p: F.greatest(F.size(F.filter(paragraphs, lambda at: at <= p)), F.lit(1))
 
-    for i, (title, s, a, b) in enumerate(_STRATEGIES[strategy](text, lim)):
-        w = len(s.split())
-        yield (i, title, s, page(a), max(page(a), page(b)), para(a), max(para(a), para(b)), w, len(s), _tokens(w))
+        def whole(x: Column) -> Column:
+            values = (head["title"], x["text"], x["p0"], F.greatest(x["p0"], x["p1"]), x["g0"], F.greatest(x["g0"], x["g1"]), x["words"], F.length(x["text"]), token_estimate(x["words"]))
+            return F.struct(*[v.alias(n) for n, v in zip(_CHUNK_FIELDS, values, strict=True)])
 
+        return bind(F.struct(text.alias("text"), words.alias("words"), page(start).alias("p0"), page(end).alias("p1"), para(start).alias("g0"), para(end).alias("g1")), whole)
 
-_CHUNK_SCHEMA = ("strategy string, chunk_index int, section string, text string, page_start int, page_end int, "
-                 "paragraph_start int, paragraph_end int, words int, chars int, tokens int")
+    return bind(F.struct(F.slice(units, first + 1, last - first + 1).alias("own"), F.get(units, first).alias("head"), F.get(units, last).alias("tail"), F.get(units, last + 1).alias("after")), made)
 
 
 def chunk_documents(df: DataFrame, strategy: str | Column, id: str = "doc_id", text: str = "text",
                     limits: ChunkLimits = ChunkLimits()) -> DataFrame:
-    """One row per chunk; the strategy may differ per row, all of them in one pass."""
-    label = F.lit(strategy) if isinstance(strategy, str) else strategy
-    id_type = df.schema[id].dataType.simpleString()
-    names = ["strategy", *[f.split()[0] for f in _CHUNK_SCHEMA.split(", ")[1:]]]
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [
-                (key, s, *row)
-                for key, t, s in zip(pdf["_id"], pdf["_text"], pdf["_strategy"])
-                if t
-                for row in _chunk_rows(t, s, limits)
-            ]
-            yield pd.DataFrame(rows, columns=[id, *names])
-
-    return df.select(F.col(id).alias("_id"), F.col(text).alias("_text"), label.alias("_strategy")).mapInPandas(
-        fold, f"{id} {id_type}, {_CHUNK_SCHEMA}")
+    """One row per chunk; the strategy may differ per row, all of them in one pass.  Null and empty texts have no chunks."""
+    kind, t = F.col("_kind"), F.col("_text")
+    rows = df.select(F.col(id).alias("_id"), (F.lit(strategy) if isinstance(strategy, str) else strategy).alias("_kind"), F.col(text).alias("_text")).filter("_text <> ''")
+    if isinstance(strategy, str):
+        units = _UNITS[strategy](t, limits)
+    else:
+        units = F.coalesce(*[F.when(kind == name, make(t, limits)) for name, make in _UNITS.items()])
+    paragraphs = _starts(F.split(t, "\n\n"), 2)
+    located = rows.select("_id", "_kind", units.alias("_units"), page_offsets("_text").alias("_pages"), paragraphs.alias("_paragraphs"))
+    size = lambda f: F.transform("_units", lambda u: u[f])
+    joints = F.transform("_units", lambda u: F.length(u["joiner"]))
+    cut = located.withColumn("_cuts", _folding(limits)(kind, size("words"), size("chars"), size("run"), joints))
+    numbers = F.filter(F.sequence(F.lit(0), F.size("_cuts")), lambda k: 2 * k < F.size("_cuts"))
+    chunks = F.transform(numbers, lambda k: _chunk(F.col("_units"), F.col("_pages"), F.col("_paragraphs"), kind, F.get("_cuts", 2 * k), F.get("_cuts", 2 * k + 1)))
+    out = cut.select("_id", "_kind", F.posexplode(chunks).alias("chunk_index", "_c"))
+    return out.select(F.col("_id").alias(id), F.col("_kind").alias("strategy"), "chunk_index", *[F.col(f"_c.{f}") for f in _CHUNK_FIELDS])
 
 
 def chunk_paragraphs(df: DataFrame, **kw) -> DataFrame:
