@@ -22,7 +22,7 @@ from .repeats import Spans, Unit, covered, cut_texts, keyed, mix, repeated_inter
 WINDOW = 400
 Q = 32
 #: Bytes worked on at a time; longer texts are cut into overlapping parts.
-PART = 1 << 20
+PART = 1 << 18
 
 
 def identifiers(text: np.ndarray, length: int = Q) -> np.ndarray:
