@@ -48,52 +48,55 @@ def key_lines(rows: DataFrame, least_chars: int) -> DataFrame:
 
 
 class LineRuns:
-    """The runs of the batches seen so far, by level."""
+    """The runs of the batches seen so far: names of bucketed tables, by level."""
 
     def __init__(self, spark: SparkSession, least_docs: int = LEAST_DOCS, fanout: int = FANOUT):
         self.spark, self.least_docs, self.fanout = spark, least_docs, fanout
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.folder = f"{checkpoint_dir(spark)}/line-runs-{uuid.uuid4().hex}"
-        self.levels: list[list[DataFrame]] = [[]]
-        self.names: list[str] = []
+        self.levels: list[list[str]] = [[]]
+        self.written: list[str] = []
 
-    def _run(self, entries: DataFrame) -> DataFrame:
+    def _run(self, entries: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
         entries.select(*KEYS, "docs", "last").write.bucketBy(self.buckets, *KEYS).sortBy(*KEYS).option("path", f"{self.folder}/{name}").saveAsTable(name)
-        self.names.append(name)
-        return self.spark.table(name)
+        self.written.append(name)
+        return name
 
-    def all(self) -> list[DataFrame]:
+    def all(self) -> list[str]:
         return [r for level in self.levels for r in level]
 
     def add(self, lines: DataFrame) -> None:
         """Add a batch; all its ids are smaller than those before.  Rows without an id are no documents."""
         own = lines.filter("doc_id IS NOT NULL").groupBy(*KEYS).agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("last"))
         for run in self.all():
-            own = own.join(run.filter(F.col("docs") >= self.least_docs).select(*KEYS).hint("merge"), KEYS, "left_anti")
+            settled = self.spark.table(run).filter(F.col("docs") >= self.least_docs).select(*KEYS)
+            own = own.join(settled.hint("merge"), KEYS, "left_anti")
         self.levels[0].append(self._run(own))
         level = 0
         while len(self.levels[level]) >= self.fanout:
-            merged = self._run(self._merged(self.levels[level]))
+            merged = self._run(self.merged(self.levels[level]))
             self.levels[level] = []
             level += 1
             if level == len(self.levels):
                 self.levels.append([])
             self.levels[level].append(merged)
 
-    def _merged(self, runs: list[DataFrame]) -> DataFrame:
-        """One entry per key: batches share no document, so counts add up."""
-        every = runs[0]
-        for r in runs[1:]:
-            every = every.unionByName(r)
+    def merged(self, runs: list[str]) -> DataFrame:
+        """One entry (h1, h2, docs, last) per key: batches share no document, so counts add up.
+
+        The files are read as one plain table: a union of bucketed tables would be taken for one that
+        is dealt by key, which it is not, and the aggregate would miss its shuffle.
+        """
+        every = self.spark.read.schema("h1 long, h2 long, docs long, last long").parquet(*[f"{self.folder}/{r}" for r in runs])
         return every.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
 
     def repeated(self) -> DataFrame:
         """(h1, h2, last): keys that enough documents hold, written as a table of its own; the runs are given up."""
-        out = written(self._merged(self.all()).filter(F.col("docs") >= self.least_docs).select(*KEYS, "last"), "repeated-lines")
-        for name in self.names:
+        out = written(self.merged(self.all()).filter(F.col("docs") >= self.least_docs).select(*KEYS, "last"), "repeated-lines")
+        for name in self.written:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
-        self.levels, self.names = [[]], []
+        self.levels, self.written = [[]], []
         return out
 
 
