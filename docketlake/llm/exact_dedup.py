@@ -3,8 +3,8 @@
 Texts are compared by their SHA-256.  A Misra-Gries style summary of bounded size (the frequent
 items sketch behind ``approx_top_k``) names the digests that may be frequent.  Their counts and
 winners are then computed exactly with map-side aggregation and broadcast, so that copies of them
-are decided where they lie and never meet in one task.  All other digests use one ordinary
-shuffle, in which no group can be large.  The summary only decides which way a digest takes:
+are decided where they lie and never meet in one task.  All other digests use ordinary
+shuffles: counted with map-side aggregation, then joined with their winners.  The summary only decides which way a digest takes:
 the rows are the same whatever it names.
 
 DataFrame functions only.
@@ -14,7 +14,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from .common import texts, written
 
@@ -49,9 +48,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         digests.join(F.broadcast(named), "digest").groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")),
         "winners")
     heavy = digests.join(F.broadcast(winners), "digest").select("doc_id", "digest", "keep_id", "group_size")
-    same = W.partitionBy("digest")
-    light = digests.join(F.broadcast(named), "digest", "left_anti").select(
-        "doc_id", "digest", F.max("doc_id").over(same).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"))
+    rest = digests.join(F.broadcast(named), "digest", "left_anti")
+    # Written, so that the join reads both sides from plain shuffles and a digest that no summary named can still be split.
+    last = written(rest.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "last-rows")
+    light = rest.join(last, "digest").select("doc_id", "digest", "keep_id", "group_size")
     return heavy.unionByName(light).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
