@@ -47,6 +47,8 @@ class CoarseIndex:
 
 def _cells_in_order(centroids: np.ndarray, values, n: int) -> np.ndarray:
     """The ``n`` nearest cells of each vector, nearest first; ties by number."""
+    if len(centroids) == 1:
+        return np.zeros((len(values), 1), np.int64)
     return np.argsort(-(_unit_rows(values) @ centroids.T), axis=1, kind="stable")[:, :n]
 
 
@@ -54,8 +56,8 @@ def build_index(vectors: DataFrame, cells: int | None = None, vid: str = "vec_id
                 target_recall: float = TARGET_RECALL, k: int = 10, seed: int = 1) -> CoarseIndex:
     """Index all ``vectors``; about the square root of their number as cells by default.
 
-    Vectors of null or zero length lie in the cell whose centroid comes first.  An empty table gives an
-    index without rows.
+    Vectors that are null or zero lie in some cell and are found with score 0 or not at all.  An empty
+    table, or one without any direction, gives an index of one cell.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -64,7 +66,11 @@ def build_index(vectors: DataFrame, cells: int | None = None, vid: str = "vec_id
         return CoarseIndex(np.zeros((1, 1)), vectors.withColumn("cell", F.lit(0)), 1, vid, vec)
     cells = max(1, min(cells or round(n**0.5), MAX_CELLS, n))
     chosen = F.pmod(F.xxhash64(F.lit(seed), F.col(vid)), F.lit(n)) < sample_rows
-    sample = vectors.filter(chosen & F.col(vec).isNotNull()).select(array_to_vector(unit(vec)).alias("features"))
+    # A vector without a direction says nothing of where the cells should be.
+    sample = cut_lineage(vectors.filter(chosen).select(unit(vec).alias("u")).filter("u IS NOT NULL").distinct()).select(array_to_vector("u").alias("features"))
+    cells = min(cells, sample.count())
+    if cells <= 1:
+        return CoarseIndex(np.zeros((1, 1)), cut_lineage(vectors.withColumn("cell", F.lit(0))), 1, vid, vec)
     model = KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(sample)
     centres = np.array(model.clusterCenters())
     centroids = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
