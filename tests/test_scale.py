@@ -1,12 +1,12 @@
 """Hot keys, partitioning and brute-force checks."""
 
+import collections
 import random
+import re
 from datetime import datetime
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as hs
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -169,19 +169,24 @@ def test_partitioning_does_not_matter(spark):
     same(timeline.link_events(df.coalesce(1)), timeline.link_events(df.repartition(8)))
 
 
-sentence = hs.text(alphabet="abc de", min_size=1, max_size=40).map(lambda s: s.strip() + ".")
-
-
-@settings(max_examples=60, deadline=None)
-@given(hs.lists(sentence, min_size=1, max_size=30), hs.sampled_from(["paragraph", "sliding", "heading", "legal"]), hs.integers(20, 120))
-def test_chunks_cover_every_sentence(sents, strategy, limit):
-    text = " ".join(sents)
-    lim = chunking.ChunkLimits(max_chars=limit, overlap_words=3)
-    rows = list(chunking._chunk_rows(text, strategy, lim))
-    glued = " ".join(r[2] for r in rows)
-    for s, _ in chunking._located_sentences(text):
-        assert s in glued
-    assert [r[0] for r in rows] == list(range(len(rows))) and all(r[4] >= r[3] >= 1 and r[6] >= r[5] >= 1 for r in rows)
+def test_chunks_cover_every_sentence(spark):
+    """Random sentences, strategies and limits: every sentence is in the chunks, which are numbered and lie on pages and paragraphs in order."""
+    rng = random.Random(12)
+    for strategy in ("paragraph", "sliding", "heading", "legal"):
+        texts = []
+        for i in range(60):
+            sents = ["".join(rng.choices("abc de", k=rng.randrange(1, 41))).strip() + "." for _ in range(rng.randrange(1, 31))]
+            texts.append((i, " ".join(sents)))
+        lim = chunking.ChunkLimits(max_chars=rng.randrange(20, 121), overlap_words=3)
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        found = collections.defaultdict(list)
+        for r in chunking.chunk_documents(df, strategy, limits=lim).orderBy("doc_id", "chunk_index").collect():
+            found[r.doc_id].append(r)
+        for i, text in texts:
+            rows = found[i]
+            glued = " ".join(r.text for r in rows)
+            assert all(s.strip() in glued for s in re.split(r"(?<=[.!?])\s+", text))
+            assert [r.chunk_index for r in rows] == list(range(len(rows))) and all(r.page_end >= r.page_start >= 1 and r.paragraph_end >= r.paragraph_start >= 1 for r in rows)
 
 
 def test_stream_ingest_equals_batch(spark, tmp_path):
