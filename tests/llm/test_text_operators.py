@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_operators import FOLDER, ROWS, same, slow_near, slow_shingles, slow_similar
+from test_operators import FOLDER, ROWS, same, slow_near
 
 from docketlake.llm import collocations, fill_middle, line_dedup, similar, simhash
 from docketlake.llm.common import table
@@ -242,36 +242,10 @@ def crowd(n, words=400, changed=5, seed=1):
         yield i, " ".join(other)
 
 
-def rows_written(monkeypatch, spark, rows):
-    """Rows of each table that the near stage writes, and what it keeps."""
-    sizes = collections.Counter()
-    real = similar.written
-
-    def counting(df, name, *parted):
-        out = real(df, name, *parted)
-        sizes[name] += out.count()
-        return out
-
-    monkeypatch.setattr(similar, "written", counting)
-    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).count()
-    monkeypatch.setattr(similar, "written", real)
-    return sizes, kept
-
-
-def test_a_crowd_below_the_threshold_is_not_multiplied_out(spark, monkeypatch):
-    found = {n: rows_written(monkeypatch, spark, list(crowd(n))) for n in (100, 400)}
-    grown = sum(found[400][0].values()) / sum(found[100][0].values())
-    assert grown < 6, found
-    for n, (_, kept) in found.items():
-        sets = [slow_shingles(t) for _, t in crowd(n)] if n == 100 else None
-        assert sets is None or kept == len(set(slow_similar(sets).values()))
-
-
 @pytest.mark.parametrize("words,changed", [(400, 4), (90, 2)])
 def test_crowds_around_the_threshold_equal_brute_force(spark, monkeypatch, words, changed):
     rows = list(crowd(70, words, changed, seed=words + changed)) + [(1000 + i, t + " tail") for i, t in crowd(20, words, changed, seed=words + changed)]
     wanted = {i for _, i in slow_near(rows)}
     monkeypatch.setattr(similar, "BLOCK_SETS", 16)
-    monkeypatch.setattr(similar, "FEW_PAIRS", 0)  # every pair is decided among the sets of a crowd
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.deduplicate(made).collect()} == wanted
