@@ -46,24 +46,29 @@ _SPAN = "struct<start:int,rank:int,end:int,kind:string>"
 _FOUND = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
 
-def _plain_sums(values: Column) -> Column:
+def _plain_runs(values: Column, step: Callable[[Column, Column], Column]) -> Column:
     start = F.array().cast("array<int>")
-    return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x)))
+    return F.aggregate(values, start, lambda acc, x: F.concat(acc, F.array(step(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)), x))))
 
 
-def running_sums(values: Column) -> Column:
-    """Sums up to and including each element; block by block, so that long arrays aren't copied for each element."""
+def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Fold of each element and all before it, from zero; block by block, so that long arrays aren't copied for each element."""
     def joined(parts: Column) -> Column:
-        tops = F.concat(F.array(F.lit(0)), _plain_sums(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1)))))
-        return bind(tops, lambda t: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: x + F.get(t, i)))))
+        tops = F.concat(F.array(F.lit(0)), _plain_runs(F.transform(parts, lambda p: F.try_element_at(p, F.lit(-1))), step))
+        return bind(tops, lambda t: F.flatten(F.transform(parts, lambda p, i: F.transform(p, lambda x: step(F.get(t, i), x)))))
 
     def blocks(v: Column) -> Column:
         starts = F.filter(F.sequence(F.lit(0), F.size(v), F.lit(_BLOCK)), lambda s: s < F.size(v))
-        return F.transform(starts, lambda s: _plain_sums(F.slice(v, s + 1, _BLOCK)))
+        return F.transform(starts, lambda s: _plain_runs(F.slice(v, s + 1, _BLOCK), step))
 
     return bind(values, lambda v: bind(blocks(v), joined))
 
 
+def running_sums(values: Column) -> Column:
+    """Sums up to and including each element."""
+    return running(values, lambda a, b: a + b)
+
+
 def located(text: Column, pattern: str, gate: Column) -> Column:
     """Leftmost matches that don't overlap, with positions in code points (end exclusive) and the text around them."""
     def build(p: Column) -> Column:
@@ -235,25 +240,50 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                         F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_spans").alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents with each span replaced by its kind in angle brackets; overlapping spans become one."""
-    model, text = fit(docs, id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"))
-    found = _with_spans(own, F.col("_text"), model)
+def _joined_spans(found: DataFrame) -> DataFrame:
+    """Add _joined: spans that overlap become one, which has the kind of the first.
+
+    A span opens a new one where it starts at or after the largest end before it.
+    """
+    ends = running(F.transform("_spans", lambda s: s["end"]), F.greatest)
+    opens = lambda s, i: (i == 0) | (F.get("_ends", i - 1) <= s["start"])
+    first = F.filter(F.transform("_spans", lambda s, i: F.when(opens(s, i), i)), lambda i: i.isNotNull())
+
+    def one(h: Column, j: Column) -> Column:
+        last = F.coalesce(F.get("_first", j + 1), F.size("_spans")) - 1
+        return F.struct(F.get("_spans", h)["start"].alias("start"), F.get("_ends", last).alias("end"), F.get("_spans", h)["kind"].alias("kind"))
 
-    def extend(acc: Column, s: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        longer = F.struct(last["start"].alias("start"), last["rank"].alias("rank"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        return F.when((F.size(acc) > 0) & (last["end"] > s["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer))).otherwise(F.concat(acc, F.array(s)))
+    return found.withColumn("_ends", ends).withColumn("_first", first).withColumn("_joined", F.transform("_first", one))
 
-    merged = F.aggregate("_spans", F.array().cast(f"array<{_SPAN}>"), extend)
 
-    def rebuilt(m: Column) -> Column:
+def _rebuilt(text: Column) -> Column:
+    """The text with each span of _joined replaced by its kind.
+
+    A substring is found by counting characters from the beginning.  So the text is cut into
+    about as many parts as a part has spans, and the spans are looked up in their part.
+    """
+    size = F.ceil(F.sqrt(F.size("_joined"))).cast("int")
+    end = lambda i: F.coalesce(F.get("_joined", i - 1)["end"], F.lit(0))
+
+    def part(k: Column) -> Column:
+        base, spans = end(k * size), F.slice("_joined", k * size + 1, size)
+        return F.struct(base.alias("base"), spans.alias("spans"), F.substring(text, base + 1, end(F.least((k + 1) * size, F.size("_joined"))) - base).alias("text"))
+
+    def replaced(p: Column) -> Column:
         def piece(s: Column, i: Column) -> Column:
-            done = F.when(i > 0, F.get(m, i - 1)["end"]).otherwise(0)
-            return F.concat(F.substring(F.col("_text"), done + 1, s["start"] - done), F.lit("<"), s["kind"], F.lit(">"))
+            done = F.coalesce(F.get(p["spans"], i - 1)["end"], p["base"])
+            return F.concat(F.substring(p["text"], done - p["base"] + 1, s["start"] - done), F.lit("<"), s["kind"], F.lit(">"))
+
+        return F.array_join(F.transform(p["spans"], piece), "")
 
-        return F.concat(F.array_join(F.transform(m, piece), ""), F.substring(F.col("_text"), F.try_element_at(m, F.lit(-1))["end"] + 1, F.length("_text")))
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size("_joined") - 1) / size).cast("int")), part)
+    return F.concat(F.array_join(F.transform(parts, replaced), ""), F.substring(text, end(F.size("_joined")) + 1, F.length(text)))
 
-    new = F.when(F.size("_spans") > 0, bind(merged, rebuilt)).otherwise(F.col("_row")[text_col])
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with each span replaced by its kind in angle brackets; overlapping spans become one."""
+    model, text = fit(docs, id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    own = docs.select(F.struct(*docs.columns).alias("_row"), text.alias("_text"))
+    found = _joined_spans(_with_spans(own, F.col("_text"), model))
+    new = F.when(F.size("_joined") > 0, _rebuilt(F.col("_text"))).otherwise(F.col("_row")[text_col])
     return found.select(*[(new if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns])
