@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.text import rounded
 from ..functions import rules
 from ..operators import metrics
+from ..session import checkpoint_dir
 from ..sources import files, stores
 from ..sources.tables import load_table, owned
 from . import standins as st
@@ -96,6 +99,19 @@ def a8(spark, folder):
 _SNAP = "SELECT event_type AS snapshot_type, CAST(user_id AS STRING) AS case_key, ts AS computed_at, event_id, value FROM {events}"
 
 
+@query("a8_table_of_versions", """WITH n AS (SELECT d.doc_id, 'reprocessed' AS source, d.n_chars + l.quality AS n_chars FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 0)
+SELECT doc_id, source, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT * FROM n""")
+def a8_versions(spark, folder):
+    """Documents, then a version with those labelled harmless anew, in which the toxic ones go; compacted and read again."""
+    docs, labels = load_table(spark, folder, "documents"), load_table(spark, folder, "labels")
+    base = f"{checkpoint_dir(spark)}/versions/{uuid.uuid4().hex}"
+    new = docs.join(labels.filter("toxic = 0"), "doc_id").select("doc_id", F.lit("reprocessed").alias("source"), (F.col("n_chars") + F.col("quality")).alias("n_chars"))
+    stores.append_version(spark, docs.select("doc_id", "source", "n_chars"), f"{base}/all", ["doc_id"])
+    stores.append_version(spark, new, f"{base}/all", ["doc_id"], replaced=labels)
+    stores.compact_versions(spark, f"{base}/all", f"{base}/compact", ["doc_id"])
+    return stores.newest_rows(spark, f"{base}/compact", ["doc_id"])
+
+
 @query("a9_newest_snapshot", f"""WITH s AS (SELECT * FROM ({D(_SNAP)}) WHERE computed_at BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00')
 SELECT snapshot_type, case_key, event_id, value FROM s QUALIFY computed_at = max(computed_at) OVER (PARTITION BY snapshot_type, case_key)""")
 def a9(spark, folder):

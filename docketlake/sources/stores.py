@@ -25,7 +25,8 @@ def save_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[st
 
     Choose ``buckets`` so that a batch touches few of them; a table keeps the number it was begun
     with.  The rebalance hint groups the rows by bucket for writing and splits a bucket that is
-    too large for one task.
+    too large for one task.  A batch of many keys touches all buckets; ``append_version`` costs
+    no more than the batch.
     """
     bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int").alias("bucket")
     fresh = new.select("*", bucket)
@@ -40,6 +41,51 @@ def save_replacing(spark: SparkSession, new: DataFrame, path: str, keys: list[st
     fresh.hint("rebalance", "bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
+def newest_version(spark: SparkSession, path: str) -> int:
+    """Number of the last finished version of a table of versions, 0 if there is none."""
+    keys = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/keys")
+    fs = keys.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [f.getPath().getName().removeprefix("version=") for f in fs.listStatus(keys)] if fs.exists(keys) else []
+    return max((int(n) for n in found if n.isdigit() and exists(spark, f"{keys}/version={n}/_SUCCESS")), default=0)
+
+
+def append_version(spark: SparkSession, new: DataFrame, path: str, keys: list[str], replaced: DataFrame | None = None) -> int:
+    """``replace_by_key`` on disk at the cost of the batch alone; returns the number of its version.
+
+    The rows go into a folder of their own, then the keys they replace (those of ``new`` and of
+    ``replaced``), which makes the version a finished one.  Nothing older is touched: a version
+    that broke off is not seen by ``newest_rows`` and is overwritten by the next one, and a batch
+    that comes again replaces its own keys.  One writer at a time; the columns stay the same.
+    """
+    n = newest_version(spark, path) + 1
+    rows = f"{path}/rows/version={n}"
+    new.write.mode("overwrite").parquet(rows)
+    gone = spark.read.schema(new.schema).parquet(rows).select(*keys)
+    gone = gone if replaced is None else gone.unionByName(replaced.select(*keys))
+    gone.distinct().write.mode("overwrite").parquet(f"{path}/keys/version={n}")
+    return n
+
+
+def newest_rows(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The rows of each key's newest version; null is a key like others.  A table of one version needs no join."""
+    n = newest_version(spark, path)
+    if n == 0:
+        raise ValueError(f"no finished version in {path}")
+    rows = spark.read.parquet(f"{path}/rows").filter(F.col("version") <= n)
+    if n == 1:
+        return rows.drop("version")
+    last = spark.read.parquet(f"{path}/keys").filter(F.col("version") <= n).groupBy(*keys).agg(F.max("version").alias("version"))
+    same = [rows[k].eqNullSafe(last[k]) for k in keys]
+    return rows.join(last, functools.reduce(lambda a, b: a & b, same, rows["version"] == last["version"]), "left_semi").drop("version")
+
+
+def compact_versions(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
+    """The newest rows as a table of one version in the new folder ``target``; ``path`` stays as it is."""
+    if exists(spark, target):
+        raise ValueError(f"{target} is there already")
+    append_version(spark, newest_rows(spark, path, keys), target, keys)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

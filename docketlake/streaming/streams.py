@@ -20,7 +20,7 @@ from ..operators.cleaning import clean_documents
 from ..operators.scale import spread
 from ..sources.files import decode_files
 from ..session import cut_lineage, ship_package
-from ..sources.stores import exists, save_replacing
+from ..sources.stores import append_version, exists, save_replacing
 from ..sources.tables import SCHEMAS
 
 _FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -51,21 +51,26 @@ def ingest_batch(documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> D
     return chunk_documents(usable, select_strategy(F.col("category")), text="usable", limits=limits)
 
 
-def stream_ingest(documents: DataFrame, chunk_path: str, checkpoint: str, limits: ChunkLimits = ChunkLimits()) -> StreamingQuery:
+def stream_ingest(documents: DataFrame, chunk_path: str, checkpoint: str, limits: ChunkLimits = ChunkLimits(),
+                  versions: bool = False) -> StreamingQuery:
     """documents (doc_id, text, category) -> chunk table; a document that comes again replaces its chunks.
 
     All keys of a batch are replaced, so a new version without chunks (empty or refused) leaves no
     old ones.  Of several versions of a document in one batch one is taken: the largest ``version``
     if there is such a column, else the largest text.  Replaying a batch after a failure writes the
     same rows again, so the table stays right.
+
+    With ``versions`` each batch adds a version of its own, to be read with ``stores.newest_rows``,
+    and costs the same however large the table is; without, buckets are rewritten in place.
     """
+    save = append_version if versions else save_replacing
 
     def write(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
             order = F.struct(*[c for c in ("version", "text", "category") if c in batch.columns])
             rest = [c for c in batch.columns if c != "doc_id"]
             newest = cut_lineage(batch.groupBy("doc_id").agg(F.max_by(F.struct(*rest), order).alias("_d")).select("doc_id", "_d.*"))
-            save_replacing(batch.sparkSession, ingest_batch(spread(newest, "doc_id"), limits), chunk_path, ["doc_id"], replaced=newest)
+            save(batch.sparkSession, ingest_batch(spread(newest, "doc_id"), limits), chunk_path, ["doc_id"], replaced=newest)
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -220,6 +220,31 @@ def test_replacing_takes_the_keys_of_the_batch(spark, tmp_path):
     assert spark.read.schema("doc_id long, v string").option("recursiveFileLookup", "true").parquet(path).count() == 0
 
 
+def test_versions(spark, tmp_path):
+    path, shape = str(tmp_path / "t"), "doc_id long, v string"
+    df = lambda rows: spark.createDataFrame(rows, shape)
+    now = lambda p=path: sorted(((r.doc_id, r.v) for r in stores.newest_rows(spark, p, ["doc_id"]).collect()), key=str)
+    with pytest.raises(ValueError):
+        now()
+    assert stores.append_version(spark, df([(1, "a"), (1, "b"), (2, "c"), (None, "n")]), path, ["doc_id"]) == 1
+    assert now() == [(1, "a"), (1, "b"), (2, "c"), (None, "n")]
+    first = {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("version=1/*")}
+    stores.append_version(spark, df([(1, "new"), (3, "d"), (None, "m")]), path, ["doc_id"])
+    assert now() == [(1, "new"), (2, "c"), (3, "d"), (None, "m")]
+    stores.append_version(spark, df([]), path, ["doc_id"], replaced=df([(2, None), (9, None)]))
+    assert now() == [(1, "new"), (3, "d"), (None, "m")]
+    df([(1, "broken off"), (7, "x")]).write.parquet(f"{path}/rows/version=4")  # no keys: not finished
+    assert now() == [(1, "new"), (3, "d"), (None, "m")]
+    for _ in range(2):  # a batch that comes again
+        stores.append_version(spark, df([(3, "last")]), path, ["doc_id"])
+        assert now() == [(1, "new"), (3, "last"), (None, "m")]
+    assert first == {p: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("version=1/*")}
+    stores.compact_versions(spark, path, path + "2", ["doc_id"])
+    assert now(path + "2") == now() and stores.newest_version(spark, path + "2") == 1
+    with pytest.raises(ValueError):
+        stores.compact_versions(spark, path, path + "2", ["doc_id"])
+
+
 def test_long_path(spark):
     n = 66
     edges = spark.createDataFrame([(f"n{i}", f"n{i + 1}", i) for i in range(n)], "src string, dst string, edge_id long").coalesce(1)
