@@ -11,7 +11,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketlake.operators import chunking, entities, graph, jobs, reasoning, scale, timeline, vectors
-from docketlake.sources import stores
 from docketlake.streaming import streams
 
 
@@ -221,19 +220,6 @@ def test_stream_ingest_leaves_no_old_chunks(spark, tmp_path):
     assert {r.doc_id for r in left} == {3} and all("New words" in r.text and "Old" not in r.text for r in left)
 
 
-def test_stream_ingest_in_versions(spark, tmp_path):
-    """The same rows as the last state of the documents in one batch: a new, a changed and an emptied one."""
-    src, out, ckpt, shape = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt"), "doc_id long, text string, category string"
-    text = lambda w: f"A sentence of the {w} version that is long enough to stay. " * 4
-    last = [(1, text("second"), "text"), (2, "", "text"), (3, text("only"), "text")]
-    for rows in ([(1, text("first"), "text"), (2, text("first"), "text")], last):
-        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(src)
-        streams.stream_ingest(spark.readStream.schema(shape).parquet(src), out, ckpt, versions=True).awaitTermination()
-    got = stores.newest_rows(spark, out, ["doc_id"])
-    assert {r.doc_id for r in got.select("doc_id").collect()} == {1, 3}
-    same(got, streams.ingest_batch(spark.createDataFrame(last, shape)))
-
-
 def test_job_state_table_takes_late_rows(spark, tmp_path):
     src, out, ckpt = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ckpt")
     shape = "job_id long, log_id long, status string, progress int, step string, created_at timestamp"
