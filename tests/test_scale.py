@@ -60,6 +60,13 @@ def test_containing_is_brute_force(spark):
     assert got == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[2] in b[2]}
 
 
+def test_merged_notes_broadcast_no_pieces(spark):
+    rows = [(1, i, datetime(2024, 1, 1), "first hearing", f"Notice {i % 9} served on party {i}") for i in range(200)]
+    notes = timeline.merged_notes(spark.createDataFrame(rows, "case_id int, event_id int, event_date timestamp, title string, description string"))
+    assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
+    assert notes.count() == 199
+
+
 def test_merged_notes_follow_the_sequential_rule(spark):
     rng = random.Random(4)
     rows = [(1, i, "Notice served today", rng.choice(["served on A", "served on A and B", "on A", "nothing", "served", "B"])) for i in range(40)]
