@@ -27,11 +27,11 @@ _FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, files_per_batch: int | None = None) -> DataFrame:
-    """A table of Parquet files as a stream; timestamps become instants for watermarks."""
-    reader = spark.readStream.schema(SCHEMAS[name]).option("pathGlobFilter", f"{name}*.parquet")
+    """A table as a stream: Parquet files, or folders of them, whose name begins with the table's; timestamps become instants for watermarks."""
+    reader = spark.readStream.schema(SCHEMAS[name])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    df = reader.parquet(folder)
+    df = reader.parquet(f"{folder}/{name}*.parquet")
     for f in df.schema.fields:
         if f.dataType.typeName() == "timestamp_ntz":
             df = df.withColumn(f.name, F.col(f.name).cast("timestamp"))
@@ -45,9 +45,13 @@ def stream_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> Da
 
 
 def ingest_batch(documents: DataFrame, limits: ChunkLimits = ChunkLimits()) -> DataFrame:
-    """Clean, refuse damaged texts, pick a strategy, chunk: one step for batch and stream."""
+    """Clean, refuse damaged texts, pick a strategy, chunk: one step for batch and stream.
+
+    The cleaned texts are stored in between: inlined into the chunker, the cleaning chain would be worked out again
+    wherever a text is named.
+    """
     cleaned = clean_documents(documents)
-    usable = cleaned.select("doc_id", "category", F.when(F.col("reject_reason").isNull(), F.col("cleaned")).alias("usable"))
+    usable = cut_lineage(cleaned.select("doc_id", "category", F.when(F.col("reject_reason").isNull(), F.col("cleaned")).alias("usable")))
     return chunk_documents(usable, select_strategy(F.col("category")), text="usable", limits=limits)
 
 

@@ -196,6 +196,20 @@ def test_chunks_cover_every_sentence(spark):
             assert [r.chunk_index for r in rows] == list(range(len(rows))) and all(r.page_end >= r.page_start >= 1 and r.paragraph_end >= r.paragraph_start >= 1 for r in rows)
 
 
+def test_stream_table_reads_a_folder_of_parts(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "text", "en", "s", 4) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows.repartition(3).write.parquet(str(tmp_path / "in" / "documents.parquet"))
+    docs = streams.stream_table(spark, str(tmp_path / "in"), "documents")
+    assert sorted(r.doc_id for r in streams.run_append(docs, str(tmp_path / "out"), str(tmp_path / "ckpt")).collect()) == list(range(20))
+
+
+def test_ingest_batch_chunks_stored_texts(spark):
+    docs = spark.createDataFrame([(1, "One short sentence. " * 40, "text")], "doc_id long, text string, category string")
+    batch = streams.ingest_batch(docs)
+    assert len(batch._jdf.queryExecution().optimizedPlan().toString()) < 200_000 and "Scan ExistingRDD" in batch._jdf.queryExecution().executedPlan().toString()
+    assert batch.select("doc_id").distinct().count() == 1
+
+
 def test_stream_ingest_equals_batch(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()
