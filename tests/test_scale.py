@@ -196,6 +196,23 @@ def test_chunks_cover_every_sentence(spark):
             assert [r.chunk_index for r in rows] == list(range(len(rows))) and all(r.page_end >= r.page_start >= 1 and r.paragraph_end >= r.paragraph_start >= 1 for r in rows)
 
 
+def test_paths_of_many_pairs_meet_either_way(spark, monkeypatch):
+    monkeypatch.setattr(graph, "COMPONENTS_FROM", 0)
+    # Two rings of eight with a chord each; the pairs cross them too.
+    links = [(8 * r + i, 8 * r + (i + 1) % 8) for r in (0, 1) for i in range(8)] + [(0, 4), (8, 12)]
+    edges = spark.createDataFrame([(a, b, i) for i, (a, b) in enumerate(links)], "src long, dst long, edge_id long")
+    near = {n: {b for a, b in links if a == n} | {a for a, b in links if b == n} for n in range(16)}
+    want = set()
+    for start in (0, 2, 9):
+        hops, front = {start: 0}, [start]
+        while front:
+            front = [m for n in front for m in sorted(near[n]) if m not in hops and hops.setdefault(m, hops[n] + 1)]
+        want |= {(start, n, h) for n, h in hops.items()}
+    pairs = spark.createDataFrame([(a, b) for a in (0, 2, 9) for b in range(16)], "start long, end long")
+    got = {tuple(r) for r in graph.shortest_paths(edges, pairs).select("start", "end", "hops").distinct().collect()}
+    assert got == want
+
+
 def test_stream_table_reads_a_folder_of_parts(spark, tmp_path):
     rows = spark.createDataFrame([(i, "text", "en", "s", 4) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
     rows.repartition(3).write.parquet(str(tmp_path / "in" / "documents.parquet"))
