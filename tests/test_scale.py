@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketlake.operators import chunking, entities, graph, jobs, reasoning, scale, timeline, vectors
+from docketlake.operators import chunking, entities, graph, jobs, knowledge, reasoning, scale, timeline, vectors
 from docketlake.streaming import streams
 
 
@@ -288,3 +288,16 @@ def test_job_state_equals_fold(spark):
     logs = spark.createDataFrame([(1, 1, 5, "queued", 0, "a"), (1, 2, 9, "running", 130, "b"), (2, 3, 7, "failed", -5, "c")],
                                  "job_id long, log_id long, t long, status string, progress int, step string").withColumn("created_at", F.timestamp_seconds("t"))
     same(streams.job_state(logs).select("job_id", "status", "progress", "step", "log_id"), jobs.fold_job_log(logs).select("job_id", "status", "progress", "step", "log_id"))
+
+
+def test_edges_of_deals_tasks_by_edges(spark, monkeypatch):
+    """The edges of one large block, from few nodes, lie in many tasks."""
+    monkeypatch.setattr(knowledge, "EDGES_AT_ONCE", 200)
+    items = [(f"{t}{i}", case, "entity", t, "name", None, i) for case, n in (("a", 60), ("b", 3)) for t in ("judge", "court", "advocate", "party") for i in range(n)]
+    items = spark.createDataFrame([(f"{r[1]}{r[0]}", *r[1:]) for r in items], "item_id string, case_id string, kind string, type string, text string, role string, doc_id int")
+    edges = knowledge.edges_of(knowledge.relation_sides(items), items.filter("doc_id % 2 = 0"))
+    rows = edges.select("case_id", "relation", "source_id", "target_id", F.spark_partition_id().alias("p")).collect()
+    got = sorted(tuple(r)[:4] for r in rows)
+    assert got == sorted((c, rel, f"{c}{a}{i}", f"{c}{b}{j}") for c, n in (("a", 60), ("b", 3)) for rel, a, b in (("HEARD_BY", "judge", "court"), ("REPRESENTS", "advocate", "party"))
+                         for i in range(0, n, 2) for j in range(n))
+    assert max(collections.Counter(r.p for r in rows).values()) < len(rows) / 4
