@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import bind, clamp, contains_any, rounded, squeeze, strip
+from ..session import bound_batches
 from .scale import first_by, last_by, running_sum, top_per_key
 
 # ---- embedding --------------------------------------------------------------------------------
@@ -42,6 +43,7 @@ def letter_counts(texts: pd.Series) -> np.ndarray:
 def embed_chunks(df: DataFrame, model: Callable[[pd.Series], np.ndarray], dim: int, id: str = "doc_id",
                  text: str = "text", batch: int = 16) -> DataFrame:
     """Run any batch model over the texts; a wrong vector length fails the task."""
+    bound_batches(df.sparkSession)
     id_type = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -119,6 +121,7 @@ def vector_search(queries: DataFrame, vectors: DataFrame, k: int | str, threshol
     blocks and met with blocks of vectors; each pair of blocks is one matrix product.
     Neither way writes out the pairs that are not among a task's k best.
     """
+    bound_batches(vectors.sparkSession)
     plan = queries
     own = [owner] if owner else []
     vectors = vectors.filter(must(filters)).select(vid, vec, *own)

@@ -301,3 +301,9 @@ def test_edges_of_deals_tasks_by_edges(spark, monkeypatch):
     assert got == sorted((c, rel, f"{c}{a}{i}", f"{c}{b}{j}") for c, n in (("a", 60), ("b", 3)) for rel, a, b in (("HEARD_BY", "judge", "court"), ("REPRESENTS", "advocate", "party"))
                          for i in range(0, n, 2) for j in range(n))
     assert max(collections.Counter(r.p for r in rows).values()) < len(rows) / 4
+
+
+def test_models_and_searches_see_small_batches(spark):
+    """A task holds a batch of texts and its matrix of scores, so both are bounded."""
+    seen = vectors.embed_chunks(spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1), lambda t: np.full((len(t), 1), len(t)), 1, batch=10**6)
+    assert seen.selectExpr("max(embedding[0])").first()[0] <= 1000
