@@ -44,7 +44,9 @@ SCALE = 2_000_000
 #: A candidate goes if a longer one has at least COVERED / 5 of its count.
 COVERED = 4
 #: Bytes of text that are turned into words at a time.
-SLICE_BYTES = 1 << 23
+SLICE_BYTES = 1 << 21
+#: Texts of all languages together that wait to be joined.
+WAITING_BYTES = 1 << 23
 #: The first K, as a multiple of TOP, and its growth from round to round.
 FIRST, GROWTH = 2, 8
 
@@ -64,9 +66,9 @@ def slices(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[st
 
     A longer text is cut between words; each part begins with the last words of the one before.
     """
+    waiting: dict[str, list[bytes]] = {}
+    sizes: dict[str, int] = {}
     for b in batches:
-        waiting: dict[str, list[bytes]] = {}
-        sizes: dict[str, int] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text"), strict=True):
             raw = text.as_py().encode()
             if len(raw) > SLICE_BYTES:
@@ -76,9 +78,13 @@ def slices(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[tuple[st
             sizes[lang] = sizes.get(lang, 0) + len(raw) + 1
             if sizes[lang] >= SLICE_BYTES:
                 yield lang, np.frombuffer(b"\n".join(waiting.pop(lang)), np.uint8), 0
-                sizes[lang] = 0
-        for lang, found in waiting.items():
-            yield lang, np.frombuffer(b"\n".join(found), np.uint8), 0
+                del sizes[lang]
+        if sum(sizes.values()) >= WAITING_BYTES:
+            for lang in list(waiting):
+                yield lang, np.frombuffer(b"\n".join(waiting.pop(lang)), np.uint8), 0
+            sizes.clear()
+    for lang in list(waiting):
+        yield lang, np.frombuffer(b"\n".join(waiting.pop(lang)), np.uint8), 0
 
 
 def parts(raw: bytes, longest: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -103,7 +109,7 @@ def word_places(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def read_words(text: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The different words, the code of each word, and the number of the piece it lies in."""
     first, last = word_places(text)
-    piece = np.cumsum(_BREAK[text])[first] if len(first) else np.zeros(0, np.int64)
+    piece = np.searchsorted(np.flatnonzero(_BREAK[text]), first)
     inside = ~(_BREAK[text] | _BLANK[text])
     offsets = np.append(0, np.cumsum(last - first)).astype(np.int32)
     words = pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(_LOWER[text[inside]]))

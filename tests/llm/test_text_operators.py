@@ -249,3 +249,10 @@ def test_crowds_around_the_threshold_equal_brute_force(spark, monkeypatch, words
     monkeypatch.setattr(similar, "BLOCK_SETS", 16)
     made = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"] for r in simhash.deduplicate(made).collect()} == wanted
+
+
+def test_slices_gather_over_small_batches():
+    """Batches are smaller than slices; what waits is bounded over all languages."""
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b", "c"]}) for _ in range(50)]
+    found = list(collocations.slices(iter(batches), 4))
+    assert sorted((lang, len(text)) for lang, text, _ in found) == [("de", 99), ("en", 199)]
