@@ -222,10 +222,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The document with the smallest id of each component, with all its columns; of rows equal in id and text one stays.
 
-    Components are those of ``similar``: texts are linked when the Jaccard similarity of their
-    five-word shingles is at least 0.8.  The radius and shingles of ``near_duplicates`` play no part.
+    Texts are linked when the Jaccard similarity of their five-word shingles is at least 0.8: first
+    those whose fingerprints over these shingles ``close_links`` finds, if the shingles confirm them,
+    then all pairs of different components that the radius does not reach (``similar``).
     """
-    found = _named(*marks_and_links(docs, id_col, text_col, components)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    found = _named(*marks_and_links(docs, id_col, text_col, components, close_links)).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # A component may hold several texts under its smallest id.
     kept = found.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
     rows = found.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("_rows"))

@@ -2,7 +2,9 @@
 
 Similar means a Jaccard similarity of SHARE / OF or more over different shingles of SHINGLE_WORDS
 words.  At that similarity fingerprints of 64 bits differ in about ten bits, so that no radius
-keeps all pairs; candidates are found by a bound that holds for every pair instead:
+keeps all pairs.  SimHash comes first: fingerprints of the same shingles are linked by bit planes
+(``simhash.close_links``), and links that the shingles of both confirm make components.  Between
+different components, candidates are found by a bound that holds for every pair:
 
 1. Shingles have one global order.  Two similar sets share one of the first n / 5 + 1 shingles of
    each (n: size of the set), so sets that meet on none of these are never compared.  Shingles
@@ -63,6 +65,14 @@ def set_id(found: np.ndarray) -> int:
     return int(np.uint64(xxh64_intdigest(found.tobytes())).view(np.int64))
 
 
+def simhash(found: np.ndarray) -> int:
+    """64 bits; a bit is set when more than half of the different shingles have it.  No shingles: 0."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(found), 8192):
+        counts += np.unpackbits(found[i:i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(found), bitorder="little").view("<i8")[0])
+
+
 def sketch(found: np.ndarray) -> bytes:
     """Parity of the number of shingles per value of their upper bits; a power of two of bits, at least as many as shingles."""
     width = max(SKETCH_BITS.bit_length() - 1, len(found).bit_length())
@@ -119,9 +129,9 @@ def _marks(frequent) -> Callable:
         late, rank = frequent.value
         for b, found in _slices(batches):
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("text_hash"), pa.array(map(set_id, found), pa.int64()), pa.array(map(len, found), pa.int64()),
+                [b.column("doc_id"), b.column("text_hash"), pa.array(map(set_id, found), pa.int64()), pa.array(map(len, found), pa.int64()), pa.array(map(simhash, found), pa.int64()),
                  pa.array(map(sketch, found), pa.binary()), _longs([prefix(f, late, rank) for f in found])],
-                ["doc_id", "text_hash", "fp", "n", "sketch", "prefix"])
+                ["doc_id", "text_hash", "fp", "n", "print", "sketch", "prefix"])
 
     return run
 
@@ -161,11 +171,12 @@ def _candidates(stars: bool) -> Callable:
                 rest = np.arange(s, e)
                 while len(rest) > 1:
                     i, rest = rest[0], rest[1:]
-                    near = _close(n, bits, i, rest) & (root[rest] != root[i])
+                    apart = root[rest] != root[i]
+                    near = _close(n, bits, i, rest) & apart
                     right.append(rest[near])
                     left.append(np.full(len(right[-1]), i))
                     if stars:
-                        rest = rest[~near]
+                        rest = rest[~near & apart]
             left, right = np.concatenate(left), np.concatenate(right)
             for at in range(0, len(left), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(fp[left[at:at + (1 << 16)]]), pa.array(fp[right[at:at + (1 << 16)]])], ["a", "b"])
@@ -220,24 +231,47 @@ def _similar(rows: DataFrame, first: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(both.filter((OF + SHARE) * shared >= SHARE * (F.size("_a") + F.size("_b"))).select("a", "b"), "similar")
 
 
-def marks_and_links(docs: DataFrame, id_col: str, text_col: str, components: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _print_links(first: DataFrame, close_links: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Pairs (a, b) of sets with a < b: those of one fingerprint with its smallest, and the smallest of fingerprints that link."""
+    prints = written(first.groupBy("print").agg(F.min("fp").alias("head")), "prints")
+    same = first.join(prints, "print").filter("fp <> head").select(F.col("fp").alias("x"), F.col("head").alias("y"))
+    near = written(close_links(prints.select(F.col("print").alias("fp"))), "close-prints")
+    for end, name in (("a", "x"), ("b", "y")):
+        near = near.join(prints.select(F.col("print").alias(end), F.col("head").alias(name)), end)
+    return written(same.unionByName(near.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "print-links")
+
+
+def _rooted(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    return sets.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _of_several(members: DataFrame) -> DataFrame:
+    """Buckets that hold sets of different components, with their sizes."""
+    return members.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "_n")
+
+
+def marks_and_links(docs: DataFrame, id_col: str, text_col: str, components: Callable[[DataFrame], DataFrame],
+                    close_links: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows with the identifier ``fp`` of their set of shingles; the smallest id per set; (node, root) of each set that is linked with others."""
     sc = docs.sparkSession.sparkContext
     rows = texts(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
     frequent = sc.broadcast(_frequent(rows))
-    marked = written(rows.mapInArrow(_marks(frequent), "doc_id long, text_hash long, fp long, n long, sketch binary, prefix array<long>"), "shingle-marks")
-    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.min("text_hash").alias("_text"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "different-sets")
+    marked = written(rows.mapInArrow(_marks(frequent), "doc_id long, text_hash long, fp long, n long, print long, sketch binary, prefix array<long>"), "shingle-marks")
+    first = written(marked.groupBy("fp").agg(F.min("doc_id").alias("_first"), F.min("text_hash").alias("_text"), F.first("n").alias("n"), F.first("print").alias("print"),
+                                                F.first("sketch").alias("sketch")), "different-sets")
+    # SimHash, then what its radius does not reach.
+    close = _similar(rows, first, _print_links(first, close_links))
+    roots = components(close)
     crowd = written(marked.select(F.explode("prefix").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("key"), "meeting-shingles")
     wanted = sc.broadcast(bit_set(crowd, "key"))
     meeting = marked.select("fp", "n", "sketch", "prefix").mapInArrow(_meeting(wanted), "key long, fp long, n long, sketch binary").join(crowd, "key")
-    members = written(meeting.groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "meeting-sets")
-    keys = written(members.groupBy("key").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"), "buckets")
-    stars = written(_pairs(members.withColumn("root", F.col("fp")), keys, True), "star-pairs")
-    links = _similar(rows, first, stars)
+    members = written(_rooted(meeting.groupBy("key", "fp").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), roots), "meeting-sets")
+    stars = written(_pairs(members, written(_of_several(members), "buckets"), True), "star-pairs")
+    links = close.unionByName(_similar(rows, first, stars))
     roots = components(links)
     # Pairs of one bucket that no star decided.
-    labelled = written(members.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "labelled-sets")
-    apart = written(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("_n"), F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("key", "_n"), "open-buckets")
+    labelled = written(_rooted(members.drop("root"), roots), "labelled-sets")
+    apart = written(_of_several(labelled), "open-buckets")
     others = written(_pairs(labelled, apart, False).join(stars, ["a", "b"], "left_anti"), "other-pairs")
     more = _similar(rows, first, others)
     if not more.isEmpty():

@@ -256,3 +256,15 @@ def test_slices_gather_over_small_batches():
     batches = [pa.RecordBatch.from_pydict({"lang": ["en", "de"], "text": ["a b", "c"]}) for _ in range(50)]
     found = list(collocations.slices(iter(batches), 4))
     assert sorted((lang, len(text)) for lang, text, _ in found) == [("de", 99), ("en", 199)]
+
+
+def test_near_copies_are_linked_by_fingerprints(spark, monkeypatch):
+    """Bit planes link near copies without the prefix join, and shingles confirm each link."""
+    base = [f"w{k}" for k in range(600)]
+    rows = [(i, " ".join(base[:300 + i] + [f"new{i}"] * (i > 0) + base[301 + i:])) for i in range(6)] + [(10, "something else altogether here")]
+    monkeypatch.setattr(similar, "_pairs", lambda members, keys, stars: spark.createDataFrame([], "a long, b long"))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.deduplicate(made).collect()}
+    assert {0, 10} <= kept and len(kept) < 5  # some differ in more bits than the radius
+    monkeypatch.setattr(simhash, "close_links", lambda fps: fps.alias("x").crossJoin(fps.alias("y")).selectExpr("x.fp as a", "y.fp as b").filter("a < b"))
+    assert {r["doc_id"] for r in simhash.deduplicate(made).collect()} == {0, 10}
