@@ -33,13 +33,14 @@ from .common import TwoGenerations, texts
 
 MARK = "▁"
 #: Segments of each of two generations that a Python worker remembers; longer ones are composed each time.
-CACHED_SEGMENTS, CACHED_LENGTH = 600_000, 64
+CACHED_SEGMENTS, CACHED_LENGTH = 400_000, 64
 #: The same for the parts of segments.
-CACHED_PARTS = 300_000
+CACHED_PARTS = 200_000
 #: Pairs of pieces whose weight a Python worker remembers.
-CACHED_PAIRS = 2_000_000
+CACHED_PAIRS = 1_000_000
 _START, _BYTES = -1, -2
 _compiled: dict[str, Transducer] = {}
+DECODED = "doc_id long, text_sha256 string, n_tokens long, ids_crc32 long, text string"
 
 
 class Transducer:
@@ -181,6 +182,11 @@ def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
              pa.array([t.decode(r.tolist()) for r in rows], pa.string())], ["doc_id", "text_sha256", "n_tokens", "ids_crc32", "text"])
 
 
+def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Both directions in one Python worker, so that not each core has two workers with the compiled model and its caches."""
+    yield from _decode(_encode(batches, path), path)
+
+
 def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_sha256 and the ids of each text under the SentencePiece model file ``model``.
 
@@ -193,7 +199,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id, text_sha256, n_tokens, ids_crc32 (unsigned, of little-endian 32-bit ids) and the decoded text of rows of ``encode``; null ids give an empty text."""
-    return encoded.select("doc_id", "text_sha256", "ids").mapInArrow(partial(_decode, path=model), "doc_id long, text_sha256 string, n_tokens long, ids_crc32 long, text string")
+    return encoded.select("doc_id", "text_sha256", "ids").mapInArrow(partial(_decode, path=model), DECODED)
 
 
 def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,5 +207,6 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     A text that holds the piece mark itself comes back with a blank in its place.
     """
-    decoded = decode(encode(docs, model, id_col, text_col), model)
+    rows = texts(docs, id_col, text_col).withColumn("text_sha256", F.sha2("text", 256))
+    decoded = rows.mapInArrow(partial(_round_trip, path=model), DECODED)
     return decoded.select("doc_id", "n_tokens", "ids_crc32", "text_sha256", F.sha2("text", 256).alias("decoded_sha256")).withColumn("same", F.col("text_sha256") == F.col("decoded_sha256"))

@@ -379,6 +379,12 @@ def test_sentencepiece(given, docs, awkward):
         assert found.filter("not same").count() == sum("▁" in (t or "") for _, t in rows)
 
 
+def test_round_trip_is_one_python_step(docs):
+    """Two chained steps would hold two workers, each with the model and its caches, per core."""
+    plan = sentencepiece_fst.round_trip(docs, tokenizer_path("piece_bpe_32k.model"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_transducer_on_random_strings():
     from sentencepiece import SentencePieceProcessor
 
