@@ -39,13 +39,16 @@ def _starts(parts: Column, gap: int) -> Column:
 
 def page_offsets(text: str) -> Column:
     """Array of (pos, page) for every page marker; (0, 1) without any."""
-    parts = F.split(F.col(text), r"(?=--- Page \d+ ---)")
-    found = F.filter(
-        F.arrays_zip(_starts(parts, 0).alias("pos"),
-                     F.transform(parts, lambda p: F.regexp_extract(p, r"^--- Page (\d+) ---", 1).try_cast("int")).alias("page")),
-        lambda x: x["page"].isNotNull(),
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.struct(F.lit(0).alias("pos"), F.lit(1).alias("page"))))
+    def found(parts: Column) -> Column:
+        return F.filter(
+            F.arrays_zip(_starts(parts, 0).alias("pos"),
+                         F.transform(parts, lambda p: F.regexp_extract(p, r"^--- Page (\d+) ---", 1).try_cast("int")).alias("page")),
+            lambda x: x["page"].isNotNull(),
+        )
+
+    first = F.array(F.struct(F.lit(0).alias("pos"), F.lit(1).alias("page")))
+    marked = bind(F.split(F.col(text), r"(?=--- Page \d+ ---)"), lambda parts: bind(found(parts), lambda f: F.when(F.size(f) > 0, f).otherwise(first)))
+    return F.when(F.col(text).contains("--- Page "), marked).otherwise(first)  # most texts hold no marker
 
 
 def paragraph_starts(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -89,7 +92,7 @@ def _unit(piece: Column, run: Column, run_end: Column, joiner: str, title: Colum
 
 def _piece(raw: Column, at: Column) -> Column:
     """A part of a text without blanks on its ends, and where it then begins."""
-    return bind(strip(raw), lambda s: F.struct(s.alias("text"), (at + F.length(raw) - F.length(lead(raw))).cast("int").alias("pos"), word_count(s).alias("words"), F.length(s).alias("chars")))
+    return bind(raw, lambda r: bind(strip(r), lambda s: F.struct(s.alias("text"), (at + F.length(r) - F.length(lead(r))).cast("int").alias("pos"), word_count(s).alias("words"), F.length(s).alias("chars"))))
 
 
 def _pieces(parts: Column, gap: int, base: Column) -> Column:

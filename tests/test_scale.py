@@ -3,6 +3,7 @@
 import collections
 import random
 import re
+import time
 from datetime import datetime
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketlake.functions import rules, text
 from docketlake.operators import chunking, entities, graph, jobs, knowledge, reasoning, scale, timeline, vectors
 from docketlake.streaming import streams
 
@@ -307,3 +309,23 @@ def test_models_and_searches_see_small_batches(spark):
     """A task holds a batch of texts and its matrix of scores, so both are bounded."""
     seen = vectors.embed_chunks(spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1), lambda t: np.full((len(t), 1), len(t)), 1, batch=10**6)
     assert seen.selectExpr("max(embedding[0])").first()[0] <= 1000
+
+
+def seconds_of_search(spark, pattern, where):
+    """Number of matches, and the least of several times Java took to find them."""
+    found, taken = spark._jvm.java.util.regex.Pattern.compile(pattern), []
+    for _ in range(6):
+        t = time.perf_counter()
+        n = found.matcher(where).results().count()
+        taken.append(time.perf_counter() - t)
+    return n, min(taken)
+
+
+def test_words_cost_less_than_their_class(spark):
+    """Words are counted several times in each text; the blanks of Unicode are not asked for each letter."""
+    sample = "Der Antrag wurde fristgem\u00e4\u00df gestellt, and the court held otherwise.\u3000\u672a\u5b9a\u2003ok\x1cso\x85on\xa0\U0001f600 x\u1680y\n" * 1000
+    n, plain = seconds_of_search(spark, f"[^{text.BLANKS}]+", sample)
+    again, fast = seconds_of_search(spark, text.WORD, sample)
+    assert n == again == len(sample.split())
+    assert fast < 0.75 * plain
+    assert spark.createDataFrame([(sample,)], "t string").select(text.word_count("t"), F.size(text.words("t"))).first()[:] == (n, n)
