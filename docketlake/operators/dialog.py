@@ -253,6 +253,10 @@ def version_line_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text:
 _CHANGES = "change string, old_line int, new_line int, line string"
 
 
+#: Lines of several documents travel together: a table of its own for each document costs more than its diff.
+DIFF_ROWS = 10_000
+
+
 def ordered_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The way from one version to the other, line by line: (id, step, change, old_line, new_line, line).
 
@@ -263,13 +267,23 @@ def ordered_diff(old: DataFrame, new: DataFrame, id: str = "doc_id", text: str =
     both = old.select(id, F.col(text).alias("_old")).join(new.select(id, F.col(text).alias("_new")), id, "full_outer")
     id_type = old.schema[id].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, a, b in zip(pdf[id], pdf["_old"], pdf["_new"], strict=True):
-                rows = [(key, step, *row) for step, row in enumerate(diff_lines(*(t.split("\n") if isinstance(t, str) else [] for t in (a, b))))]
-                yield pd.DataFrame(rows, columns=[id, "step", "change", "old_line", "new_line", "line"]).astype({"old_line": "Int32", "new_line": "Int32"})
+    return both.mapInPandas(lambda batches: _diff_tables(batches, id), f"{id} {id_type}, step int, {_CHANGES}")
+
+
+def _diff_tables(batches: Iterator[pd.DataFrame], id: str) -> Iterator[pd.DataFrame]:
+    """The diffs of the documents, in tables of about ``DIFF_ROWS`` lines."""
+    def table(rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[id, "step", "change", "old_line", "new_line", "line"]).astype({"old_line": "Int32", "new_line": "Int32"})
 
-    return both.mapInPandas(run, f"{id} {id_type}, step int, {_CHANGES}")
+    for pdf in batches:
+        rows = []
+        for key, a, b in zip(pdf[id], pdf["_old"], pdf["_new"], strict=True):
+            rows += [(key, step, *row) for step, row in enumerate(diff_lines(*(t.split("\n") if isinstance(t, str) else [] for t in (a, b))))]
+            if len(rows) >= DIFF_ROWS:
+                yield table(rows)
+                rows = []
+        if rows:
+            yield table(rows)
 
 
 def diff_lines(old: list[str], new: list[str]) -> Iterator[tuple[str, int | None, int | None, str]]:

@@ -7,12 +7,13 @@ import time
 from datetime import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docketlake.functions import rules, text
-from docketlake.operators import chunking, entities, graph, jobs, knowledge, reasoning, scale, timeline, vectors
+from docketlake.operators import chunking, dialog, entities, graph, jobs, knowledge, reasoning, scale, timeline, vectors
 from docketlake.streaming import streams
 
 
@@ -329,3 +330,9 @@ def test_words_cost_less_than_their_class(spark):
     assert n == again == len(sample.split())
     assert fast < 0.75 * plain
     assert spark.createDataFrame([(sample,)], "t string").select(text.word_count("t"), F.size(text.words("t"))).first()[:] == (n, n)
+
+
+def test_diffs_of_many_documents_share_a_table():
+    docs = pd.DataFrame({"id": range(300), "_old": ["a\nb"] * 300, "_new": ["a\nc"] * 300})
+    tables = list(dialog._diff_tables(iter([docs]), "id"))
+    assert len(tables) == 1 and len(tables[0]) == 900 and tables[0].iloc[-1].tolist()[:3] == [299, 2, "added"]
