@@ -336,3 +336,23 @@ def test_diffs_of_many_documents_share_a_table():
     docs = pd.DataFrame({"id": range(300), "_old": ["a\nb"] * 300, "_new": ["a\nc"] * 300})
     tables = list(dialog._diff_tables(iter([docs]), "id"))
     assert len(tables) == 1 and len(tables[0]) == 900 and tables[0].iloc[-1].tolist()[:3] == [299, 2, "added"]
+
+
+def test_rules_are_tried_where_their_words_are(spark):
+    """A text is searched once for all groups of a rule, is lower-cased a few times at most, and no rule misses a match for its words."""
+    prose = ("The plaintiff John Smith is the accused. Hon'ble Justice Amit Sen, Coram Rao, at the Delhi High Court. Section 302 of the Indian Penal Code, Art. 21 of Constitution. "
+             "Witness PW-3 Ravi examined Ann Lee. Issue framed whether the lease ran out in time; he CLAIMED damages for the delay, they Denied every word of the deed. Exhibit PW-1/A. "
+             "A forensic report of the handwriting expert. The witness testified that he saw the deed. Petitioner argued that notice was not served. It was argued by the respondent that "
+             "time had run out. Respondent pleaded that nothing was owed. Submitted by the appellant that it was late. Ratio decidendi is that notice matters here. We hold that notice had "
+             "not expired. The court is of the firm view that the old deed still stands. Obiter dicta about notice periods in law. Observed in passing that many dates differ here. By way of obiter the old judge spoke. "
+             "Court noted that the deed was signed. In our opinion the deed is void today. ")
+    df = spark.createDataFrame([(prose,), (prose.upper(),), ("plain words",)], "t string")
+    for pattern in rules.NEEDED_WORDS:
+        searched = F.col("t") if pattern == rules.JUDGE_PATTERNS[1] else F.lower("t")
+        rows = df.select(knowledge._gated(searched, F.col("t"), pattern).alias("a"), text.matches("t", pattern).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows] and rows[0].a, pattern
+    for pattern, groups in ((rules.PARTY_ROLE_FIRST, (1, 2)), (rules.PARTY_NAME_FIRST, (1, 2, 3)), (rules.STATUTE_PATTERN, (1, 2, 3))):
+        once, each = df.select(knowledge._groups(F.col("t"), pattern, *groups), F.arrays_zip(*[text.matches("t", pattern, g) for g in groups])).first()
+        assert [tuple(x) for x in once] == [tuple(x) for x in each] and once
+    plan = knowledge.extract(df.selectExpr("1 AS chunk_id", "t AS text"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("lower(text#") <= 2 and plan.count("regexp_extract_all(text#") <= 25
