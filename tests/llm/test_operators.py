@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import random
 import re
 import zlib
 
@@ -459,6 +460,23 @@ def test_packing(given, docs, awkward):
             assert (seq.offset == seq.length.cumsum() - seq.length).all() and seq.length.sum() <= 4096
 
 
+def test_words_are_encoded_together_as_alone():
+    ids, rng = packing.WordIds(tokenizer_path("word_bpe_49k.json")), random.Random(5)
+    signs = [*"abcJIst'.,;:)#01-", "é", "İ", "ß", "Σ", "\u0301", "\u030c", "\u0307", "\u1100", "\u1161", "가", "\u00a0", "\u200d", "😀", "中", "\u0344", "\u0f73", "'s"]
+    words = [w for w in ("".join(rng.choices(signs, k=rng.choice((1, 2, 3, 9)))) for _ in range(3000)) if w.encode().split() == [w.encode()]]
+    alone = [np.array(e.ids, "<u4").tobytes() for e in ids.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert ids._encode([w.encode() for w in words]) == alone
+
+
+def test_remembered_words_fit_an_executor(monkeypatch):
+    monkeypatch.setattr(packing, "_cache", {})
+    ids = packing.WordIds(tokenizer_path("word_bpe_49k.json"))
+    ids._encode = lambda words: [b"0123"] * len(words)
+    for start in range(0, 600_000, 1000):
+        ids.ids(b" ".join(b"%d" % n for n in range(start, start + 1000)))
+    assert len(ids.known.young) + len(ids.known.old) <= 320_000
+
+
 def test_best_fit_decreasing():
     rng = np.random.default_rng(9)
     for _ in range(30):
