@@ -232,6 +232,41 @@ def test_paths_of_many_pairs_meet_either_way(spark, monkeypatch):
     assert got == want
 
 
+def test_paths_are_searched_on_numbers(spark, monkeypatch):
+    """Minima of numbers need no sort; pairs of different components are gone before the search, and the names come back."""
+    monkeypatch.setattr(graph, "COMPONENTS_FROM", 0)
+    seen, real = [], graph._meeting
+
+    def watched(here, there, still, side, other):
+        out = real(here, there, still, side, other)
+        seen.append((out._jdf.queryExecution().executedPlan().toString(), still.count()))
+        return out
+
+    monkeypatch.setattr(graph, "_meeting", watched)
+    links = [(f"a{i}", f"a{i + 1}") for i in range(9)] + [("a9", "a0"), ("b1", "b2"), ("a3", "a3"), ("a0", "a1")]
+    edges = spark.createDataFrame([(a, b, f"e{i:02}") for i, (a, b) in enumerate(links)], "src string, dst string, edge_id string")
+    pairs = spark.createDataFrame([("a0", "a4"), ("a0", "b2"), ("b1", "a7"), ("x", "x"), ("b2", "b1"), ("a0", "y")], "start string, end string")
+    got = collections.defaultdict(list)
+    for r in graph.shortest_paths(edges, pairs).orderBy("start", "end", "step").collect():
+        got[r.start, r.end].append(r.id)
+    assert got == {("a0", "a4"): ["a0", "e00", "a1", "e01", "a2", "e02", "a3", "e03", "a4"], ("x", "x"): ["x"], ("b2", "b1"): ["b2", "e10", "b1"]}
+    assert seen and not any("SortAggregate" in plan for plan, _ in seen) and seen[0][1] == 2
+
+
+def test_roots_of_chains_stars_and_rings(spark, tmp_path):
+    rng = random.Random(9)
+    links = [(i, i + 1) for i in range(200)] + [(300, 301 + i) for i in range(50)] + [(400 + i, 400 + (i + 1) % 30) for i in range(30)] + [(rng.randrange(500, 600), rng.randrange(500, 600)) for _ in range(70)]
+    links = {(min(x), max(x)) for x in links if x[0] != x[1]}
+
+    def stored(df, name):
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    got = {r.node: r.root for r in graph._roots(spark.createDataFrame(sorted(links), "low long, high long"), stored).collect()}
+    want = {r.node: r.root for r in graph.connected_components(spark.createDataFrame(sorted(links), "a long, b long")).collect()}
+    assert got.keys() == want.keys() and len({(got[n], want[n]) for n in want}) == len(set(got.values())) == len(set(want.values()))
+
+
 def test_stream_table_reads_a_folder_of_parts(spark, tmp_path):
     rows = spark.createDataFrame([(i, "text", "en", "s", 4) for i in range(20)], "doc_id long, text string, lang string, source string, n_chars long")
     rows.repartition(3).write.parquet(str(tmp_path / "in" / "documents.parquet"))
