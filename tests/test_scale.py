@@ -341,6 +341,18 @@ def test_edges_of_deals_tasks_by_edges(spark, monkeypatch):
     assert max(collections.Counter(r.p for r in rows).values()) < len(rows) / 4
 
 
+def test_edges_of_sends_few_copies(spark, monkeypatch):
+    """A node travels once per cell of its row or column, not once per EDGES_AT_ONCE edges of its block."""
+    monkeypatch.setattr(knowledge, "EDGES_AT_ONCE", 100)
+    items = spark.createDataFrame([(f"{t}{i}", "a", "entity", t, "name", None, i) for t in ("judge", "court") for i in range(120)],
+                                  "item_id string, case_id string, kind string, type string, text string, role string, doc_id int")
+    sent, real = [], type(items).repartition
+    monkeypatch.setattr(type(items), "repartition", lambda self, *to: (sent.append(self.count()), real(self, *to))[1])
+    edges = knowledge.edges_of(knowledge.relation_sides(items), items.filter("doc_id % 2 = 0"))
+    assert edges.select("source_id", "target_id").distinct().count() == edges.count() == 60 * 120
+    assert len(sent) == 2 and sum(sent) < 60 * 120 / 4
+
+
 def test_models_and_searches_see_small_batches(spark):
     """A task holds a batch of texts and its matrix of scores, so both are bounded."""
     seen = vectors.embed_chunks(spark.range(5000).selectExpr("id AS doc_id", "'a text' AS text").coalesce(1), lambda t: np.full((len(t), 1), len(t)), 1, batch=10**6)
