@@ -42,16 +42,20 @@ def _item(confidence: Column, strength: Column | None = None, importance: Column
         confidence.cast("double").alias("confidence"))
 
 
+def _found(text: Column, pattern: str, group: int = 1) -> Column:
+    return matches(text, rules.FOR_JAVA.get(pattern, pattern), group)
+
+
 def _gated(searched: Column, text: Column, pattern: str) -> Column:
     """Matches of a rule that is only tried where its words occur: looking for a word is far cheaper than a search for the pattern."""
     needed = [contains_any(searched, words) for words in rules.NEEDED_WORDS.get(pattern, [])]
-    found = matches(text, pattern)
+    found = _found(text, pattern)
     return F.when(reduce(lambda a, b: a & b, needed), found).otherwise(F.array().cast("array<string>")) if needed else found
 
 
 def _groups(text: Column, pattern: str, *groups: int) -> Column:
     """Array of structs g1, g2, … with the given capture groups of each match; the text is searched once, the groups are taken from the matches."""
-    return F.transform(matches(text, pattern, 0), lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(f"g{g}") for g in groups]))
+    return F.transform(_found(text, pattern, 0), lambda m: F.struct(*[F.regexp_extract(m, rules.FOR_JAVA.get(pattern, pattern), g).alias(f"g{g}") for g in groups]))
 
 
 def _entity(kind: str, name: Column, role: Column) -> Column:
@@ -75,11 +79,11 @@ def judges(text: Column) -> Column:
 
 
 def courts(text: Column) -> Column:
-    return F.transform(matches(text, rules.COURT_PATTERN), lambda n: _entity("court", n, F.lit("court")))
+    return F.transform(_found(text, rules.COURT_PATTERN), lambda n: _entity("court", n, F.lit("court")))
 
 
 def witnesses(text: Column) -> Column:
-    return F.transform(matches(text, rules.WITNESS_PATTERN), lambda n: _entity("witness", n, F.lit("witness")))
+    return F.transform(_found(text, rules.WITNESS_PATTERN), lambda n: _entity("witness", n, F.lit("witness")))
 
 
 def issue_labels(issue: str | Column) -> Column:

@@ -369,6 +369,28 @@ def seconds_of_search(spark, pattern, where):
     return n, min(taken)
 
 
+def test_long_runs_of_capitalised_words(spark):
+    """A run of some thousand words is found whole; Java's own repetition of groups overflows the stack of the task there."""
+    run = " ".join(["Smith"] * 5000)
+    texts = {"a": f"the accused {run}.", "b": f"{run} is the plaintiff.", "c": f"Justice {run}, then", "d": f"{run} High Court.", "e": f"He examined {run} 5", "f": f"Section 3 of the {run}."}
+    docs = spark.createDataFrame([(k, k, k, t) for k, t in texts.items()], "case_id string, doc_id string, chunk_id string, text string")
+    got = {(r.case_id, r.type, r.role): r.text for r in knowledge.extract(docs, ["parties", "judges", "courts", "witnesses", "statutes"]).collect()}
+    assert got == {("a", "party", "accused"): run, ("b", "party", "plaintiff"): run, ("c", "judge", "judge"): run, ("d", "court", "court"): f"{run} High Court",
+                   ("e", "witness", "witness"): run, ("f", "statute", "3"): run}
+
+
+def test_rules_for_java_find_the_same(spark):
+    rng = random.Random(11)
+    bits = ["John", "A", "A.", "Mr.", "B.b", "Smith2", "x", "is the plaintiff", "is the", "plaintiff", "accused", "High", "High Court", "Court", "Supreme", "Courts", "Court2", "Judge", "Justice", "Bench", "J.", "witness", "examined",
+            "deposition of", "PW-3", "of", "the", "Section 302", "Article 21A", "Sec. 5", "\n", ".", ",", "_A", "A_", "Z..", "hon'ble", "-", "aB"]
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", " ", "  ", "", ". ", "\n"]) for _ in range(rng.randrange(2, 15))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    found = df.select("t", *[F.array(text.matches("t", p, 0), text.matches("t", j, 0)).alias(f"p{i}") for i, (p, j) in enumerate(rules.FOR_JAVA.items())]).collect()
+    for i, pattern in enumerate(rules.FOR_JAVA):
+        assert sum(len(r[f"p{i}"][0]) for r in found) > 20, pattern
+        assert [r.t for r in found if r[f"p{i}"][0] != r[f"p{i}"][1]] == [], pattern
+
+
 def test_words_cost_less_than_their_class(spark):
     """Words are counted several times in each text; the blanks of Unicode are not asked for each letter."""
     sample = "Der Antrag wurde fristgem\u00e4\u00df gestellt, and the court held otherwise.\u3000\u672a\u5b9a\u2003ok\x1cso\x85on\xa0\U0001f600 x\u1680y\n" * 1000
