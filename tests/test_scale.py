@@ -379,6 +379,24 @@ def test_long_runs_of_capitalised_words(spark):
                    ("e", "witness", "witness"): run, ("f", "statute", "3"): run}
 
 
+@pytest.mark.parametrize("name", ["i12_summary_lines_by_type"])
+def test_queries_over_long_runs(spark, tmp_path, name):
+    """One text of 5,000 capitalised words among others ended these queries."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(i, f"Plain text {i}. The tenant breached the deed.", "en", f"s{i % 2}", 40) for i in range(1, 7)] + [(7, "Zor " * 5000 + "ends here.", "en", "s1", 20010)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+    assert got
+    if name in entry.oracle_sql():
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+        columns = entry.queries()[name](spark, str(tmp_path)).columns
+        assert sorted(got) == sorted(con.execute(f"SELECT {', '.join(columns)} FROM ({entry.oracle_sql()[name]})").fetchall())
+
+
 def test_rules_for_java_find_the_same(spark):
     rng = random.Random(11)
     bits = ["John", "A", "A.", "Mr.", "B.b", "Smith2", "x", "is the plaintiff", "is the", "plaintiff", "accused", "High", "High Court", "Court", "Supreme", "Courts", "Court2", "Judge", "Justice", "Bench", "J.", "witness", "examined",
