@@ -379,7 +379,7 @@ def test_long_runs_of_capitalised_words(spark):
                    ("e", "witness", "witness"): run, ("f", "statute", "3"): run}
 
 
-@pytest.mark.parametrize("name", ["i12_summary_lines_by_type", "h3_multi_hop"])
+@pytest.mark.parametrize("name", ["i12_summary_lines_by_type", "h3_multi_hop", "g13_extract_knowledge", "g23_knowledge_stats"])
 def test_queries_over_long_runs(spark, tmp_path, name):
     """One text of 5,000 capitalised words among others ended these queries."""
     import duckdb
